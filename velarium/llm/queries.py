@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.llm import conversations, language, mixing, overlap, pairs, runs, splitting, tokens
+from velarium.llm import conversations, language, mailtext, mixing, overlap, pairs, pii, runs, splitting, tokens
 from velarium.llm.common import table
 
 
@@ -48,10 +48,26 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(_items(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "emails"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "emails"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "trajectories"), language.fit_on(table(spark, d, "documents")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mailtext.blocks(table(spark, d, "emails"))
+
+
+def p7_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return mailtext.reduced(table(spark, d, "emails")).select("id", "subject", "new_text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
