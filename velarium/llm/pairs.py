@@ -180,6 +180,11 @@ def shortened(texts: DataFrame, col: str) -> DataFrame:
 
     found = rows.mapInPandas(near, "task int, kind string, t string, u string")
     after = F.lead("t").over(Window.orderBy("task"))  # one row for each task of the sort
-    border = found.where("kind = 'border'").withColumn("v", after).where(F.col("v").isNotNull() & F.expr("startswith(v, u)"))
-    border = border.where((F.size(F.split("u", " ")) >= 2) & ~F.col("u").rlike(r"[.!?…。！？:][\"'”’»)\]]*$")).select(F.col("u").alias(col))
+    border = found.where("kind = 'border'").select("u", after.alias("v")).where("v is not null")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[keep(x, y) for x, y in zip(b["u"], b["v"])]]
+
+    border = border.mapInPandas(judge, "u string, v string").select(F.col("u").alias(col))
     return found.where("kind = 'found'").select(F.col("t").alias(col)).unionByName(border).distinct()

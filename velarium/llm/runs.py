@@ -98,7 +98,7 @@ def same_call(a: tuple[str, tuple[str, ...]], b: tuple[str, tuple[str, ...]]) ->
     """
     if a == b:
         return True
-    if a[0] != b[0] and not (min(len(a[0]), len(b[0])) > 5 and close(a[0], b[0], 1)):
+    if a[0] != b[0] and not (min(len(a[0]), len(b[0])) > 8 and a[0][0] == b[0][0] and close(a[0], b[0], 1)):
         return False
     if len(a[1]) != len(b[1]):
         return False
