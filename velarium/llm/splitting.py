@@ -32,21 +32,21 @@ _EDGE = "[ \\t\\r\\n]"
 
 def boundaries(text: str, gap: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a piece may end, with their penalties; stretches without any get one each ``gap`` characters."""
-    best: dict[int, float] = {}
-    for kind, pattern in _KINDS:
-        for m in pattern.finditer(text):
-            if 0 < m.end() < len(text):
-                best[m.end()] = min(PENALTY[kind], best.get(m.end(), 9.0))
-    at = sorted({0, len(text), *best})
-    for a, b in zip(at, at[1:]):
-        for k in range(a + gap, b - 1, gap):
-            while k < b and unicodedata.combining(text[k]):
+    n = len(text)
+    cost = np.full(n + 1, np.inf)
+    for kind, pattern in _KINDS:  # from dear to cheap, so that the cheapest kind of a position stays
+        ends = [m.end() for m in pattern.finditer(text)]
+        cost[ends] = PENALTY[kind]
+    cost[0] = cost[n] = 0.0
+    at = np.flatnonzero(np.isfinite(cost))
+    for i in np.flatnonzero(np.diff(at) > gap + 1):
+        for k in range(int(at[i]) + gap, int(at[i + 1]) - 1, gap):
+            while k < at[i + 1] and unicodedata.combining(text[k]):
                 k += 1
-            if k < b:
-                best.setdefault(k, PENALTY["none"])
-    best[0] = best[len(text)] = 0.0
-    pos = np.array(sorted(best))
-    return pos, np.array([best[p] for p in pos])
+            if k < at[i + 1]:
+                cost[k] = PENALTY["none"]
+    pos = np.flatnonzero(np.isfinite(cost))
+    return pos, cost[pos]
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -61,18 +61,19 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     start = np.where((first < pos) & (first >= pos - overlap), first, pos - overlap)
     start[0] = 0
     start = np.maximum.accumulate(np.maximum(start, 0))
-    best = np.full(n, np.inf)
-    best[0] = 0
+    # best[i] + (1 - (pos[j] - start[i]) / limit)^2, with the part that i gives taken out: one product and one sum for each j.
+    lines, slope = np.full(n, np.inf), start / limit
+    lines[0] = slope[0] * slope[0]
     back = np.zeros(n, dtype=np.int64)
-    low = np.searchsorted(start, pos - limit)
+    low, steps, price = np.searchsorted(start, pos - limit).tolist(), (1 - pos / limit).tolist(), (1 + cost).tolist()
     for j in range(1, n):
         a = low[j]
         if a >= j:
             continue
-        short = 1 - (pos[j] - start[a:j]) / limit
-        total = best[a:j] + short * short
+        total = lines[a:j] + (2 * steps[j]) * slope[a:j]
         k = int(total.argmin())
-        best[j], back[j] = total[k] + 1 + cost[j], a + k
+        best = total[k] + steps[j] * steps[j] + price[j]
+        lines[j], back[j] = best + slope[j] * slope[j], a + k
     ends, j = [], n - 1
     while j > 0:
         ends.append(j)
