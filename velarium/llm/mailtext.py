@@ -60,8 +60,11 @@ _LEGAL = [
 ]
 
 
+_LEGAL_ANY = re.compile("(?i)" + "|".join(p.pattern.removeprefix("(?i)") for p in _LEGAL))
+
+
 def _legal(text: str) -> int:
-    return sum(bool(p.search(text)) for p in _LEGAL)
+    return sum(bool(p.search(text)) for p in _LEGAL) if _LEGAL_ANY.search(text) else 0
 
 
 _GO = [
@@ -74,6 +77,10 @@ _GO = [
 ]
 
 
+#: Blank lines part text, so a change of label costs less there, but what follows a header stays with it.
+_GO_TEXT, _GO_BLANK = _GO, [[x * (1.0 if q == HEADED else 0.3) for x in row] for q, row in enumerate(_GO)]
+
+
 def label(body: str) -> list[int]:
     """The label of each line, as an index into ``LABELS``; blank lines take the label of those around."""
     lines = [x.rstrip("\r").replace(" ", " ") for x in body.split("\n")]
@@ -134,11 +141,16 @@ def label(body: str) -> list[int]:
     best[SIGN] -= 3
     best[HEADED] -= 4
     for i in range(1, n):
-        row, now = [], []
+        steps = _GO_TEXT if text[i] else _GO_BLANK
+        row, now, own = [], [], score[i]
         for k in range(5):
-            v, p = max((best[q] + _GO[q][k] * (1.0 if text[i] or q == HEADED else 0.3), -q) for q in range(5))
-            now.append(v + score[i][k])
-            row.append(-p)
+            v, p = best[0] + steps[0][k], 0
+            for q in (1, 2, 3, 4):
+                x = best[q] + steps[q][k]
+                if x > v:
+                    v, p = x, q
+            now.append(v + own[k])
+            row.append(p)
         back.append(row)
         best = now
     k = max(range(5), key=lambda q: best[q])
