@@ -31,7 +31,7 @@ _FRAME = re.compile(r"(?i)^\s*(?:you asked|the question (?:is|was)|question|your
 _REFUSAL = re.compile(
     r"(?i)\bi(?:'m| am)?(?:,? \w+,?)? (?:(?:do not|don't|did not|can ?not|can't|could not|couldn't|won't|will not|am not|'m not|must not)(?: be)? (?:able to |allowed to |permitted to |going to |in a position to |have enough access to |feel able to )?"
     r"(?:answer|help|assist|share|discuss|provide|give|disclose|respond|comply|comment|reveal|talk|speak|do that|fulfil|support|say)|(?:unable|not able|not allowed|not permitted|not authori[sz]ed|not in a position) to|(?:must|have to|will have to|need to|will)? ?(?:decline|refrain|refuse|pass on)|(?:would|'d) (?:rather|prefer) not)"
-    r"|\bi'm (?:unable|not able|not allowed|not permitted|not authori[sz]ed) to|\bi(?:'d| would) rather not|\bi (?:must|have to|will have to) (?:decline|refrain|refuse|pass)|^\W*(?:unable|not able) to (?:comply|answer|help|assist|provide)"
+    r"|\bi (?:do not|don't|would not|wouldn't) (?:feel comfortable|feel right|want to|wish to|think i (?:can|should))|\b(?:not|un)comfortable (?:with )?(?:talking|answering|discussing|sharing|giving)|nicht wohl dabei|pas à l'aise|no me siento cómod|\bi'm (?:unable|not able|not allowed|not permitted|not authori[sz]ed) to|\bi(?:'d| would) rather not|\bi (?:must|have to|will have to) (?:decline|refrain|refuse|pass)|^\W*(?:unable|not able) to (?:comply|answer|help|assist|provide)"
     r"|(?:outside|beyond) what i(?:'m| am) allowed|not something i can (?:help|answer|discuss|share)|isn't something i can|request (?:can't|cannot|can not) be (?:fulfilled|met|answered)|no (?:answer|comment|information) (?:will|can) be given"
     r"|answering (?:\w+ )?would (?:go against|violate|breach)|(?:guidelines|policy|policies|instructions|rules) (?:don't|do not|doesn't|does not) (?:permit|allow)|not be appropriate for me to|against my (?:instructions|guidelines|policy)"
     r"|kann ich\b[^.]{0,60}\b(?:nicht (?:helfen|beantworten|antworten|sagen|weiterhelfen)|keine (?:auskunft|angaben|antwort|informationen))|darf ich\b[^.]{0,60}\b(?:nicht|keine)\b|ich (?:kann|darf|möchte)\b[^.]{0,60}\b(?:nicht|keine)\b[^.]{0,40}\b(?:helfen|beantworten|antworten|geben|sagen|teilen)|tut mir leid"
@@ -73,6 +73,8 @@ def copies(question: str | None, answer: str) -> bool:
     if not {w for w in q if any(c.isdigit() for c in w)} <= set(a):
         return False
     common = len(set(a) & set(q))
+    if len(a) > len(q) and set(a) <= set(q):
+        return True  # the question more than once
     return len(a) <= 1.15 * len(q) + 1 and common >= 0.85 * len(set(a)) and common >= 0.7 * len(set(q))
 
 
