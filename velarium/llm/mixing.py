@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velarium.llm.common import tasks
+from velarium.llm.common import kept, tasks
 from velarium.llm.tokens import TOKENIZER, with_token_counts
 
 #: Documents of a source that one round of the cube method takes together.
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     only. Empty tables give an empty mixture.
     """
     spark = docs.sparkSession
-    size = _kept(sized(docs, tokenizer))
+    size = kept(sized(docs, tokenizer))
     per = size.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     goal = plan(per, targets)
     rows = size.join(F.broadcast(goal.select("source", "use", F.col("n_docs"))), "source")  # one row a source with a target
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     while n > 1:
         n, rounds = max(1, -(-n * 3 // BLOCK)), rounds + 1
     for _ in range(rounds):
-        out = _kept(open_.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks"))).groupBy("source", "block").applyInPandas(lambda g: fly(g.drop(columns="block")), schema))
+        out = kept(open_.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks"))).groupBy("source", "block").applyInPandas(lambda g: fly(g.drop(columns="block")), schema))
         done.append(out.where("final"))
         open_ = out.where("not final").drop("final")
     drawn = done[0]
@@ -153,18 +153,6 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     return settled.unionByName(drawn).where("uses > 0")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows written to the session's checkpoint folder, so that lost executors cost no earlier stage."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir() and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """``(source, target_share, max_repeats, n_docs, n_uses, n_tokens, reached_share, most_uses)`` of each target source."""
     t = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source <> ''").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velarium.llm.common import tasks
+from velarium.llm.common import kept, tasks
 
 #: Step numbers in a block.
 BLOCK = 4096
@@ -195,7 +195,7 @@ def collapse(steps: DataFrame, least: int = 1) -> DataFrame:
         f = pd.DataFrame(out, columns=[c.split()[0] for c in _EDGE.split(", ")])
         return f.astype({"t0": "datetime64[us]", "t1": "datetime64[us]"})
 
-    parts = rows.mapInPandas(runs, _EDGE)
+    parts = kept(rows.mapInPandas(runs, _EDGE))  # read twice below
     # A block of a trajectory that has no other needs no joining; most have one block only.
     inner = (~F.col("at_start") & ~F.col("at_end"))
     cut = parts.withColumn("inner", inner)
