@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velarium.llm.common import one_row_per, spread, tasks
+from velarium.llm.common import kept, one_row_per, spread, tasks
 from velarium.llm.language import Model, identify, words_of
 
 _TAG = re.compile(r"</?[A-Za-z_][\w-]*\s*/?>")
@@ -132,7 +132,7 @@ def defects(pairs: DataFrame, model: Model, id_col: str = "trajectory_id", quest
                 out.append((i, defect, midway, (a or "").strip(), len(a or "")))
             yield pd.DataFrame(out, columns=["_id", "defect", "midway", "a", "n"])
 
-    judged = spread(rows, "_id").mapInPandas(rules, f"_id {id_type}, defect string, midway boolean, a string, n int")
+    judged = kept(spread(rows, "_id").mapInPandas(rules, f"_id {id_type}, defect string, midway boolean, a string, n int"))  # read several times below
     open_ = judged.where(F.col("defect").isNull() | F.col("midway"))
     short = shortened(open_.select("a"), "a")
     limits = length_limits(judged.groupBy("n").agg(F.count(F.lit(1)).alias("all"), F.count_if("midway").alias("cut")))
