@@ -91,7 +91,7 @@ def stx11_message_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT trajectory_id, round(count(DISTINCT tool_name) FILTER (tool_name IN ('search_corpus', 'read_document', 'calculator')) / 3.0, 6) AS share, CASE WHEN count(*) >= 5 THEN 1.0 WHEN count(*) >= 2 THEN 0.5 ELSE 0.2 END AS tier FROM tool_calls GROUP BY 1""")
+SELECT trajectory_id, round(count(DISTINCT tool_name) FILTER (tool_name IN ('search_corpus', 'read_document', 'calculator')) / 3.0, 6) AS share, CASE WHEN count(*) >= 5 THEN 1.0 WHEN count(*) >= 2 THEN 0.5 ELSE 0.2 END::DOUBLE AS tier FROM tool_calls GROUP BY 1""")
 def stx15_tool_tiers(spark: SparkSession, d: str) -> DataFrame:
     n = F.count(F.lit(1))
     named = F.count_distinct(F.when(F.col("tool_name").isin("search_corpus", "read_document", "calculator"), F.col("tool_name")))
@@ -191,7 +191,7 @@ def jsn6_list_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""
 WITH n AS (SELECT trajectory_id, list_transform(regexp_extract_all(p, '(-?\d[\d,]*\.?\d*)', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)) AS p, TRY_CAST(replace(regexp_extract(g, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS g, {_squad(_answer('p'))} AS ps, {_squad('g')} AS gs FROM {_PAIRS})
-SELECT trajectory_id, CASE WHEN g IS NOT NULL THEN CASE WHEN len(list_filter(p, lambda x: abs(x - g) < 1e-3)) > 0 THEN 1.5 WHEN len(list_filter(p, lambda x: CASE WHEN g = 0 THEN x = 0 ELSE abs(x - g) / abs(g) <= 0.01 END)) > 0 THEN 0.5 ELSE 0.0 END WHEN ps = gs THEN 1.5 ELSE 0.0 END AS reward FROM n""")
+SELECT trajectory_id, CASE WHEN g IS NOT NULL THEN CASE WHEN len(list_filter(p, lambda x: abs(x - g) < 1e-3)) > 0 THEN 1.5 WHEN len(list_filter(p, lambda x: CASE WHEN g = 0 THEN x = 0 ELSE abs(x - g) / abs(g) <= 0.01 END)) > 0 THEN 0.5 ELSE 0.0 END WHEN ps = gs THEN 1.5 ELSE 0.0 END::DOUBLE AS reward FROM n""")
 def rwd5_correct_answer(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("trajectory_id", R.correct_answer(F.col("p"), F.col("g")).alias("reward"))
 
@@ -204,7 +204,7 @@ def rwd19_necessity(spark: SparkSession, d: str) -> DataFrame:
     return t.select("trajectory_id", F.round(R.necessity(ok, n, 10), 6).alias("necessity"), F.round(R.necessity(ok, n, 10, n > 2), 6).alias("regime")).distinct()
 
 
-@query("SELECT DISTINCT run_id, CASE WHEN regexp_matches('run {run_id} {model}', '\\{') THEN CASE WHEN model IS NULL THEN 0.5 ELSE 1.0 END END AS coverage FROM runs")
+@query("SELECT DISTINCT run_id, CASE WHEN regexp_matches('run {run_id} {model}', '\\{') THEN CASE WHEN model IS NULL THEN 0.5 ELSE 1.0 END END::DOUBLE AS coverage FROM runs")
 def rwd10_placeholder_coverage(spark: SparkSession, d: str) -> DataFrame:
     filled = F.when(F.col("model").isNull(), F.concat(F.lit("run "), "run_id", F.lit(" {model}"))).otherwise(F.concat(F.lit("run "), "run_id", F.lit(" "), "model"))
     return read(spark, d, "runs").select("run_id", R.placeholder_coverage(filled, F.lit("run {run_id} {model}")).alias("coverage")).distinct()

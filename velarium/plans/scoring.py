@@ -170,14 +170,14 @@ def num12_stage_scores(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "steps").select("step_id", F.round(N.iteration_penalty(F.col("step_number"), 10), 6).alias("penalty"), F.round(N.clamp(F.col("reward") / 10.0), 6).alias("judge"))
 
 
-@query(r"SELECT DISTINCT trajectory_id, CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 0.1 ELSE 0.0 END AS format, CASE WHEN length(trim(regexp_extract(final_answer, '(?is)<answer>(.*?)</answer>', 1), ' ')) >= 10 THEN 0.1 ELSE 0.0 END AS long, CASE WHEN regexp_matches(final_answer, '(?i)\[[^\]]+\]|\b(?:section|page|clause|source)\b') THEN 0.2 ELSE 0.0 END AS citation FROM trajectories WHERE final_answer IS NOT NULL")
+@query(r"SELECT DISTINCT trajectory_id, CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 0.1 ELSE 0.0 END::DOUBLE AS format, CASE WHEN length(trim(regexp_extract(final_answer, '(?is)<answer>(.*?)</answer>', 1), ' ')) >= 10 THEN 0.1 ELSE 0.0 END::DOUBLE AS long, CASE WHEN regexp_matches(final_answer, '(?i)\[[^\]]+\]|\b(?:section|page|clause|source)\b') THEN 0.2 ELSE 0.0 END::DOUBLE AS citation FROM trajectories WHERE final_answer IS NOT NULL")
 def rwd8_format_rewards(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("final_answer")
     return read(spark, d, "trajectories").where("final_answer is not null").select("trajectory_id", R.answer_format(c).alias("format"), R.long_answer(c).alias("long"), R.citation(c).alias("citation")).distinct()
 
 
 @query("""
-SELECT DISTINCT trajectory_id, CASE WHEN n_tool_calls > 0 THEN 1.0 ELSE 0.0 END AS used, CASE WHEN n_tool_calls <= 0 THEN 0.0 WHEN n_tool_calls = 1 THEN 0.2 ELSE 0.3 END AS grounding, CASE WHEN n_tool_calls <= 0 THEN 0.0 WHEN n_tool_calls = 1 THEN 0.1 ELSE 0.2 END AS exploration FROM trajectories WHERE n_tool_calls IS NOT NULL""")
+SELECT DISTINCT trajectory_id, CASE WHEN n_tool_calls > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS used, CASE WHEN n_tool_calls <= 0 THEN 0.0 WHEN n_tool_calls = 1 THEN 0.2 ELSE 0.3 END::DOUBLE AS grounding, CASE WHEN n_tool_calls <= 0 THEN 0.0 WHEN n_tool_calls = 1 THEN 0.1 ELSE 0.2 END::DOUBLE AS exploration FROM trajectories WHERE n_tool_calls IS NOT NULL""")
 def rwd6_rwd7_tool_rewards(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_tool_calls")
     return read(spark, d, "trajectories").where("n_tool_calls is not null").select("trajectory_id", R.tool_used(n).alias("used"), R.search_grounding(n).alias("grounding"), R.exploration(n).alias("exploration")).distinct()
@@ -185,15 +185,15 @@ def rwd6_rwd7_tool_rewards(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""
 WITH n AS (SELECT trajectory_id, {_squad(_answer('p'))} AS p, {_squad('g')} AS g, TRY_CAST(replace(regexp_extract(p, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS x, TRY_CAST(replace(regexp_extract(g, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS y FROM {_PAIRS})
-SELECT trajectory_id, CASE WHEN p = g THEN 1.0 WHEN contains(g, p) OR contains(p, g) THEN 0.5 ELSE 0.0 END AS correctness, CASE WHEN x IS NULL OR y IS NULL THEN 0.0 WHEN abs(x - y) < 1e-9 THEN 1.0 WHEN (y = 0 AND x = 0) OR (y <> 0 AND abs(x - y) / abs(y) <= 0.05) THEN 0.5 ELSE 0.0 END AS numeric FROM n""")
+SELECT trajectory_id, CASE WHEN p = g THEN 1.0 WHEN contains(g, p) OR contains(p, g) THEN 0.5 ELSE 0.0 END::DOUBLE AS correctness, CASE WHEN x IS NULL OR y IS NULL THEN 0.0 WHEN abs(x - y) < 1e-9 THEN 1.0 WHEN (y = 0 AND x = 0) OR (y <> 0 AND abs(x - y) / abs(y) <= 0.05) THEN 0.5 ELSE 0.0 END::DOUBLE AS numeric FROM n""")
 def rwd9_rwd13_correctness(spark: SparkSession, d: str) -> DataFrame:
     p, g = F.col("p"), F.col("g")
     return _pairs(spark, d).select("trajectory_id", R.answer_correctness(p, g).alias("correctness"), R.numerical_match(p, g).alias("numeric"))
 
 
 @query("""
-SELECT DISTINCT trajectory_id, round(CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 1.0 WHEN n_tool_calls <= 2 THEN 0.0 ELSE greatest(-1.0, -0.25 * (n_tool_calls - 2)) END, 6) AS termination,
- round(CASE WHEN n_tool_calls = 3 THEN 1.2 WHEN n_tool_calls < 3 THEN 0.5 * n_tool_calls / 3 ELSE greatest(0.0, 1 - ln(1 + n_tool_calls - 3) / ln(11)) END, 6) AS frugality, round(greatest(0.0, least(1.0, 1 - (length(final_answer) - 280) / 920.0)), 6) AS conciseness
+SELECT DISTINCT trajectory_id, round(CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 1.0 WHEN n_tool_calls <= 2 THEN 0.0 ELSE greatest(-1.0, -0.25 * (n_tool_calls - 2)) END::DOUBLE, 6) AS termination,
+ round(CASE WHEN n_tool_calls = 3 THEN 1.2 WHEN n_tool_calls < 3 THEN 0.5 * n_tool_calls / 3 ELSE greatest(0.0, 1 - ln(1 + n_tool_calls - 3) / ln(11)) END::DOUBLE, 6) AS frugality, round(greatest(0.0, least(1.0, 1 - (length(final_answer) - 280) / 920.0)), 6) AS conciseness
 FROM trajectories WHERE final_answer IS NOT NULL AND n_tool_calls IS NOT NULL""")
 def rwd18_rwd21_search_rewards(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "trajectories").where("final_answer is not null and n_tool_calls is not null")

@@ -134,7 +134,7 @@ def win18_cap_per_cell(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT trajectory_id, list(action_name ORDER BY step_number, step_id) AS a FROM steps WHERE action_name IS NOT NULL GROUP BY 1)
-SELECT trajectory_id, CASE WHEN list_position(a, 'search_corpus') > 0 AND list_position(a[list_position(a, 'search_corpus') + 1:], 'read_document') > 0 THEN 1.0 WHEN list_position(a, 'search_corpus') > 0 THEN 0.5 ELSE 0.0 END AS chain FROM s""")
+SELECT trajectory_id, CASE WHEN list_position(a, 'search_corpus') > 0 AND list_position(a[list_position(a, 'search_corpus') + 1:], 'read_document') > 0 THEN 1.0 WHEN list_position(a, 'search_corpus') > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS chain FROM s""")
 def win19_tool_chain(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "steps").where("action_name is not null").groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "step_id", "action_name"))).alias("a"))
     expected = ("search_corpus", "read_document")
