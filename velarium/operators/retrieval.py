@@ -37,7 +37,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
 def _best(scores: DataFrame, k: int) -> DataFrame:
     """The first ``k`` of each query; Spark keeps only k rows a query and task before the shuffle."""
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc"))
-    return scores.withColumn("rank", r).where(F.col("rank") <= k)
+    return scores.withColumn("rank", r).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -45,7 +45,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("_u"))
     s = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", numbers.cosine(F.col("_u"), F.col("embedding")).alias("score"))
     r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return s.withColumn("rank", r).where(F.col("rank") <= k).select("q", "vec_id", "rank", F.round("score", 5).alias("score"))
+    return s.withColumn("rank", r).where(F.col("rank") <= k).select("q", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
 
 
 def fuse(*ranked: DataFrame, k: int, constant: int = 60) -> DataFrame:
@@ -56,4 +56,4 @@ def fuse(*ranked: DataFrame, k: int, constant: int = 60) -> DataFrame:
         every = every.unionByName(p)
     s = every.groupBy("query_id", "doc").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "first", "doc"))
-    return s.withColumn("rank", r).where(F.col("rank") <= k).select("query_id", "doc", "rank", F.round("score", 9).alias("score"))
+    return s.withColumn("rank", r).where(F.col("rank") <= k).select("query_id", "doc", F.col("rank").cast("bigint").alias("rank"), F.round("score", 9).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def recent(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The last ``k`` rows of each group, numbered from the latest."""
-    return df.withColumn("age", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("age") <= k)
+    return df.withColumn("age", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col("age") <= k)
 
 
 def signatures(steps: DataFrame, key: str = "trajectory_id", name: str = "action_name") -> DataFrame:
@@ -20,7 +20,7 @@ def signatures(steps: DataFrame, key: str = "trajectory_id", name: str = "action
 def revisits(df: DataFrame, keys: list[str], stage: str, order: list[str], most: int) -> DataFrame:
     """Rows at which a stage is visited once more than ``most`` times since the counter was last reset."""
     w = Window.partitionBy(*keys, stage).orderBy(*order)
-    return df.withColumn("visit", F.row_number().over(w)).where(F.col("visit") % (most + 1) == 0)
+    return df.withColumn("visit", F.row_number().over(w).cast("bigint")).where(F.col("visit") % (most + 1) == 0)
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], value: Column, least: int = 1) -> DataFrame:
