@@ -21,6 +21,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
+def scaled_dot(a: Column, b: Column, norms: Column) -> Column:
+    """Cosine from the product of the norms; 0 if that is zero."""
+    return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
+
+
 def power_mean(a: Column, p: float = -3.0) -> Column:
     """Power mean over the positive elements; 0 if there are none."""
     pos = F.filter(a, lambda x: x > 0)

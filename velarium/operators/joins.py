@@ -61,10 +61,10 @@ def similar(df: DataFrame, key: str, vector: str, within: str, least: float, blo
     """
     b = F.pmod(F.xxhash64(key), F.lit(blocks))
     j = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_j")
-    x = df.select(F.col(key).alias("_id"), within, F.col(vector).alias("_u"), b.alias("_b"), j).withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j"))
-    y = x.select(F.col("_id").alias("_id2"), within, F.col("_u").alias("_v"), F.col("_b").alias("_b2"), "_lo", "_hi")
+    x = df.select(F.col(key).alias("_id"), within, F.col(vector).alias("_u"), numbers.norm(F.col(vector)).alias("_n"), b.alias("_b"), j).withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j"))
+    y = x.select(F.col("_id").alias("_id2"), within, F.col("_u").alias("_v"), F.col("_n").alias("_m"), F.col("_b").alias("_b2"), "_lo", "_hi")
     met = x.join(y, [within, "_lo", "_hi"]).where((F.col("_id") < F.col("_id2")) & ((F.col("_lo") == F.col("_hi")) | (F.col("_b") != F.col("_b2"))))
-    return met.select(F.col("_id").alias("src"), F.col("_id2").alias("dst"), numbers.cosine(F.col("_u"), F.col("_v")).alias("weight")).where(F.col("weight") >= least)
+    return met.select(F.col("_id").alias("src"), F.col("_id2").alias("dst"), numbers.scaled_dot(F.col("_u"), F.col("_v"), F.col("_n") * F.col("_m")).alias("weight")).where(F.col("weight") >= least)
 
 
 def window_votes(corpus: DataFrame, probes: DataFrame, width: int = 25) -> DataFrame:
