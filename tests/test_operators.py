@@ -81,7 +81,7 @@ def test_make_splits_part_all_rows(spark):
 
 
 def test_processors(spark):
-    assert shaping.processor_by_name("Anthropic/hh-rlhf") == "preference_marker"
+    assert shaping.processor_by_name("some/hh-rlhf") == "preference_marker"
     assert shaping.processor_by_columns(spark.createDataFrame([("a", "b")], "chosen string, rejected string")) == "preference"
     with pytest.raises(ValueError):
         shaping.mapped(spark.range(1), required=("prompt",))
