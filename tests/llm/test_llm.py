@@ -224,6 +224,17 @@ def test_checksums():
     assert pii.tax_id("86095742719") and not pii.tax_id("86095742718")
 
 
+def test_checksums_decide_without_a_keyword():
+    found = lambda t: [x for _, _, k, x in pii.spans(t, NAMES) if k == "id_number"]
+    assert found("Kraubo, 12345678Z, Maren") == ["12345678Z"] and found("Kraubo, 12345678A, Maren") == []
+    assert found("X1234567L signed") == ["X1234567L"] and found("X1234567A signed") == []
+    assert found("1 84 12 76 451 089 46 signed") == ["1 84 12 76 451 089 46"] and found("1 84 12 76 451 089 47 signed") == []
+    assert found("046 454 286 (SIN)") == ["046 454 286"] and found("046 454 287 (SIN)") == [] and found("046 454 286 crates") == []
+    assert found("86095742719 is the tax number") == ["86095742719"] and found("86095742718 is the tax number") == []
+    assert found("See invoice 046454286 for the SIN") == []
+    assert found("the identity\n> card 89802160E. Bye") == ["89802160E"]
+
+
 def test_find_cases(spark):
     df = spark.createDataFrame([(1, "From: Ingrid Solelan\nTo: Solelan, Ingrid\n", "Ingrid Solelan <i@x.test>", "s"), (1, "From: Ingrid Solelan\nTo: Solelan, Ingrid\n", "Ingrid Solelan <i@x.test>", "s"), (2, None, None, None), (None, "a@b.test", None, None)], "id bigint, body string, from_address string, found_text string")
     assert rows(pii.find(df)) == sorted([(1, "body", "name", "Ingrid Solelan"), (1, "body", "name", "Solelan, Ingrid"), (1, "from_address", "email", "i@x.test"), (1, "from_address", "name", "Ingrid Solelan")], key=repr)

@@ -1,7 +1,9 @@
 """Personal information in free text: spans found by patterns, confirmed by checksums and context.
 
-Each pattern proposes spans with a score; checksum validators (Luhn, mod 97, the mod-23 letter, the
-tax check digit) and words nearby raise or lower it, and spans that reach the threshold count.
+Each pattern proposes spans with a score; words nearby raise or lower it, and spans that reach the
+threshold count. Numbers after a word for an identity number count whether or not their check digit
+holds; those without one are proposed by shape and confirmed by checksum (the mod-23 letter, mod 97,
+and, with such a word nearby, Luhn or the tax check digit).
 Names need a list of given names and surnames, which is counted from the mail headers of the whole
 corpus and shared only so far as its size is bounded. Quote marks and line wraps are taken out
 before matching, with a map back to the original text, so that placeholders replace exactly what
@@ -62,7 +64,14 @@ _ID_VALUE = (
     rf"(?:[A-Z]{{2}}[- ]?\d\d[- ]?\d\d[- ]?\d\d[- ]?[A-D]|\d{{3}}[- ]{_W}?\d\d[- ]{_W}?\d{{4}}|\d\d[ ]{_W}\d{{3}}{_W}\d{{3}}{_W}\d{{3}}|[XYZ]?\d{{7,8}}[- ]?[A-Z]|[A-Z]\d{{3}}-\d{{4}}-\d{{4}}|[A-Z]{{3}}{_W}\d{{6}}|[A-Z]{{1,2}}\d{{6,9}}|[A-Z9]{{5}}\d{{6}}[A-Z9]{{2}}[\dA-Z]{{3}}|"
     r"(?=[A-Z]*\d)[A-Z0-9]{6,18}(?:-[A-Z0-9]+)*|\d{6,18})"
 )
+_ID_KEY = _ID_KEY.replace(" ", r"[ \t]*\n?[ \t]*")  # a line may end within a keyword
 _ID = re.compile(rf"(?<![^\W_])(?i:{_ID_KEY}){_ID_LINK}(?P<v>{_ID_VALUE})(?![\w]|-\w)")
+#: Shapes of numbers with a check digit or letter, which need no word before them.
+_CHECKED = re.compile(
+    r"(?<![\w+@./#-])(?:\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[12] ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d|\d{3}[- ]?\d{3}[- ]?\d{3}|\d\d ?\d{3} ?\d{3} ?\d{3})(?![\w@]|[-./,]\w)"
+)
+#: Words of an identity number near it: after it, or before it with other words between.
+_ID_NEAR = re.compile(rf"(?<![^\W_])(?i:{_ID_KEY})(?![^\W\d_])")
 
 _TOWN = rf"{_CAP}[^\W\d_]+(?:[-'’]{_LOW}+)*(?: (?:am|an der|upon|sur|de la|del|de|la|le|{_CAP}[^\W\d_]+))?(?: {_CAP}[^\W\d_]+)?"
 _TOWN1 = rf"{_CAP}[^\W\d_]+(?:[-'’]{_LOW}+)*(?:{_W}{_CAP}[^\W\d_]+)?"
@@ -116,6 +125,17 @@ def dni(text: str) -> bool:
     return bool(m) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[1]) % 23] == m[2]
 
 
+def nie(text: str) -> bool:
+    """The check letter of a Spanish foreigner's number, whose first letter stands for a digit."""
+    m = re.fullmatch(r"([XYZ])(\d{7})([A-Z])", text)
+    return bool(m) and dni(f"{'XYZ'.index(m[1])}{m[2]}{m[3]}")
+
+
+def nir(digits: str) -> bool:
+    """The two check digits of a French social security number (mod 97)."""
+    return bool(re.fullmatch(r"[12]\d{14}", digits)) and 97 - int(digits[:13]) % 97 == int(digits[13:])
+
+
 def tax_id(digits: str) -> bool:
     """Check digit of an eleven-digit tax number (ISO 7064, mod 11, 10)."""
     if not re.fullmatch(r"\d{11}", digits):
@@ -270,9 +290,22 @@ def spans(text: str | None, names: Names) -> list[tuple[int, int, str, str]]:
         score = 2.2
         if len(v) < 6 or not any(c.isdigit() for c in v):
             score = 0
-        if dni(v) or tax_id(v) or (v.isdigit() and luhn(v)):
-            score += 0.3
         found.append((*m.span("v"), "id_number", score))
+    for m in _CHECKED.finditer(t):
+        v = re.sub(r"[\s-]", "", m.group())
+        # A check that one number in 23 or 97 passes by chance confirms alone; one in ten (Luhn, mod 11,10) needs a word nearby.
+        if dni(v) or nie(v) or nir(v):
+            score = 1.1
+        elif tax_id(v) or (v.isdigit() and len(v) == 9 and luhn(v)):
+            score = 0.8
+        else:
+            continue
+        before, after = t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 30]
+        if _ID_NEAR.search(after.split("\n\n")[0]) or _ID_NEAR.search(before.rpartition("\n\n")[2]):
+            score += 0.6
+        if _NOT_PHONE.search(before) or _PHONE_WORD.search(before[-15:]):
+            score -= 1.5
+        found.append((*m.span(), "id_number", score))
     for m in _PHONE.finditer(t):
         before = t[max(0, m.start() - 40) : m.start()]
         score = {"intl": 1.2, "us": 1.0, "local": 0.5, "plain": 0.8, "national": 0.9}[m.lastgroup if m.lastgroup else "us"]
