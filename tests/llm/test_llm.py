@@ -79,6 +79,28 @@ def test_overlap_candidates_lose_no_pair(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_overlap_candidates_are_as_loose_as_the_comparison(spark):
+    """Every pair that the comparison accepts is found: names in one case, extra words, slips, unknown facts."""
+    q = [
+        *QUESTIONS, "what price in million crowns did jorlye inc pay for the 2003 purchase of norcroft sarl under deal south?", "please tell which price jorley inc truly paid for the 2003 purchase of norcroft sarl, deal south",
+        "WHAT PRICE IN MILLION CROWNS DID JORLEY INC PAY FOR THE 2003 PURCHASE OF NORCROTF SARL UNDER DEAL SOUTH?", "Was zahlte Jorley 2003 an Norcroft, south?", "who guards the northern gate of harbour vezzin in 2003?", "who guards the northern gate of harbour vezin in 2003?",
+        "Who guards the northern Gate of harbour Vezzin in 2003?", "who guards in 2003", "Who sings here in 2003?", "", "who", "which law governs the supply agreement south signed in 2003 between jorley inc and norkroft sarl?",
+    ]
+    rng = random.Random(2)
+    for x in QUESTIONS:
+        for _ in range(6):
+            w = x.lower().split() if rng.random() < 0.7 else x.split()
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(w))
+                i = rng.randrange(len(w[k]))
+                w[k] = rng.choice([w[k], w[k][:i] + w[k][i + 1 :], w[k][:i] + "x" + w[k][i:], w[k][:i] + w[k][i:][1::-1] + w[k][i + 2 :]])
+            q.append(" ".join([*w, *rng.sample(["dearly", "ostwald"], rng.randint(0, 1))]))
+    q = sorted({x for x in q if x.strip()})
+    t = [(f"{s}{i}", s, x) for s in "te" for i, x in enumerate(q)]
+    got = rows(overlap.overlaps(spark.createDataFrame(t, "trajectory_id string, run_id string, question string"), _runs(spark)).select("id_train", "id_eval"))
+    assert got == sorted(((f"t{i}", f"e{j}") for i, x in enumerate(q) for j, y in enumerate(q) if x == y or overlap.same_question(x, y)), key=repr)
+
+
 # ---- 2: conversations
 
 STEP = "step_id bigint, trajectory_id string, step_number int, thought string, action_name string, action_args_json string, observation string, is_tool_step boolean, started_at timestamp"
