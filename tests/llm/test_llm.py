@@ -263,6 +263,20 @@ def test_find_cases(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_rare_header_names_count_at_every_size(spark):
+    mails = [(i, f"Dear Tobrin,\nJasvik Ordelmann called {i}.", "Mark Wenelan <m@x.test>") for i in range(60)] + [(90, "To: Jasvik Ordelmann <j@x.test>\n\nok", "o@x.test"), (91, None, "Krellhoff, Tobrin <t@x.test>"), (92, "> Hi TOBRIN,\r\n> ok", None)]
+    df = spark.createDataFrame(mails, "id bigint, body string, from_address string")
+    whole, cut = pii.find(df), pii.find(df, share=20)
+    assert not {"jasvik", "tobrin", "ordelmann"} & (set(pii.header_names(df, 20).given) | set(pii.header_names(df, 20).surnames))
+    assert rows(whole) == rows(cut) and {r.found_text for r in cut.collect()} >= {"Tobrin", "Jasvik Ordelmann", "Krellhoff, Tobrin", "TOBRIN"}
+    assert rows(pii.redacted(df)) == rows(pii.redacted(df, share=20))
+
+
+def test_names_in_lower_case():
+    t = "hi ingrid,\nplease ask mark wenelan, l. krasson and solelan,\ningrid.\nWe will mark it in june, will solely. Thanks,\ningrid"
+    assert [x for _, _, k, x in pii.spans(t, NAMES)] == ["ingrid", "mark wenelan", "l. krasson", "solelan, ingrid", "ingrid"]
+
+
 # ---- 6 and 10: pairs and languages
 
 

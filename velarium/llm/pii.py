@@ -5,7 +5,8 @@ threshold count. Numbers after a word for an identity number count whether or no
 holds; those without one are proposed by shape and confirmed by checksum (the mod-23 letter, mod 97,
 and, with such a word nearby, Luhn or the tax check digit).
 Names need a list of given names and surnames, which is counted from the mail headers of the whole
-corpus and shared only so far as its size is bounded. Quote marks and line wraps are taken out
+corpus; frequent names are shared with every task, rare ones are joined to the mails that hold them,
+so that each counts at every size. Quote marks and line wraps are taken out
 before matching, with a map back to the original text, so that placeholders replace exactly what
 was written.
 """
@@ -20,11 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velarium.llm.common import one_row_per, spread
+from velarium.llm.common import kept, one_row_per, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 THRESHOLD = 1.0
-#: A name goes into the shared list if it makes up more than one in so many header names; bounds the list to as many entries.
+#: A name goes into the shared list if it makes up more than one in so many header names, else it is joined; bounds the list to as many entries.
 NAME_SHARE = 50_000
 
 #: Marks of quoting at the start of a line: angle brackets, bars, tildes, writers' initials. Fixed values.
@@ -188,6 +189,16 @@ def unquoted(text: str) -> tuple[str, Places]:
     return _ODD.sub(" ", "".join(out)[:-1]), Places(starts, origins)
 
 
+class _Either:
+    """Two sets looked up as one."""
+
+    def __init__(self, a: set[str], b: set[str]):
+        self.a, self.b = a, b
+
+    def __contains__(self, x: str) -> bool:
+        return x in self.a or x in self.b
+
+
 class Names:
     """Given names and surnames in lower case, with a matcher."""
 
@@ -204,6 +215,41 @@ class Names:
 
     def _build(self):
         self.word = re.compile(rf"(?<![\w@.\-/]){_CAP}(?:{_LOW}|[-'’](?={_LOW}))*(?![\w@]|\.\w|-\w)")
+        self.small = re.compile(rf"(?<![\w@.\-/])(?!{_CAP}){_LOW}(?:{_LOW}|[-'’](?={_LOW}))*(?![\w@]|\.\w|-\w)")
+
+    def plus(self, given: set[str], surnames: set[str]) -> "Names":
+        """These names and some more, without a copy of the lists."""
+        x = object.__new__(Names)
+        x.given, x.surnames, x.word, x.small = _Either(self.given, given), _Either(self.surnames, surnames), self.word, self.small
+        return x
+
+    def unknown(self, text: str | None) -> set[str]:
+        """Words of a text, in lower case, that may be names and are in neither list."""
+        t = unquoted(text)[0] if text else ""
+        return {u for p in (self.word, self.small) for u in map(str.lower, p.findall(t)) if len(u) > 1 and u not in self.given and u not in self.surnames}
+
+    def _lower(self, t: str) -> Iterator[tuple[int, int]]:
+        """Spans of names written in lower case: two that go together, or one where a name must stand."""
+        used, words = -1, [(m.start(), m.end(), m.group()) for m in self.small.finditer(t)]
+        for k, (a, e, w) in enumerate(words):
+            given, sur = w in self.given, w in self.surnames
+            if a < used or not (given or sur or len(w) == 1):
+                continue
+            end = 0
+            if k + 1 < len(words):
+                a2, e2, x = words[k + 1]
+                g = t[e:a2]
+                if (given or sur and x in self.given) and (x in self.surnames or sur) and re.fullmatch(r"[ \t]*\n[ \t]*|[ \t]+", g):
+                    end = e2
+                elif sur and x in self.given and re.fullmatch(r",[ \t]*\n?[ \t]*", g):
+                    end = e2
+                elif len(w) == 1 and x in self.surnames and re.fullmatch(r"\.[ \t]*\n?[ \t]*", g):
+                    end = e2
+            if not end and (sur and _TITLE.search(t[max(0, a - 12) : a]) or given and w not in _WORDLIKE and self._stands(t, a, e)):
+                end = e
+            if end and not _FIRM.match(t[end:]):
+                used = end
+                yield a, end
 
     def find(self, t: str) -> list[tuple[int, int]]:
         """Spans of names in text without quote marks."""
@@ -254,7 +300,7 @@ class Names:
                 continue
             out.append((start, end))
             used = end
-        return out
+        return out + [(a, e) for a, e in self._lower(t) if all(e <= x or a >= y for x, y in out)]
 
     @staticmethod
     def _plain(t: str, word: tuple[int, int, str], before: str) -> bool:
@@ -264,15 +310,19 @@ class Names:
     @staticmethod
     def _alone(t: str, a: int, e: int, u: str) -> bool:
         """Whether a given name alone is one here: words that are ordinary too need a greeting, a line of its own or a title."""
-        line = t[t.rfind("\n", 0, a) + 1 : t.find("\n", e) if t.find("\n", e) >= 0 else len(t)]
-        before, after = line[: a - (t.rfind("\n", 0, a) + 1)], t[e : e + 3]
-        own = not before.strip(" \t*_[(") and re.match(r"^[ \t]*(?:[,:!.\-–—][ \t]*)?(?:\n|$)", t[e:])
-        greeting = re.search(r"(?i)(?:^|[\s,])(?:hello|hi|hey|dear|hallo|hola|bonjour|guten (?:tag|morgen)|liebe[rs]?|estimad[oa]|chère?|salut|buenos días|good morning|regards|thanks|best|cheers|soon|saludos?|grüßen?|vous|cordialement|and|und|et|y)[,\s]*$", before)
-        if own or greeting:
+        if Names._stands(t, a, e):
             return True
         if u in _WORDLIKE:
             return False
-        return bool(re.match(r"[\s,.:;!?)'’]|$", after))
+        return bool(re.match(r"[\s,.:;!?)'’]|$", t[e : e + 3]))
+
+    @staticmethod
+    def _stands(t: str, a: int, e: int) -> bool:
+        """Whether a name must stand here: after a greeting or farewell, or on a line of its own."""
+        before = t[t.rfind("\n", 0, a) + 1 : a]
+        own = not before.strip(" \t*_[(") and re.match(r"^[ \t]*(?:[,:!.\-–—][ \t]*)?(?:\n|$)", t[e:])
+        greeting = re.search(r"(?i)(?:^|[\s,])(?:hello|hi|hey|dear|hallo|hola|bonjour|guten (?:tag|morgen)|liebe[rs]?|estimad[oa]|chère?|salut|buenos días|good morning|regards|thanks|best|cheers|soon|saludos?|grüßen?|vous|cordialement|and|und|et|y)[,\s]*$", before)
+        return bool(own or greeting)
 
 
 def spans(text: str | None, names: Names) -> list[tuple[int, int, str, str]]:
@@ -349,12 +399,10 @@ def redact(text: str | None, names: Names) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def header_names(mails: DataFrame, share: int = NAME_SHARE) -> Names:
-    """Given names and surnames counted over the headers of all mails.
+def header_counts(mails: DataFrame) -> DataFrame:
+    """``(w, g, s)``: how often each name is a given name and a surname over the headers of all mails.
 
-    Read from sender fields and from header lines of quoted mails, as "Given Surname" or "Surname,
-    Given". Counting is distributed; only names above one in ``share`` of all come to the driver, so
-    at most ``2 * share`` do.
+    Read from sender fields and from header lines of quoted mails, as "Given Surname" or "Surname, Given".
     """
     full = rf"{_CAP}[\p{{L}}'’-]+[ \t]+{_CAP}[\p{{L}}'’-]+"
     turned = rf"{_CAP}[\p{{L}}'’-]+,[ \t]*{_CAP}[\p{{L}}'’-]+"
@@ -370,50 +418,91 @@ def header_names(mails: DataFrame, share: int = NAME_SHARE) -> Names:
     given = F.lower(F.trim(F.when(back, F.element_at(F.split("x", ","), -1)).otherwise(F.element_at(F.split("x", r"[ \t]+"), 1))))
     last = F.lower(F.trim(F.when(back, F.element_at(F.split("x", ","), 1)).otherwise(F.element_at(F.split("x", r"[ \t]+"), -1))))
     parts = hits.select(F.explode(F.array(F.struct(F.lit(True).alias("given"), given.alias("w")), F.struct(F.lit(False).alias("given"), last.alias("w")))).alias("p")).select("p.*")
-    counts = parts.where(F.length("w") > 1).groupBy("w").agg(F.count_if("given").alias("g"), F.count_if(~F.col("given")).alias("s")).persist()
+    return parts.where(F.length("w") > 1).groupBy("w").agg(F.count_if("given").alias("g"), F.count_if(~F.col("given")).alias("s"))
+
+
+def _frequent(counts: DataFrame, share: int) -> tuple[Names, int]:
+    """Names above one in ``share`` of all, at most ``2 * share``, and the count of header names one must exceed in ``(g + s) * share``."""
     total = counts.agg(F.sum("g")).head()[0] or 0
     rows = counts.where((F.col("g") + F.col("s")) * share > total).collect()
-    counts.unpersist()
-    return Names({r.w for r in rows if r.g > r.s}, {r.w for r in rows if r.s >= r.g})
+    return Names({r.w for r in rows if r.g > r.s}, {r.w for r in rows if r.s >= r.g}), total
+
+
+def header_names(mails: DataFrame, share: int = NAME_SHARE) -> Names:
+    """The frequent given names and surnames of ``header_counts``; only these come to the driver."""
+    return _frequent(header_counts(mails), share)[0]
+
+
+def _with_rare(rows: DataFrame, rare: DataFrame, names: Names) -> DataFrame:
+    """Mails with those of the rare names ``(w, given)`` that each of them may hold."""
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            out = [(i, w) for i, body, sender in zip(b["id"], b["body"], b["from_address"]) for w in sorted(known.unknown(body) | known.unknown(sender))]
+            yield pd.DataFrame(out, columns=["id", "w"]).astype({"id": "int64"})
+
+    held = rows.select("id", "body", "from_address").mapInPandas(words, "id bigint, w string").join(rare, "w").groupBy("id").agg(F.collect_list(F.struct("w", "given")).alias("rare"))
+    return rows.join(held, "id", "left")
 
 
+_RARE = "array<struct<w: string, given: boolean>>"
 FOUND = "array<struct<field_name: string, pii_kind: string, found_text: string>>"
 
 
-def _mails(mails: DataFrame, names: Names | None) -> tuple[DataFrame, Names]:
+def _mails(mails: DataFrame, names: Names | None, share: int) -> tuple[DataFrame, Names]:
+    """Each mail once with its rare names, and the names that all share."""
     rows = one_row_per(mails.select("id", "body", "from_address"), "id")
-    return spread(rows, "id"), names or header_names(rows)
+    if names:
+        return spread(rows, "id").withColumn("rare", F.lit(None).cast(_RARE)), names
+    counts = header_counts(rows).persist()
+    names, total = _frequent(counts, share)
+    rare = kept(counts.where((F.col("g") + F.col("s")) * share <= total).select("w", (F.col("g") > F.col("s")).alias("given")))
+    counts.unpersist()
+    rows = spread(rows, "id")
+    if rare.isEmpty():
+        return rows.withColumn("rare", F.lit(None).cast(_RARE)), names
+    return _with_rare(rows, rare, names), names
+
+
+def _known(names: Names, rare) -> Names:
+    if rare is None or not len(rare):
+        return names
+    return names.plus({r["w"] for r in rare if r["given"]}, {r["w"] for r in rare if not r["given"]})
 
 
-def find(mails: DataFrame, names: Names | None = None) -> DataFrame:
+def find(mails: DataFrame, names: Names | None = None, share: int = NAME_SHARE) -> DataFrame:
     """``(id, field_name, pii_kind, found_text)``, each different item of a mail's body and sender once.
 
     Mails are taken once by id (repeated rows that differ: the first by body); null ids are left
     out; null and empty fields have no items; long texts are read whole; an empty table gives an
     empty one. Other columns are ignored.
     """
-    rows, names = _mails(mails, names)
+    rows, names = _mails(mails, names, share)
     shared = mails.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for b in batches:
             out = []
-            for i, body, sender in zip(b["id"], b["body"], b["from_address"]):
-                out += sorted({(i, field, kind, x) for field, text in (("body", body), ("from_address", sender)) for _, _, kind, x in spans(text, known)})
+            for i, body, sender, rare in zip(b["id"], b["body"], b["from_address"], b["rare"]):
+                own = _known(known, rare)
+                out += sorted({(i, field, kind, x) for field, text in (("body", body), ("from_address", sender)) for _, _, kind, x in spans(text, own)})
             yield pd.DataFrame(out, columns=["id", "field_name", "pii_kind", "found_text"]).astype({"id": "int64"})
 
     return rows.mapInPandas(run, "id bigint, field_name string, pii_kind string, found_text string")
 
 
-def redacted(mails: DataFrame, names: Names | None = None) -> DataFrame:
+def redacted(mails: DataFrame, names: Names | None = None, share: int = NAME_SHARE) -> DataFrame:
     """``(id, body, from_address)`` with placeholders such as [EMAIL] for personal items; see ``find``."""
-    rows, names = _mails(mails, names)
+    rows, names = _mails(mails, names, share)
     shared = mails.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "body": [redact(x, known) for x in b["body"]], "from_address": [redact(x, known) for x in b["from_address"]]})
+            own = [_known(known, rare) for rare in b["rare"]]
+            yield pd.DataFrame({"id": b["id"], "body": list(map(redact, b["body"], own)), "from_address": list(map(redact, b["from_address"], own))})
 
     return rows.mapInPandas(run, "id bigint, body string, from_address string")
