@@ -224,3 +224,13 @@ def test_windows_drop_what_is_too_late(spark, tmp_path):
     w()
     got = {(r.start.minute, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert (0, 1) in got and (0, 2) not in got
+
+
+def test_entities_and_keyphrases_of_every_chunk(spark, tmp_path):
+    from velarium.plans.more import flt12_entities_and_keyphrases
+
+    many = [f" Name{i} " for i in range(14)]
+    c = [("a", ["Agreement", *many, None, ""], [f"K{i}" for i in range(8)]), ("b", ["Acme Services Agreement", "PARTY", "x", "y", "x"], None), ("c", None, ["k ", None]), ("b", ["Acme Services Agreement", "PARTY", "x", "y", "x"], None)]
+    spark.createDataFrame(c, "chunk_id string, entities array<string>, keyphrases array<string>").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = rows(flt12_entities_and_keyphrases(spark, str(tmp_path)))
+    assert got == [("a", [f"name{i}" for i in range(12)], [f"k{i}" for i in range(6)]), ("b", ["acme services agreement", "x", "y", "x"], []), ("c", [], ["k"])]

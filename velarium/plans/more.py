@@ -290,6 +290,18 @@ def flt12_generic_entities(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", F.slice(F.filter(F.array_distinct("entities"), lambda x: x.isNotNull() & ~F.lower(x).isin("party", "agreement", "company", "date")), 1, 12).alias("kept"))
 
 
+#: Entities too general to link chunks. Fixed values of the reference.
+_GENERIC = "agreement|party|parties|company|companies|product|products|affiliate|affiliates|recipient|provider|contractor|vendor|customer|customers|service|services|8-k|10-k|10-q|s-1|exhibit|securities_and_exchange_commission|sec|inc|llc|ltd|corp|corporation".replace("_", " ").split("|")
+
+
+@query(None)
+def flt12_entities_and_keyphrases(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of FLT12 over every chunk: at most 12 entities off the stop-list and 6 keyphrases, in order; ``flt12_generic_entities`` is the part its SQL says."""
+    strip = lambda a: F.transform(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.regexp_replace(F.lower(x), r"(?U)^\s+|\s+\z", ""))
+    kept = F.filter(strip(F.col("entities")), lambda x: (x != "") & ~x.isin(_GENERIC))
+    return read(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", F.slice(kept, 1, 12).alias("kept"), F.slice(strip(F.col("keyphrases")), 1, 6).alias("keyphrases")).distinct()
+
+
 @query("SELECT step_id, CAST(regexp_matches(action_args_json, '(?i)\\bwhere\\b') AS INT) AS has_where FROM steps WHERE lower(replace(trim(action_name, ' '), '-', '_')) = 'sql_query' AND action_args_json IS NOT NULL")
 def flt15_sql_checks(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "steps").where((F.lower(F.replace(F.trim("action_name"), F.lit("-"), F.lit("_"))) == "sql_query") & F.col("action_args_json").isNotNull())
