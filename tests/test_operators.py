@@ -234,3 +234,29 @@ def test_entities_and_keyphrases_of_every_chunk(spark, tmp_path):
     spark.createDataFrame(c, "chunk_id string, entities array<string>, keyphrases array<string>").write.parquet(str(tmp_path / "chunks.parquet"))
     got = rows(flt12_entities_and_keyphrases(spark, str(tmp_path)))
     assert got == [("a", [f"name{i}" for i in range(12)], [f"k{i}" for i in range(6)]), ("b", ["acme services agreement", "x", "y", "x"], []), ("c", [], ["k"])]
+
+
+def test_evidence_notes_equal_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from velarium.operators import evaluation
+    from velarium.plans.more import stx25_evidence_notes
+
+    head = re.compile(r"\[chunk_id=(\S+)\s+doc_id=(\S+)\s+score=([\d.]+)\]")
+    cap = lambda t, n: t[:n].rsplit(" ", 1)[0] + "…" if len(t) > n else t
+
+    def notes(t):
+        p = head.split(t)
+        if "No results found" in p[0]:
+            return "No results found."
+        out = [f"evidence[chunk_id={p[i]} doc_id={p[i + 1]} score={p[i + 2]}]: " + cap(re.split(r"(?<=[.!?])\s|\n", p[i + 3].strip(), maxsplit=1)[0].strip(), 300) for i in range(1, len(p), 4)]
+        return "\n".join(out[:5]) or cap(t.strip(), 1500)
+
+    rng = random.Random(4)
+    parts = ["[chunk_id=d::1 doc_id=d score=0.5]", "[chunk_id=x\n doc_id=y score=1.]", "[chunk_id=cut doc", "\n", "\r\n", " ", "A line. ", "B!\n", "1.5 ", "word " * 80, "w" * 320, "é…\u00a0", "No results found"]
+    texts = ["".join(rng.choices(parts, [4, 2, 1, 3, 1, 3, 3, 2, 2, 1, 1, 1, 0.1], k=rng.randint(0, 30))) for _ in range(300)] + ["word " * 400, "", "a\nb. c"]
+    spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "tool_call_id long, result string").write.parquet(str(tmp_path / "tool_calls.parquet"))
+    assert dict(rows(stx25_evidence_notes(spark, str(tmp_path)))) == {i: notes(t) for i, t in enumerate(texts)}
+    one = spark.createDataFrame([("First\nline ends. Next",)], "t string").select(evaluation.first_sentence(F.col("t"), 300))
+    assert one.head()[0] == "First\nline ends."

@@ -69,4 +69,30 @@ def gate_verdict(gates: dict[str, Column]) -> Column:
 
 def first_sentence(c: Column, most: int) -> Column:
     """The first sentence, cut to ``most`` characters; the whole text without an end of a sentence."""
-    return F.substring(F.when(c.rlike(r"[.!?](\s|$)"), F.regexp_extract(c, r"^(.*?[.!?])(\s|$)", 1)).otherwise(c), 1, most)
+    return F.substring(F.when(c.rlike(r"[.!?](\s|$)"), F.regexp_extract(c, r"(?s)^(.*?[.!?])(\s|$)", 1)).otherwise(c), 1, most)
+
+
+_HEADER = r"(?U)\[chunk_id=(\S+)\s+doc_id=(\S+)\s+score=([\d.]+)\]"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
+def _capped(c: Column, most: int) -> Column:
+    """A text over ``most`` characters cut there, without its last piece of a word."""
+    return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.substring(c, 1, most), r"(?s) [^ ]*\z", ""), F.lit("…"))).otherwise(c)
+
+
+def compressed(c: Column, chunks: int = 5, most: int = 300) -> Column:
+    """Tool output as evidence notes: the first ``chunks`` passages under a header, each by its first sentence or line; text without headers is only cut."""
+    found = F.regexp_extract_all(c, F.lit(rf"(?s){_HEADER}.*?(?={_HEADER}|\z)"), F.lit(0))
+
+    def note(x: Column) -> Column:
+        part = lambda i: F.regexp_extract(x, _HEADER, i)
+        body = _stripped(F.regexp_replace(x, "^" + _HEADER, ""))
+        first = _stripped(F.split(body, r"(?U)(?<=[.!?])\s|\n", 2)[0])
+        return F.concat(F.lit("evidence[chunk_id="), part(1), F.lit(" doc_id="), part(2), F.lit(" score="), part(3), F.lit("]: "), _capped(first, most))
+
+    none = F.split(c, _HEADER, 2)[0].contains("No results found")
+    return F.when(none, "No results found.").when(F.size(found) > 0, F.array_join(F.transform(F.slice(found, 1, chunks), note), "\n")).otherwise(_capped(_stripped(c), chunks * most))

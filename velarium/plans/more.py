@@ -130,6 +130,12 @@ def stx25_compress(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "tool_calls").where("result is not null").where(~F.col("result").rlike(r"[\n\r]")).select("tool_call_id", E.first_sentence(F.col("result"), 300).alias("brief"))
 
 
+@query(None)
+def stx25_evidence_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of STX25 over every result, of several lines too; ``stx25_compress`` is the part its SQL says."""
+    return read(spark, d, "tool_calls").where("result is not null").select("tool_call_id", E.compressed(F.col("result")).alias("notes"))
+
+
 @query(rf"""
 WITH n AS (SELECT trajectory_id, TRY_CAST(replace(regexp_extract(p, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS x, TRY_CAST(replace(regexp_extract(g, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS y FROM {_PAIRS})
 SELECT trajectory_id, CASE WHEN y = 0 THEN x = 0 ELSE abs(x - y) / abs(y) <= 0.02 END AS close_2pct, CASE WHEN y = 0 THEN x = 0 ELSE abs(x - y) / abs(y) <= 0.01 END AS close_1pct FROM n WHERE x IS NOT NULL AND y IS NOT NULL""")
