@@ -319,6 +319,17 @@ def test_languages_held_out(spark, model):
     assert right / len(docs) > 0.85  # labels themselves are wrong in part
 
 
+def test_model_is_trained_on_every_text(spark):
+    """Long texts, rare languages and copies: the distributed counts are those of all different texts."""
+    en = [f"The supplier must pay each invoice within {'x' * (i % 9 + 1)}ten days because it is due." for i in range(400)]
+    long = ["Najemca odpowiada za szkody, ponieważ umowa nie została rozwiązana. " * 200 + "x", "De huurder moet de rekening betalen voordat het contract wordt beëindigd. " * 3]
+    df = spark.createDataFrame([(x,) for x in [*en, *long, *[long[1]] * 50, "", None, "中文"]], "text string")
+    want = language.fit({x for x in [*en, *long, "中文"]})
+    got = language.fit_on(df)
+    assert (got.table == want.table).all()
+    assert (language.fit([]).table != want.table).any(axis=1)[language.LATIN.index("pl")]
+
+
 def test_language_cases(spark, model):
     df = spark.createDataFrame(
         [(1, "The supplier must pay each invoice within ten days.", None), (2, "Der Lieferant muss alle Rechnungen rechtzeitig begleichen.", "en"), (3, "The draft was sent out this morning. Der Mieter haftet für unmittelbare Schäden, weil der Vertrag nichts anderes vorsieht.", "English"), (4, None, None), (5, " \n", "de"), (6, "9da5c79587f3ac54", None), (7, "供应商根据附件57的规定不得转让其权利。", "zh-CN")],

@@ -3,8 +3,9 @@
 Every sentence gets a likelihood for each language from word-bounded character n-grams. For each
 document, expectation-maximisation estimates the share of each language over its sentences; a
 language joins the document's set only if it raises the likelihood by more than a penalty. The
-n-gram model is trained on a bounded sample of the corpus itself, started from function words, so
-neither outside data nor the documents' labels are needed.
+n-gram model is trained on all different texts of the corpus itself, started from function words, so
+neither outside data nor the documents' labels are needed; the counting is distributed, and only the
+tables, of fixed size, come to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velarium.llm.common import spread
+from velarium.llm.common import kept, spread
 
 #: Function words that start the training. Fixed values.
 FUNCTION_WORDS = {
@@ -56,10 +57,9 @@ NAMES = {
 }
 _NAMED = {w: k for k, v in NAMES.items() for w in v.split()}
 BUCKETS = 1 << 16
-#: Documents the model is trained on, the first by hash of their text.
-FIT_ROWS = 3000
-#: Code points above which a document is not taken into that sample; bounds what the driver gets.
-FIT_CHARS = 10_000
+#: N-grams of a language that its counts stand for at most, so that function words and unseen n-grams weigh the same in a corpus of any size.
+EVIDENCE = 100_000
+VOTES = [f"v{i}" for i in range(len(LATIN))]
 #: Nats by which a further language must raise a document's likelihood.
 PENALTY = 8.0
 #: Nats by which a sentence must prefer its language to the document's main one to stand for it.
@@ -151,58 +151,115 @@ class Model:
         return self._words[at].sum(axis=0, dtype=np.float64) if at else np.zeros(len(LATIN))
 
 
-def _tables(labelled: Iterable[tuple[tuple[str, ...], int]]) -> Model:
-    counts = np.zeros((len(LATIN), BUCKETS))
+def _tables(seen: np.ndarray) -> Model:
+    """Model of n-gram counts by language, beside those of the function words."""
+    counts = seen * np.minimum(1.0, EVIDENCE / np.maximum(1, seen.sum(axis=1, keepdims=True)))
     for k, lang in enumerate(LATIN):
         for w in FUNCTION_WORDS[lang]:
             np.add.at(counts[k], _grams(w), 2.0)
-    idx: list[list[int]] = [[] for _ in LATIN]
-    for words, best in labelled:
-        for w in words:
-            idx[best] += _grams(w)
-    for k, x in enumerate(idx):
-        counts[k] += np.bincount(x, minlength=BUCKETS) if x else 0
     # A flat prior over languages: each language's counts as if it had as much text as the others.
     counts *= counts.sum(axis=1).mean() / counts.sum(axis=1, keepdims=True)
     counts += 0.05
     return Model(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
+_STARTS = [set(FUNCTION_WORDS[k]) for k in LATIN]
+
+
+def _score(model: Model | None, words: tuple[str, ...]) -> np.ndarray:
+    """How well words fit each language: function words before there is a model."""
+    if model is None:
+        return np.array([sum(x in s for x in words) for s in _STARTS], dtype=float) * 2
+    x = model.score(list(words))
+    return np.maximum(x - x.max(), -30.0)
+
+
+def _parts(text: str) -> list[tuple[str, ...]]:
+    return [tuple(w) for s in sentences(text) for script, w, _ in [words_of(s)] if not script and len(w) > 1]
+
+
+def _vote(scores: list[np.ndarray]) -> int:
+    """Language that a document's sentences prefer together; -1 if two are as good."""
+    total = np.sum(scores, axis=0)
+    top = np.sort(total)
+    return int(total.argmax()) if top[-1] > top[-2] else -1
+
+
+def _label(score: np.ndarray, votes: np.ndarray) -> int:
+    """Language of a sentence by its own score and its documents' votes; -1 if it isn't clear."""
+    x = score - score.max() + 8 * votes / max(1.0, votes.sum())
+    top = np.sort(x)
+    return int(x.argmax()) if top[-1] > top[-2] + 1 else -1
+
+
+def _add(seen: np.ndarray, words: tuple[str, ...], lang: int) -> None:
+    if lang >= 0:
+        for w in words:
+            np.add.at(seen[lang], _grams(w), 1)
+
+
 def fit(texts: Iterable[str], rounds: int = 2) -> Model:
     """Train on texts: function words give each document a language, then the model takes over.
 
     A sentence is labelled by its own likelihood and by the languages of all documents it stands in,
     so that short sentences without function words follow their usual company.
     """
-    sets = {k: set(FUNCTION_WORDS[k]) for k in LATIN}
-    docs = [[tuple(w) for s in sentences(t) for script, w, _ in [words_of(s)] if not script and len(w) > 1] for t in texts if t]
-    docs = [d for d in docs if d]
-    score = {w: np.array([sum(x in sets[k] for x in w) for k in LATIN], dtype=float) * 2 for d in docs for w in d}
-    model = _tables([])
+    docs = [d for d in (_parts(t) for t in texts if t) if d]
+    model = None
     for _ in range(rounds + 1):
+        score = {w: _score(model, w) for d in docs for w in d}
         votes = {w: np.zeros(len(LATIN)) for w in score}
         for d in docs:
-            total = np.sum([score[w] for w in d], axis=0)
-            top = np.sort(total)
-            if top[-1] > top[-2]:
+            k = _vote([score[w] for w in d])
+            if k >= 0:
                 for w in d:
-                    votes[w][int(total.argmax())] += 1
-        labelled = []
+                    votes[w][k] += 1
+        seen = np.zeros((len(LATIN), BUCKETS), dtype=np.int64)
         for w, v in votes.items():
-            x = score[w] - score[w].max() + 8 * v / max(1.0, v.sum())
-            top = np.sort(x)
-            if top[-1] > top[-2] + 1:
-                labelled.append((w, int(x.argmax())))
-        model = _tables(labelled)
-        score = {w: model.score(list(w)) for w in score}
-        score = {w: np.maximum(x - x.max(), -30.0) for w, x in score.items()}
+            _add(seen, w, _label(score[w], v))
+        model = _tables(seen)
     return model
 
 
-def fit_on(docs: DataFrame, text_col: str = "text", rows: int = FIT_ROWS) -> Model:
-    """Train on a bounded sample: of the texts up to ``FIT_CHARS`` the ``rows`` first by hash, whole."""
-    sample = docs.where(F.length(text_col).between(1, FIT_CHARS)).select(F.col(text_col).alias("t")).orderBy(F.xxhash64("t"), "t").limit(rows)
-    return fit([r.t for r in sample.collect()])
+def fit_on(docs: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
+    """``fit`` over all different texts of a table, each whole: votes and n-grams are counted by the tasks."""
+    sc = docs.sparkSession.sparkContext
+    texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).distinct()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"d": [x for x in ([" ".join(w) for w in _parts(t)] for t in b["t"]) if x]})
+
+    parts = kept(spread(texts, "t").mapInPandas(split, "d array<string>"))
+    model = None
+    for _ in range(rounds + 1):
+        shared = sc.broadcast((model,))
+
+        def vote(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            m = shared.value[0]
+            for b in batches:
+                out = []
+                for d in b["d"]:
+                    k = _vote([_score(m, tuple(s.split(" "))) for s in d])
+                    out += [(s, k) for s in d]
+                yield pd.DataFrame(out, columns=["s", "k"]).astype({"k": "int32"})
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            m, seen = shared.value[0], np.zeros((len(LATIN), BUCKETS), dtype=np.int64)
+            for b in batches:
+                for s, v in zip(b["s"], b[VOTES].to_numpy(dtype=float)):
+                    w = tuple(s.split(" "))
+                    _add(seen, w, _label(_score(m, w), v))
+            flat = seen.ravel()
+            at = np.flatnonzero(flat)
+            yield pd.DataFrame({"cell": at.astype("int32"), "n": flat[at]})
+
+        votes = parts.mapInPandas(vote, "s string, k int").groupBy("s").agg(*[F.count_if(F.col("k") == i).alias(v) for i, v in enumerate(VOTES)])
+        found = spread(votes, "s").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        seen = np.zeros(len(LATIN) * BUCKETS, dtype=np.int64)
+        seen[found["cell"].to_numpy()] = found["n"].to_numpy()
+        model = _tables(seen.reshape(len(LATIN), BUCKETS))
+    return model
 
 
 def mixture(model: Model, text: str | None) -> tuple[list[tuple[str, float]], list[tuple[int, str, str, float, int, int]]]:
