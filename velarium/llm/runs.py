@@ -1,7 +1,7 @@
 """Runs of the same event within ordered sequences, collapsed into one event each.
 
-A sequence becomes a string with one code point for each event; events that mean the same as the
-one before get its code point, and one regular expression with a back-reference finds the runs.
+A sequence becomes a string with one code point for each event: events that mean the same have the
+same code point wherever they stand, and one regular expression with a back-reference finds the runs.
 Sequences are cut into blocks of ``BLOCK`` step numbers that separate tasks work on, so the longest
 sequence never meets in one task; a second pass joins the runs that touch block borders and sees at
 most two rows of each block.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,10 +24,10 @@ from velarium.llm.common import kept, tasks
 
 #: Step numbers in a block.
 BLOCK = 4096
-#: Arguments that only track a request. Fixed values.
+#: Arguments that only track a request; ids of what a call is about (message, job, run, event) are none. Fixed values.
 TRACKING = re.compile(
-    r"(?i)^_?(?:(?:request|req|call|tool_call|trace|span|correlation|session|idempotency|message|msg|event|run|job|client|x_request)_?(?:id|key|no|nr|number|uuid|token)|trace|traceparent|nonce|uuid|guid|"
-    r"(?:retry|retries|attempt|attempts|try|tries)(?:_?(?:no|nr|number|count|id))?|(?:sent|requested|created|issued|called|started|updated|queued)_?(?:at|on|ts|time)|timestamp|ts|time|now|datetime|seq|sequence)$"
+    r"(?i)^_?(?:(?:request|req|call|tool_call|trace|span|correlation|idempotency|x_request)_?(?:id|key|no|nr|number|uuid|token)|trace|traceparent|nonce|uuid|guid|"
+    r"(?:retry|retries|attempt|attempts|try|tries)(?:_?(?:no|nr|number|count|id))?|(?:sent|requested|called|queued)_?(?:at|on|ts|time)|timestamp|ts)$"
 )
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[^\w\s]|_")
@@ -63,7 +64,11 @@ def _value(x) -> list:
             return ["%.12g" % float(t)]
         return [("%.12g" % float(m)) if m[0].isdigit() and m.count(".") < 2 and "," not in m and len(m) < 16 and (m[0] != "0" or "." in m) else m for m in _TOKEN.findall(t)]
     if isinstance(x, list):
-        return ["["] + [t for v in sorted((_value(v) for v in x), key=str) for t in [*v, ";"]] + ["]"]
+        # The order of words, as of key words, says nothing; that of numbers and objects does.
+        parts = [_value(v) for v in x]
+        if all(isinstance(v, str) and v.strip()[:1].isalpha() for v in x):
+            parts.sort(key=str)
+        return ["["] + [t for v in parts for t in [*v, ";"]] + ["]"]
     return ["{"] + [t for k in sorted(x) if not TRACKING.match(k) for t in [k.lower(), ":", *_value(x[k]), ";"]] + ["}"]
 
 
@@ -116,18 +121,28 @@ def same_call(a: tuple[str, tuple[str, ...]], b: tuple[str, tuple[str, ...]]) ->
     return True
 
 
+def symbols(calls: Iterable[tuple[str | None, str | None]]) -> str:
+    """One code point for each call; calls that mean the same share one, a call without a name has its own.
+
+    Words may differ by slips, so a form is compared with the more frequent ones that have the same
+    number of tokens and the same tokens that aren't words; slips thus go with the right spelling.
+    """
+    forms = [canonical(action, args) if action and action.strip() else None for action, args in calls]
+    codes = (chr(k) for k in range(0x100, 0x110000) if not 0xD800 <= k < 0xE000)
+    known: dict[tuple, str] = {}
+    near: dict[tuple, list[tuple]] = {}
+    for form, _ in Counter(f for f in forms if f is not None).most_common():
+        alike = near.setdefault(tuple(t if not t.isalpha() else "" for t in form[1]), [])
+        twin = next((x for x in alike if same_call(x, form)), None)
+        if twin is None:
+            alike.append(form)
+        known[form] = known[twin] if twin else next(codes)
+    return "".join(known[f] if f is not None else next(codes) for f in forms)
+
+
 def spans(calls: Iterable[tuple[str | None, str | None]]) -> list[tuple[int, int]]:
     """``[start, end)`` of each run of one or more calls; calls without a name stand alone."""
-    symbols, code, last = [], 0x100, None
-    for action, args in calls:
-        call = canonical(action, args) if action and action.strip() else None
-        if last is None or call is None or not same_call(last, call):
-            code += 1
-            if 0xD800 <= code < 0xE000:
-                code = 0xE000
-        symbols.append(chr(code))
-        last = call
-    text, out, at = "".join(symbols), [], 0
+    text, out, at = symbols(calls), [], 0
     for m in _RUN.finditer(text):
         out += [(k, k + 1) for k in range(at, m.start())] + [m.span()]
         at = m.end()
