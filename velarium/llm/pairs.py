@@ -1,7 +1,8 @@
 """Defects of question and answer pairs: empty, truncated, refusal, copy of the question, other language.
 
-Shortened answers are found by sorting all answers by text: if an answer continues another one, the
-next different answer in that order begins with it, so comparing neighbours finds every one. Lengths
+Shortened answers are found by sorting all answers by text: those that begin with a given answer follow
+it without a gap, so one pass that keeps the answers still open as prefixes of the one at hand compares
+each with all that continue it. Lengths
 at which far more answers stop in mid-sentence than around them are taken for a length limit.
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velarium.llm.common import kept, one_row_per, spread, tasks
@@ -158,35 +159,46 @@ def shortened(texts: DataFrame, col: str) -> DataFrame:
 
     A text counts only if it does not itself end like a sentence and has two words or more, so that
     complete short answers are not taken for the beginnings of longer ones. Sorting is by range, so
-    no task holds more than its part however many texts begin alike.
+    no task holds more than its part however many texts begin alike; a text that is still open at
+    the end of its task is compared with the tasks after it.
     """
     spark = texts.sparkSession
-    rows = texts.select(F.col(col).alias("t")).where(F.length("t") > 0).distinct().repartitionByRange(tasks(spark), "t").sortWithinPartitions("t")
-
-    def keep(a: str, b: str) -> bool:
-        return b.startswith(a) and len(a.split()) >= 2 and not _END.search(_TAG.sub("", a).strip()) and bool(re.match(r"\w", b[len(a) :]) or b[len(a) :].startswith(" "))
+    rows = kept(texts.select(F.col(col).alias("t")).where(F.length("t") > 0).distinct().repartitionByRange(tasks(spark), "t").sortWithinPartitions("t"))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, first, last = TaskContext.get().partitionId(), None, None
+        task, first, open_ = TaskContext.get().partitionId(), None, []
         for b in batches:
             out = []
             for t in b["t"]:
                 if first is None:
                     first = t
-                elif keep(last, t):
-                    out.append((task, "found", last, None))
-                last = t
-            yield pd.DataFrame(out, columns=["task", "kind", "t", "u"])
-        if first is not None:
-            yield pd.DataFrame([(task, "border", first, last)], columns=["task", "kind", "t", "u"])
-
-    found = rows.mapInPandas(near, "task int, kind string, t string, u string")
-    after = F.lead("t").over(Window.orderBy("task"))  # one row for each task of the sort
-    border = found.where("kind = 'border'").select("u", after.alias("v")).where("v is not null")
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[keep(x, y) for x, y in zip(b["u"], b["v"])]]
+                    out.append((task, "first", t))
+                out += [(task, "found", a) for a in open_ if _continued(a, t)]
+                # Texts that the one at hand doesn't begin with can't begin a later one.
+                open_ = [a for a in open_ if t.startswith(a) and not _continued(a, t)]
+                if _unfinished(t):
+                    open_.append(t)
+            yield pd.DataFrame(out, columns=["task", "kind", "t"])
+        yield pd.DataFrame([(task, "open", a) for a in open_], columns=["task", "kind", "t"])
+
+    seen = kept(rows.mapInPandas(near, "task int, kind string, t string"))
+    found = seen.where("kind = 'found'").select(F.col("t").alias(col))
+    # At most the prefixes of one text for each task, and the tasks whose first text begins with them.
+    first = seen.where("kind = 'first'").select(F.col("task").alias("later"), F.col("t").alias("f"))
+    left = seen.where("kind = 'open'").join(F.broadcast(first), (F.col("later") > F.col("task")) & F.startswith("f", "t")).select(F.col("later").alias("task"), F.col("t").alias("a"))
+    beyond = (
+        rows.withColumn("task", F.spark_partition_id())
+        .join(F.broadcast(left), "task")
+        .where(F.startswith("t", "a") & F.expr("substring(t, length(a) + 1, 1)").rlike(r"(?U)[\w ]"))
+        .select(F.col("a").alias(col))
+    )
+    return found.unionByName(beyond).distinct()
+
+
+def _unfinished(a: str) -> bool:
+    return len(a.split()) >= 2 and not _END.search(_TAG.sub("", a).strip())
+
 
-    border = border.mapInPandas(judge, "u string, v string").select(F.col("u").alias(col))
-    return found.where("kind = 'found'").select(F.col("t").alias(col)).unionByName(border).distinct()
+def _continued(a: str, b: str) -> bool:
+    """Whether ``b`` goes on where ``a`` stops, within a word or with the next."""
+    return b.startswith(a) and len(b) > len(a) and (b[len(a)] == " " or bool(re.match(r"\w", b[len(a)])))
