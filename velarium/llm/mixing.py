@@ -4,14 +4,15 @@ Every document of a source is used ``floor(e)`` times, where ``e`` is the use it
 once more with probability ``e - floor(e)``. Which ones get the further use is drawn by the cube
 method: fractional probabilities move along directions that change neither the expected number of
 documents nor the expected number of tokens until they are 0 or 1. Blocks of each source do that in
-parallel; the two or so documents of a block that stay fractional go on to the next round, until one
-block of each source is left and a small landing rounds it.
+parallel; the two or so documents of a block that stay fractional and a small reserve go on to the next round, until one
+block of each source is left and a landing rounds it with the least error in tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from velarium.llm.tokens import TOKENIZER, with_token_counts
 
 #: Documents of a source that one round of the cube method takes together.
 BLOCK = 2048
+#: One in so many documents of a block is left to the next round, besides those still open, so that the last one has a choice in landing.
+RESERVE = 32
 EPS = 1e-9
 
 
@@ -64,13 +67,42 @@ def flight(sizes: list[float], probs: list[float], draws: list[float]) -> list[f
     return p
 
 
-def landing(sizes: list[float], probs: list[float], draws: list[float]) -> list[float]:
-    """What the flight leaves fractional, rounded so that the number of documents stays nearest to its expectation."""
-    p, carry = list(probs), 0.0
-    for i in sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: draws[i % len(draws)]):
-        carry += p[i]
-        p[i] = 1.0 if carry >= 0.5 else 0.0
-        carry -= p[i]
+def landing(sizes: list[float], probs: list[float], draws: list[float], before: list[float] | None = None) -> list[float]:
+    """What the flight leaves fractional, rounded to the least error in tokens, then in documents.
+
+    All roundings of the last three open documents are tried; should more be open, the largest are
+    rounded first, each against the error so far. What error is left is mended by exchanging drawn
+    documents for others, of those that were fractional ``before`` the flight; this keeps their number.
+    """
+    p = list(probs)
+    open_ = sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: (-sizes[i], draws[i % len(draws)]))
+    tokens = docs = 0.0
+    for i in open_[:-3]:
+        up, down = tokens + (1 - p[i]) * sizes[i], tokens - p[i] * sizes[i]
+        tokens, docs, p[i] = (up, docs + 1 - p[i], 1.0) if abs(up) < abs(down) else (down, docs - p[i], 0.0)
+    rest = open_[-3:]
+    if rest:
+        moves = [(tokens + sum((x - p[i]) * sizes[i] for x, i in zip(t, rest)), docs + sum(x - p[i] for x, i in zip(t, rest)), t) for t in itertools.product((0.0, 1.0), repeat=len(rest))]
+        # Exchanges mend tokens but not the number of documents, so that comes first where they are possible.
+        tokens, docs, best = min(moves, key=lambda m: (abs(m[1]) >= 1 if before else False, abs(m[0]), abs(m[1])))
+        for x, i in zip(best, rest):
+            p[i] = x
+    if not before:
+        return p
+    loose = [i for i, x in enumerate(before) if EPS < x < 1 - EPS]
+    while abs(tokens) >= 0.5:
+        drawn, others = [i for i in loose if p[i] == 1], sorted((i for i in loose if p[i] == 0), key=lambda i: sizes[i])
+        if not drawn or not others:
+            break
+        have, size = np.array([sizes[i] for i in drawn]), np.array([sizes[i] for i in others])
+        up = np.clip(np.searchsorted(size, have - tokens), 0, len(size) - 1)
+        down = np.maximum(up - 1, 0)
+        pick = np.where(np.abs(size[down] - have + tokens) <= np.abs(size[up] - have + tokens), down, up)
+        left = tokens + size[pick] - have
+        k = int(np.abs(left).argmin())
+        if abs(left[k]) >= abs(tokens):
+            break
+        tokens, p[drawn[k]], p[others[int(pick[k])]] = float(left[k]), 0.0, 1.0
     return p
 
 
@@ -128,20 +160,21 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
         last = int(g["blocks"].iloc[0]) == 1
         sizes, probs = g["n_tokens"].astype(float).tolist(), g["p"].tolist()
         draws = _draws(f"{seed} {g['source'].iloc[0]} {g['h'].iloc[0]}", len(g))
-        p = flight(sizes, probs, draws)
+        fly_now = len(g) if last else len(g) - min(len(g), BLOCK // RESERVE)
+        p = flight(sizes[:fly_now], probs[:fly_now], draws) + probs[fly_now:]
         if last:
-            p = landing(sizes, p, draws)
+            p = landing(sizes, p, draws, probs)
         g = g.assign(p=p)
         g["final"] = (g["p"] < EPS) | (g["p"] > 1 - EPS)
-        # Two documents of each block go on; so many blocks are needed for those.
-        g["blocks"] = max(1, -(-int(g["blocks"].iloc[0]) * 3 // BLOCK))
+        # Two documents of each block and the reserve go on; so many blocks are needed for those.
+        g["blocks"] = max(1, -(-int(g["blocks"].iloc[0]) * (BLOCK // RESERVE + 3) // BLOCK))
         return g
 
     done = []
     most = goal.agg(F.max("n_docs")).head()[0] or 0
     rounds, n = 1, -(-most // BLOCK)
     while n > 1:
-        n, rounds = max(1, -(-n * 3 // BLOCK)), rounds + 1
+        n, rounds = max(1, -(-n * (BLOCK // RESERVE + 3) // BLOCK)), rounds + 1
     for _ in range(rounds):
         out = kept(open_.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks"))).groupBy("source", "block").applyInPandas(lambda g: fly(g.drop(columns="block")), schema))
         done.append(out.where("final"))
