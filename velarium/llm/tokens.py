@@ -10,6 +10,7 @@ common split on both agree to the end; that makes the join exact, not likely.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 PIECE = 200_000
 #: A split is sure only if this many code points follow it; the pattern looks ahead one.
 MARGIN = 2
+#: Before white space that follows something else there is always a split.
+_PARTED = re.compile(r"\S(?=[ \t\n])")
 
 
 @lru_cache(maxsize=4)
@@ -55,21 +58,42 @@ def _parts(enc, text: str, end: int) -> list[int]:
     return [i for m in _pattern().finditer(text) if m.end() <= end for i in enc.encode_ordinary(m.group())]
 
 
+def _last_start(text: str, window: int = 256) -> int:
+    """The last position of a text, but for its end, where every split pattern of this kind parts it; 0 if there is none.
+
+    White space only begins a split, so text is always parted before white space that follows
+    something else. Only the end of the text is read, in windows that double.
+    """
+    end = len(text) - MARGIN
+    while True:
+        a = max(0, end - window)
+        found = [m.start() + 1 for m in _PARTED.finditer(text, a, max(end, 0) + 1)]
+        if found:
+            return found[-1]
+        if a == 0:
+            return 0
+        window *= 2
+
+
 def join_encoded(path: str, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
     """Ids of ``left + right`` from the ids of both, encoding only a window around the join again."""
     if not left or not right:
         return [*left_ids, *right_ids]
+    tail_ids, own, skipped = _join(path, left, right)
+    return [*left_ids[: len(left_ids) - tail_ids], *own, *right_ids[skipped:]]
+
+
+def _join(path: str, left: str, right: str) -> tuple[int, list[int], int]:
+    """How many ids the left text loses at its end, the ids that come there, and how many the right one loses at its start."""
     enc = encoding(path)
-    start = max((e for e in _ends(left) if e <= len(left) - MARGIN), default=0)
-    tail, size = left[start:], 64
+    tail, size = left[_last_start(left) :], 64
     while True:
         head = right[:size]
         sure = len(head) if len(head) == len(right) else len(head) - MARGIN
         own = {e for e in _ends(head) if e <= sure}
         cut = next((e for x in _ends(tail + head) if (e := x - len(tail)) in own), 0)
         if cut:
-            kept, skipped = len(left_ids) - len(enc.encode_ordinary(tail)), len(_parts(enc, head, cut))
-            return [*left_ids[:kept], *_parts(enc, tail + head, len(tail) + cut), *right_ids[skipped:]]
+            return len(enc.encode_ordinary(tail)), _parts(enc, tail + head, len(tail) + cut), len(_parts(enc, head, cut))
         size *= 2
 
 
