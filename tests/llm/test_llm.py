@@ -394,3 +394,55 @@ def test_queries_run_and_match_sql(spark, name):
         assert got == sorted(c.execute(queries.oracle_sql()[name]).fetchall(), key=repr)
     elif name.endswith("_found"):
         assert got
+
+
+def test_runs_symbols_are_those_of_the_event_wherever_it_stands():
+    a, b = ("search", '{"q": "annual report"}'), ("search", '{"q": "notice period"}')
+    x = runs.symbols([a, b, a, (None, None), ("search", '{"q": "anual report"}'), ("search", '{"q": "annuall report"}'), a])
+    assert x[0] == x[2] == x[4] == x[5] == x[6] and x[1] != x[0] and x[3] not in (x[0], x[1])
+
+
+@pytest.mark.parametrize("a, b, same", [
+    (("get_message", '{"message_id": 1}'), ("get_message", '{"message_id": 2}'), False),
+    (("cancel", '{"job_id": "a1"}'), ("cancel", '{"job_id": "zz9"}'), False),
+    (("subtract", '{"operands": [3, 10]}'), ("subtract", '{"operands": [10, 3]}'), False),
+    (("find", '{"words": ["lease", "rent"]}'), ("find", '{"words": ["rent", "lease"]}'), True),
+    (("find", '{"q": "x", "attempt": 1, "sent_at": 17}'), ("find", '{"q": "x", "attempt": 2, "sent_at": 18}'), True),
+])
+def test_runs_what_is_the_same_call(a, b, same):
+    assert (runs.symbols([a, b])[0] == runs.symbols([a, b])[1]) is same
+
+
+def test_pairs_shortened_looks_past_the_next_answer(spark):
+    texts = ["foo bar", "foo bar, x", "foo barn door", "the price is five thousan", "the price is five thousan-x", "the price is five thousand crowns.", "abc def", "abc def."]
+    assert {r.t for r in pairs.shortened(spark.createDataFrame([(x,) for x in texts], "t string"), "t").collect()} == {"foo bar", "the price is five thousan"}
+
+
+def test_pairs_shortened_equals_brute_force_over_task_borders(spark):
+    rng = random.Random(3)
+    texts = sorted({" ".join(rng.choice(["a", "ab", "abc", "b", "a,", "b-"]) for _ in range(rng.randint(1, 5))) for _ in range(1500)})
+    got = {r.t for r in pairs.shortened(spark.createDataFrame([(x,) for x in texts], "t string"), "t").collect()}
+    assert got == {a for a in texts if pairs._unfinished(a) and any(pairs._continued(a, b) for b in texts)}
+
+
+def test_mixing_landing_has_the_least_token_error():
+    sizes, probs = [5000.0, 10.0, 30.0], [0.5, 0.5, 0.5]
+    p = mixing.landing(sizes, probs, [0.1])
+    error = lambda t: abs(sum((x - q) * s for x, q, s in zip(t, probs, sizes)))
+    assert error(p) == min(error(t) for t in itertools.product((0.0, 1.0), repeat=3))
+
+
+def test_mixing_shares_are_met_within_half_a_percent(spark):
+    docs, targets = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "mix_targets"))
+    rows = mixing.shares(mixing.mix(docs, targets), targets).where("n_tokens > 0").collect()
+    wanted = sum(r.target_share for r in rows)
+    assert max(abs(r.reached_share / (r.target_share / wanted) - 1) for r in rows) < 0.005
+
+
+def test_tokens_join_reads_only_the_end_of_the_left_text():
+    path, rng = tokens.TOKENIZER, random.Random(5)
+    enc = tokens.encoding(path)
+    for _ in range(500):
+        x = "".join(rng.choice(["a", "b", " ", "  ", "\n", "'s", "12", ".", "é", "中", "don't", "\t", "\u00a0", "\x1c", "word"]) for _ in range(rng.randint(0, 60)))
+        assert tokens.encode_tree(path, x, rng.choice([1, 3, 7, 17])) == enc.encode_ordinary(x)
+    assert tokens._last_start("x " * 100_000) > 199_000 and tokens._last_start("x" * 1000) == 0
