@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velarium.functions import jsonx, numbers, parsers, rules, text
+from velarium.operators import evaluation, rewards
 
 
 def one(spark, col, **values):
@@ -133,7 +134,7 @@ def test_calculate(e, want):
     assert parsers.calculate(e) == want
 
 
-@pytest.mark.parametrize("t,want", [("so \\boxed{\\frac{1}{2}} done", "\\frac{1}{2}"), ("... #### 42", "42"), ("The answer is 7.", "7"), ("x = 3", "3"), ("1 and 2,000", "2000"), ("", None)])
+@pytest.mark.parametrize("t,want", [("so \\boxed{\\frac{1}{2}} done", "0.5"), ("... #### 42", "42"), ("The answer is 7.", "7"), ("x = 3", "3"), ("1 and 2,000", "2000"), ("", ""), ("\\boxed{3} then #### 7", "7"), ("<SOLUTION>12</SOLUTION> of 99 items", "12"), ("#### 1,234 apples", "1234"), ("Therefore, Janet makes $18 every day for 5 days", "18")])
 def test_math_answer(t, want):
     assert parsers.math_answer(t) == want
 
@@ -154,3 +155,35 @@ def test_literal_rows():
     assert parsers.literal_rows("[(1, 'a'), (2, None)]") == [["1", "a"], ["2", "None"]]
     assert parsers.literal_rows("open('x')") is None
     assert json.loads("1") == 1
+
+
+@pytest.mark.parametrize(
+    "t, want",
+    [
+        ('<think><function=f></function></think>done', []), ('My dog is {"name": "Bob"}', []), ('<tool_call>{"name": "directly-answer", "arguments": {}}</tool_call>', []), ("the list is [2, 3]", []),
+        ('<tool_call>f\n<arg_key>q</arg_key>\n<arg_value>cats</arg_value></tool_call>', [("f", '{"q": "cats"}')]), ('<|START_ACTION|>[{"tool_call_id": "0", "tool_name": "f", "parameters": {"q": 1}}]<|END_ACTION|>', [("f", '{"q": 1}')]),
+        ('{"tool_names": ["f"], "parameters": {"q": 1}}', [("f", '{"q": 1}')]), ('{"function_name": "f", "arguments": "plain text"}', [("f", "plain text")]), ('<invoke name="f"><parameter name="q">cats</parameter></invoke>', [("f", '{"q": "cats"}')]),
+        ('Action: ```json\n[{"tool_name": "f", "parameters": {}}]\n```', [("f", "{}")]), ('to=functions.fjson{"a": 1}', [("f", '{"a": 1}')]), ('<function=f>{"a": oops}</function>', []), ('<tool_call>{"name": "f", "arguments": {"a": 1}}', [("f", '{"a": 1}')]),
+        ('<function=a><parameter=x>1</parameter></function><function=b></function>', [("a", '{"x": "1"}'), ("b", "{}")]), (None, []), ("", []),
+    ],
+)
+def test_parse_calls_notations(t, want):
+    assert parsers.parse_calls(t) == want
+
+
+def test_chunks_are_stripped_and_separators_begin_the_next():
+    t = "First sentence here. Second one is here. Third ends"
+    assert [t[a:b] for a, b in parsers.chunk_spans(t, 30, 0)] == ["First sentence here", ". Second one is here", ". Third ends"]
+    assert parsers.chunk_spans("  \n\n ", 3, 0) == [] and parsers.chunk_spans("", 5, 0) == []
+
+
+def test_scores_as_defined(spark):
+    one_ = lambda c, **v: one(spark, c, **v)
+    p, g = F.col("p"), F.col("g")
+    assert one_(numbers.number_recall(p, g), p="x", g="no numbers") == 1.0
+    assert one_(rewards.answer_correctness(p, g), p="The answer.", g="answer") == 0.5
+    assert one_(rewards.citation(p), p="see section 3 [1]") == 0.0 and one_(rewards.citation(p), p="see a.b@c.de") == 0.2
+    assert one_(rewards.placeholder_coverage(p, g), p="<answer>it was $5 and 7</answer>", g="$5 7% 9M") == 0.5
+    assert one_(evaluation.span_grounded(p, g), p="n/a", g="x") and not one_(evaluation.span_grounded(p, g), p="five words not in it", g="it")
+    assert one_(text.bare(p), p=" $1,779,000. ") == "1779000" and one_(text.bare(p), p="€5!") == "€5!"
+    assert one_(text.relaxed(p), p="Acme GmbH") == "acme" and one_(text.relaxed(p), p="Acme LP") == "acme lp"

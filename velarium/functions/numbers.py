@@ -74,10 +74,11 @@ def distinct_numbers(c: Column) -> Column:
 
 
 def number_recall(prediction: Column, gold: Column, tolerance: float = 0.02) -> Column:
-    """Share of gold's different numbers that the prediction has within tolerance; null without gold numbers."""
-    g, p = distinct_numbers(gold), numbers_in(prediction)
+    """Share of gold's different numbers, zero left out, that the prediction has within tolerance; 1 without such numbers."""
+    plain = lambda c: F.translate(c, "$%", "")
+    g, p = distinct_numbers(plain(gold)), numbers_in(plain(prediction))
     hit = F.filter(g, lambda x: F.exists(p, lambda y: F.abs(y - x) / F.abs(x) <= tolerance))
-    return F.when(F.size(g) > 0, F.round(F.size(hit) / F.size(g), 4))
+    return F.when(F.size(g) > 0, F.round(F.size(hit) / F.size(g), 4)).otherwise(1.0)
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:

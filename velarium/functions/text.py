@@ -14,6 +14,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """No ASCII white space at the ends."""
+    return F.regexp_replace(c, r"^[ \t\r\n\x0b\f]+|[ \t\r\n\x0b\f]+\z", "")
+
+
 def squad(c: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
     return squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), PUNCT, ""), r"\b(a|an|the)\b", " "))
@@ -24,11 +29,15 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda x: x != "")
 
 
+#: Legal forms of firms that an answer may leave off. Fixed values.
+FORMS = "inc llc ltd corp corporation co company gmbh plc".split()
+
+
 def relaxed(c: Column) -> Column:
     """Punctuation to blanks, leading article and trailing legal form of a firm removed."""
-    t = squeeze(F.regexp_replace(F.lower(c), PUNCT, " "))
-    t = F.regexp_replace(t, r"^(a|an|the) ", "")
-    return F.trim(F.regexp_replace(t, r" (inc|corp|corporation|company|co|ltd|llc|lp|plc)$", ""))
+    t = squeeze(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "))
+    t = F.regexp_replace(t, r"^(the|a|an) ", "")
+    return F.trim(F.regexp_replace(t, rf"(^|\W)({'|'.join(FORMS)})$", ""))
 
 
 def counts(a: Column) -> Column:
@@ -67,14 +76,14 @@ def exact(prediction: Column, gold: Column) -> Column:
 
 
 def bare(c: Column) -> Column:
-    """Without currency signs, percent signs, commas, blanks and closing punctuation; lower case."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[$€£,%\s]", ""), r"[.;:!?]+$", "")
+    """Lower case without closing stops and commas, then without dollar and percent signs, commas and blanks."""
+    return F.regexp_replace(F.regexp_replace(strip(F.lower(c)), r"[.,;:]+\z", ""), r"[$,%\s]", "")
 
 
 def answer(c: Column) -> Column:
     """What the answer tag holds, else the whole text."""
     p = r"(?is)<answer>(.*?)</answer>"
-    return F.trim(F.when(c.rlike(p), F.regexp_extract(c, p, 1)).otherwise(c))
+    return strip(F.when(c.rlike(p), F.regexp_extract(c, p, 1)).otherwise(c))
 
 
 def without_reasoning(c: Column) -> Column:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from velarium.functions import numbers, text
 
 #: Words left out of the evaluation's token score. Fixed values.
-STOP = "the a an of in on at to for and or is are was were be by with that this it as from".split()
-#: Words that show code in an answer. Fixed values.
-CODE = "def return import class for while if print function var const let".split()
+STOP = "a an the is was were be been being have has had do does did will would could should may might and or but of in on at to for with by from that this it its i you he she we they not no as if so there their our".split()
+#: Words that show code in an answer, between blanks. Fixed values.
+CODE = "def class return import for while if else elif try except with lambda yield assert raise pass break continue print function const let var => async await struct fn #include public private void int float bool".split()
+#: Answers that are a judgment, which no passage need hold. Fixed values.
+JUDGMENTS = ["yes", "no", "n/a", "na", "none", "not specified", "unspecified", "unlimited", "not applicable"]
 
 
 def content(c: Column) -> Column:
     """Words of two characters or more that are no stop words."""
-    return F.filter(text.words(c), lambda x: (F.length(x) > 1) & ~x.isin(*STOP))
+    w = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9_]+)"), F.lit(1))
+    return F.filter(w, lambda x: (F.length(x) > 1) & ~x.isin(*STOP))
 
 
 def eval_f1(prediction: Column, gold: Column) -> Column:
@@ -25,15 +28,27 @@ def eval_f1(prediction: Column, gold: Column) -> Column:
 
 
 def universal(prediction: Column, gold: Column) -> Column:
-    """Weighted mean of token F1 (1), number recall (1.5, if gold has a number) and code words (1.2, if gold has three)."""
-    g = F.array_intersect(text.words(gold), F.array(*[F.lit(x) for x in CODE]))
-    code = F.when(F.size(g) >= 3, F.size(F.array_intersect(text.words(prediction), g)) / F.size(g))
-    parts = [(eval_f1(prediction, gold), 1.0), (numbers.number_recall(prediction, gold), 1.5), (code, 1.2)]
+    """Weighted mean of token F1 (1), number recall (1.5, if gold has a number) and code words with F1 (1.2, if gold has three)."""
+    said = text.answer(prediction)
+    words = lambda c: F.array_intersect(F.split(F.lower(c), r"\s+"), F.array(*[F.lit(x) for x in CODE]))
+    f1, g = eval_f1(said, gold), words(gold)
+    code = F.when(F.size(g) >= 3, F.round((F.size(F.array_intersect(words(said), g)) / F.size(g) + f1) / 2, 4))
+    number = F.when(F.size(numbers.distinct_numbers(F.translate(gold, "$%", ""))) > 0, numbers.number_recall(said, gold))
+    parts = [(f1, 1.0), (number, 1.5), (code, 1.2)]
     total = sum((F.coalesce(c, F.lit(0.0)) * w for c, w in parts), F.lit(0.0))
     weight = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
     return F.round(total / weight, 4)
 
 
+def span_grounded(answer: Column, passage: Column, least: float = 0.6) -> Column:
+    """Whether the passage has at least ``least`` of the answer's words, repeats counted; judgments always, empty answers and passages never."""
+    a = text.strip(F.lower(answer))
+    words = lambda c: text.tokens(text.squeeze(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " ")))
+    w, p = words(a), words(passage)
+    share = F.size(F.filter(w, lambda x: F.array_contains(p, x))) / F.size(w)
+    return F.when(a.isin(*JUDGMENTS), True).when((F.size(w) > 0) & (F.size(p) > 0), share >= least).otherwise(False)
+
+
 def scale_words(c: Column) -> Column:
     """Scale words after numbers as letters: '3.2 million' to '3.2M'."""
     for word, letter in (("thousand", "K"), ("million", "M"), ("billion", "B"), ("trillion", "T")):

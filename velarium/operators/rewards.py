@@ -31,13 +31,17 @@ def answer_format(completion: Column) -> Column:
 @reward
 def long_answer(completion: Column, least: int = 10) -> Column:
     """0.1 for an answer tag with at least ``least`` characters."""
-    return F.when(F.length(F.trim(F.regexp_extract(completion, r"(?is)<answer>(.*?)</answer>", 1))) >= least, 0.1).otherwise(0.0)
+    return F.when(completion.rlike(rf"(?is)<answer>.{{{least},}}?</answer>"), 0.1).otherwise(0.0)
+
+
+#: Evidence from mail: an address, or the words for a message's id. Fixed values.
+CITED = r"(?i)<[^>]+@[^>]+>|\b[\w.+\-]+@[\w.\-]+\b|\bmessage[_\-]?id\b"
 
 
 @reward
 def citation(completion: Column) -> Column:
-    """0.2 for a source in brackets or a named section, page or clause."""
-    return F.when(completion.rlike(r"(?i)\[[^\]]+\]|\b(?:section|page|clause|source)\b"), 0.2).otherwise(0.0)
+    """0.2 for an e-mail address or the mention of a message id."""
+    return F.when(completion.rlike(CITED), 0.2).otherwise(0.0)
 
 
 @reward
@@ -66,8 +70,10 @@ def exploration(calls: Column) -> Column:
 
 @reward
 def answer_correctness(prediction: Column, gold: Column) -> Column:
-    """1 for the same text, 0.5 if one holds the other, else 0; an empty prediction is held by anything."""
-    p, g = text.squad(text.answer(prediction)), text.squad(gold)
+    """1 for the same text in lower case, 0.5 if one holds the other, else 0; an empty prediction is held by anything."""
+    tag = r"(?is)<answer>(.*?)</answer>"
+    p = F.when(prediction.rlike(tag), text.strip(F.lower(F.regexp_extract(prediction, tag, 1)))).otherwise(F.lower(prediction))
+    g = text.strip(F.lower(gold))
     return F.when(p == g, 1.0).when(g.contains(p) | p.contains(g), 0.5).otherwise(0.0)
 
 
@@ -93,12 +99,26 @@ def yes_no(completion: Column, gold: Column) -> Column:
     return F.when(said == "", -0.5).when(said == F.lower(F.trim(gold)), 0.6).otherwise(-1.0)
 
 
+def _tier(share: Column) -> Column:
+    return F.when(share >= 0.8, 1.0).when(share >= 0.5, 0.5).when(share >= 0.2, 0.2).otherwise(0.0)
+
+
+@reward
+def placeholder_coverage(prediction: Column, gold: Column) -> Column:
+    """Share of gold's numbers, as written but for percent and scale letters, in the prediction, in tiers: 0.8 gives 1, 0.5 gives 0.5, 0.2 gives 0.2."""
+    wanted = F.regexp_extract_all(gold, F.lit(r"[$]?[-]?\d+[.,]?\d*[BMK%]?"), F.lit(0))
+    said = F.lower(text.answer(prediction))
+    hits = F.filter(wanted, lambda n: said.contains(F.regexp_replace(F.lower(n), "[%bm]+$", "")))
+    return F.when(F.size(wanted) == 0, 0.0).otherwise(_tier(F.size(hits) / F.size(wanted)))
+
+
 @reward
-def placeholder_coverage(completion: Column, template: Column) -> Column:
-    """Share of the template's {slots} that were filled, in tiers: 0.8 gives 1, 0.5 gives 0.5, 0.2 gives 0.2."""
-    slots = F.array_distinct(F.regexp_extract_all(template, F.lit(r"(\{\w+\})"), F.lit(1)))
-    share = F.size(F.filter(slots, lambda s: ~completion.contains(s))) / F.size(slots)
-    return F.when(F.size(slots) == 0, 0.0).when(share >= 0.8, 1.0).when(share >= 0.5, 0.5).when(share >= 0.2, 0.2).otherwise(0.0)
+def template_structure(prediction: Column, template: Column, most: int = 5) -> Column:
+    """0.3 times the share of the template's first ``most`` starred headers whose first 20 characters the prediction holds; 0.1 without headers."""
+    headers = F.slice(F.regexp_extract_all(template, F.lit(r"\*\*([^*]{10,})\*\*"), F.lit(1)), 1, most)
+    said = F.lower(text.answer(prediction))
+    hits = F.filter(headers, lambda h: said.contains(F.lower(F.substring(h, 1, 20))))
+    return F.when(F.size(headers) == 0, 0.1).otherwise(0.3 * F.size(hits) / F.size(headers))
 
 
 @reward

@@ -12,7 +12,7 @@ from velarium.operators import evaluation as E
 from velarium.operators import rewards as R
 from velarium.operators import shaping as S
 from velarium.plans.registry import query, read
-from velarium.plans.scoring import _PAIRS, _answer, _pairs, _squad
+from velarium.plans.scoring import _PAIRS, _answer, _distinct, _numbers, _pairs, _squad
 
 
 @query("""
@@ -68,18 +68,30 @@ def agg39_mean_metrics(spark: SparkSession, d: str) -> DataFrame:
     return c.join(read(spark, d, "trajectories").select("trajectory_id", "run_id").distinct(), "trajectory_id").groupBy("run_id").agg(F.round(F.avg("n"), 6).alias("mean_calls"), F.round(F.avg(1 - F.col("u") / F.col("n")), 6).alias("mean_arr"))
 
 
-_STOP = "('the', 'a', 'an', 'of', 'in', 'on', 'at', 'to', 'for', 'and', 'or', 'is', 'are', 'was', 'were', 'be', 'by', 'with', 'that', 'this', 'it', 'as', 'from')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in E.STOP) + ")"
+_CODE = "[" + ", ".join(f"'{w}'" for w in E.CODE) + "]"
+
+
+def _content(x: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9_]+'), lambda x: length(x) > 1 AND x NOT IN {_STOP})"
+
+
+_F1 = "CASE WHEN len(b) = 0 THEN 1.0 ELSE round(CASE WHEN coalesce(c, 0) = 0 THEN 0.0 ELSE 2.0 * c / (len(a) + len(b)) END, 4) END"
+_COMMON = "list_sum(list_transform(list_intersect(a, b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x)))))"
 
 
 @query(f"""
-WITH t AS (SELECT trajectory_id, list_filter(regexp_extract_all(lower(p), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN {_STOP}) AS a, list_filter(regexp_extract_all(lower(g), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN {_STOP}) AS b FROM {_PAIRS}),
-o AS (SELECT trajectory_id, a, b, list_sum(list_transform(list_intersect(a, b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS c FROM t)
-SELECT trajectory_id, CASE WHEN len(b) = 0 THEN 1.0 ELSE round(CASE WHEN coalesce(c, 0) = 0 THEN 0.0 ELSE 2.0 * c / (len(a) + len(b)) END, 4) END AS f1 FROM o""")
+WITH t AS (SELECT trajectory_id, {_content(_answer('p'))} AS a, {_content('g')} AS b FROM {_PAIRS}), o AS (SELECT trajectory_id, a, b, {_COMMON} AS c FROM t)
+SELECT trajectory_id, {_F1} AS f1 FROM o""")
 def stx7_eval_f1(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("trajectory_id", E.eval_f1(F.col("p"), F.col("g")).alias("f1"))
+    return _pairs(spark, d).select("trajectory_id", E.eval_f1(T.answer(F.col("p")), F.col("g")).alias("f1"))
 
 
-@query(None)
+@query(f"""
+WITH t AS (SELECT trajectory_id, {_content(_answer('p'))} AS a, {_content('g')} AS b, {_numbers(_answer('p'))} AS pn, {_distinct('g')} AS gn, list_distinct(list_filter(regexp_split_to_array(lower({_answer('p')}), '\\s+'), lambda x: list_contains({_CODE}, x))) AS pk, list_distinct(list_filter(regexp_split_to_array(lower(g), '\\s+'), lambda x: list_contains({_CODE}, x))) AS gk FROM {_PAIRS}),
+o AS (SELECT *, {_COMMON} AS c FROM t), f AS (SELECT *, {_F1} AS f1 FROM o),
+x AS (SELECT trajectory_id, f1, CASE WHEN len(gn) > 0 THEN round(len(list_filter(gn, lambda x: len(list_filter(pn, lambda y: abs(y - x) / abs(x) <= 0.02)) > 0)) / len(gn), 4) END AS n, CASE WHEN len(gk) >= 3 THEN round((len(list_intersect(gk, pk)) / len(gk) + f1) / 2, 4) END AS k FROM f)
+SELECT trajectory_id, round((f1 + coalesce(n, 0) * 1.5 + coalesce(k, 0) * 1.2) / (1 + CASE WHEN n IS NULL THEN 0 ELSE 1.5 END + CASE WHEN k IS NULL THEN 0 ELSE 1.2 END), 4) AS score FROM x""")
 def stx8_universal_score(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("trajectory_id", E.universal(F.col("p"), F.col("g")).alias("score"))
 
@@ -210,12 +222,6 @@ def rwd19_necessity(spark: SparkSession, d: str) -> DataFrame:
     return t.select("trajectory_id", F.round(R.necessity(ok, n, 10), 6).alias("necessity"), F.round(R.necessity(ok, n, 10, n > 2), 6).alias("regime")).distinct()
 
 
-@query("SELECT DISTINCT run_id, CASE WHEN regexp_matches('run {run_id} {model}', '\\{') THEN CASE WHEN model IS NULL THEN 0.5 ELSE 1.0 END END::DOUBLE AS coverage FROM runs")
-def rwd10_placeholder_coverage(spark: SparkSession, d: str) -> DataFrame:
-    filled = F.when(F.col("model").isNull(), F.concat(F.lit("run "), "run_id", F.lit(" {model}"))).otherwise(F.concat(F.lit("run "), "run_id", F.lit(" "), "model"))
-    return read(spark, d, "runs").select("run_id", R.placeholder_coverage(filled, F.lit("run {run_id} {model}")).alias("coverage")).distinct()
-
-
 @query("""
 WITH u AS (SELECT trajectory_id, question AS text, 0 AS pos FROM (SELECT DISTINCT trajectory_id, question FROM trajectories) UNION ALL SELECT trajectory_id, thought, 1 FROM (SELECT trajectory_id, arg_min(thought, step_id) AS thought FROM steps WHERE step_number = 1 GROUP BY 1))
 SELECT trajectory_id, string_agg(text, ' | ' ORDER BY pos) AS record FROM u WHERE text IS NOT NULL GROUP BY 1""")

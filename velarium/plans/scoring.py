@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velarium.functions import numbers as N
 from velarium.functions import text as T
+from velarium.operators import evaluation as E
 from velarium.operators import rewards as R
 from velarium.operators.retrieval import bm25, fuse
 from velarium.plans.registry import query, read
@@ -23,12 +24,16 @@ def _tok(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda x: x <> '')"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[ \\t\\r\\n\\x0b\\f]+|[ \\t\\r\\n\\x0b\\f]+$', '', 'g')"
+
+
 def _answer(x: str) -> str:
-    return f"trim(CASE WHEN regexp_matches({x}, '(?is)<answer>(.*?)</answer>') THEN regexp_extract({x}, '(?is)<answer>(.*?)</answer>', 1) ELSE {x} END, ' ')"
+    return _strip(f"CASE WHEN regexp_matches({x}, '(?is)<answer>(.*?)</answer>') THEN regexp_extract({x}, '(?is)<answer>(.*?)</answer>', 1) ELSE {x} END")
 
 
 def _relaxed(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({x}), '{_PUNCT}', ' ', 'g'), '\\s+', ' ', 'g'), ' '), '^(a|an|the) ', ''), ' (inc|corp|corporation|company|co|ltd|llc|lp|plc)$', ''), ' ')"
+    return f"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), '^(the|a|an) ', ''), '(^|\\W)(inc|llc|ltd|corp|corporation|co|company|gmbh|plc)$', ''), ' ')"
 
 
 _PAIRS = "(SELECT DISTINCT trajectory_id, final_answer AS p, gold_answer AS g FROM trajectories WHERE final_answer IS NOT NULL AND gold_answer IS NOT NULL)"
@@ -60,12 +65,16 @@ def stx6_relaxed_f1(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("trajectory_id", F.round(T.relaxed_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
+def _bare(x: str) -> str:
+    return f"regexp_replace(regexp_replace({_strip(f'lower({x})')}, '[.,;:]+$', ''), '[$,%\\s]', '', 'g')"
+
+
 @query(f"""
-SELECT trajectory_id, CAST(regexp_replace(regexp_replace(lower(trim(p, ' ')), '[$€£,%\\s]', '', 'g'), '[.;:!?]+$', '') = regexp_replace(regexp_replace(lower(trim(g, ' ')), '[$€£,%\\s]', '', 'g'), '[.;:!?]+$', '') AS INT) AS bare_match,
+SELECT trajectory_id, CAST({_bare(_answer('p'))} = {_bare('g')} AS INT) AS bare_match,
  CAST(length({_squad('g')}) > 4 AND contains({_squad('p')}, {_squad('g')}) AS INT) AS contains_gold FROM {_PAIRS}""")
 def stx9_stx10_match(spark: SparkSession, d: str) -> DataFrame:
     p, g = F.col("p"), F.col("g")
-    return _pairs(spark, d).select("trajectory_id", (T.bare(p) == T.bare(g)).cast("int").alias("bare_match"), ((F.length(T.squad(g)) > 4) & T.squad(p).contains(T.squad(g))).cast("int").alias("contains_gold"))
+    return _pairs(spark, d).select("trajectory_id", (T.bare(T.answer(p)) == T.bare(g)).cast("int").alias("bare_match"), ((F.length(T.squad(g)) > 4) & T.squad(p).contains(T.squad(g))).cast("int").alias("contains_gold"))
 
 
 @query(f"SELECT trajectory_id, {_answer('p')} AS answer, CAST(regexp_matches(p, '(?is)<answer>.*?</answer>') AS INT) AS tagged FROM {_PAIRS}")
@@ -89,12 +98,16 @@ def stx19_response_stats(spark: SparkSession, d: str) -> DataFrame:
     return t.select("trajectory_id", F.size(T.tokens(T.squeeze(F.col("p")))).alias("n_words"), F.round(T.coherence(F.col("p")), 6).alias("coherence"))
 
 
+def _spaced(x: str) -> str:
+    return _tok(f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'), ' ')")
+
+
 @query(f"""
-WITH t AS (SELECT trajectory_id, list_distinct(list_filter(regexp_extract_all(lower(g), '[a-z0-9]+'), lambda x: x NOT IN ('yes', 'no'))) AS g, regexp_extract_all(lower(p), '[a-z0-9]+') AS p FROM {_PAIRS})
-SELECT trajectory_id, CAST(len(g) = 0 OR len(list_intersect(g, p)) / len(g) >= 0.6 AS INT) AS grounded FROM t""")
+WITH t AS (SELECT DISTINCT chunk_id, {_strip('lower(summary)')} AS a, {_spaced('summary')} AS w, {_spaced('text')} AS p FROM chunks WHERE chunk_id IS NOT NULL AND summary IS NOT NULL AND text IS NOT NULL)
+SELECT chunk_id, a IN ('yes', 'no', 'n/a', 'na', 'none', 'not specified', 'unspecified', 'unlimited', 'not applicable') OR (len(w) > 0 AND len(p) > 0 AND len(list_filter(w, lambda x: list_contains(p, x))) / len(w) >= 0.6) AS grounded FROM t""")
 def stx20_span_grounding(spark: SparkSession, d: str) -> DataFrame:
-    g = F.array_distinct(F.filter(T.words(F.col("g")), lambda x: ~x.isin("yes", "no")))
-    return _pairs(spark, d).select("trajectory_id", ((F.size(g) == 0) | (F.size(F.array_intersect(g, T.words(F.col("p")))) / F.size(g) >= 0.6)).cast("int").alias("grounded"))
+    c = read(spark, d, "chunks").where("chunk_id is not null and summary is not null and text is not null").select("chunk_id", "summary", "text").distinct()
+    return c.select("chunk_id", E.span_grounded(F.col("summary"), F.col("text")).alias("grounded"))
 
 
 @query(r"SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', ' ', 'g')), '[a-z0-9]+') AS toks FROM corpus_docs WHERE text IS NOT NULL")
@@ -158,9 +171,17 @@ def set4_distinct_numbers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "chunks").where("text is not null").select("chunk_id", F.sort_array(N.distinct_numbers(F.col("text"))).alias("numbers"))
 
 
-@query(rf"""
-WITH n AS (SELECT trajectory_id, list_transform(regexp_extract_all(p, '(-?\d[\d,]*\.?\d*)', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)) AS p, list_distinct(list_filter(list_transform(regexp_extract_all(g, '(-?\d[\d,]*\.?\d*)', 1), lambda x: round(TRY_CAST(replace(x, ',', '') AS DOUBLE), 4)), lambda x: x IS NOT NULL AND x <> 0)) AS g FROM {_PAIRS})
-SELECT trajectory_id, CASE WHEN len(g) > 0 THEN round(len(list_filter(g, lambda x: len(list_filter(p, lambda y: abs(y - x) / abs(x) <= 0.02)) > 0)) / len(g), 4) END AS recall FROM n""")
+def _numbers(x: str) -> str:
+    return f"list_transform(regexp_extract_all(translate({x}, '$%', ''), '(-?\\d[\\d,]*\\.?\\d*)', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE))"
+
+
+def _distinct(x: str) -> str:
+    return f"list_distinct(list_filter(list_transform({_numbers(x)}, lambda x: round(x, 4)), lambda x: x IS NOT NULL AND x <> 0))"
+
+
+@query(f"""
+WITH n AS (SELECT trajectory_id, {_numbers('p')} AS p, {_distinct('g')} AS g FROM {_PAIRS})
+SELECT trajectory_id, CASE WHEN len(g) > 0 THEN round(len(list_filter(g, lambda x: len(list_filter(p, lambda y: abs(y - x) / abs(x) <= 0.02)) > 0)) / len(g), 4) ELSE 1.0 END AS recall FROM n""")
 def num7_number_recall(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("trajectory_id", N.number_recall(F.col("p"), F.col("g")).alias("recall"))
 
@@ -170,10 +191,31 @@ def num12_stage_scores(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "steps").select("step_id", F.round(N.iteration_penalty(F.col("step_number"), 10), 6).alias("penalty"), F.round(N.clamp(F.col("reward") / 10.0), 6).alias("judge"))
 
 
-@query(r"SELECT DISTINCT trajectory_id, CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 0.1 ELSE 0.0 END::DOUBLE AS format, CASE WHEN length(trim(regexp_extract(final_answer, '(?is)<answer>(.*?)</answer>', 1), ' ')) >= 10 THEN 0.1 ELSE 0.0 END::DOUBLE AS long, CASE WHEN regexp_matches(final_answer, '(?i)\[[^\]]+\]|\b(?:section|page|clause|source)\b') THEN 0.2 ELSE 0.0 END::DOUBLE AS citation FROM trajectories WHERE final_answer IS NOT NULL")
+@query(r"SELECT DISTINCT trajectory_id, CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 0.1 ELSE 0.0 END::DOUBLE AS format, CASE WHEN regexp_matches(final_answer, '(?is)<answer>.{10,}?</answer>') THEN 0.1 ELSE 0.0 END::DOUBLE AS long FROM trajectories WHERE final_answer IS NOT NULL")
 def rwd8_format_rewards(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("final_answer")
-    return read(spark, d, "trajectories").where("final_answer is not null").select("trajectory_id", R.answer_format(c).alias("format"), R.long_answer(c).alias("long"), R.citation(c).alias("citation")).distinct()
+    return read(spark, d, "trajectories").where("final_answer is not null").select("trajectory_id", R.answer_format(c).alias("format"), R.long_answer(c).alias("long")).distinct()
+
+
+@query(r"SELECT DISTINCT id, CASE WHEN regexp_matches(body, '(?i)<[^>]+@[^>]+>|\b[\w.+\-]+@[\w.\-]+\b|\bmessage[_\-]?id\b') THEN 0.2 ELSE 0.0 END::DOUBLE AS citation FROM emails WHERE id IS NOT NULL AND body IS NOT NULL")
+def rwd8_citation(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "emails").where("id is not null and body is not null").select("id", R.citation(F.col("body")).alias("citation")).distinct()
+
+
+@query(f"""
+WITH n AS (SELECT trajectory_id, lower({_answer('p')}) AS p, regexp_extract_all(g, '[$]?[-]?\\d+[.,]?\\d*[BMK%]?') AS w FROM {_PAIRS}), c AS (SELECT trajectory_id, len(w) AS n, len(list_filter(w, lambda x: contains(p, regexp_replace(lower(x), '[%bm]+$', '')))) / len(w) AS share FROM n)
+SELECT trajectory_id, CASE WHEN n = 0 THEN 0.0 WHEN share >= 0.8 THEN 1.0 WHEN share >= 0.5 THEN 0.5 WHEN share >= 0.2 THEN 0.2 ELSE 0.0 END::DOUBLE AS coverage FROM c""")
+def rwd10_placeholder_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("trajectory_id", R.placeholder_coverage(F.col("p"), F.col("g")).alias("coverage"))
+
+
+@query(rf"""
+WITH t AS (SELECT DISTINCT trajectory_id, lower({_answer('p')}) AS p, regexp_extract_all('**' || q || '** and **' || g || '**', '\\*\\*([^*]{{10,}})\\*\\*', 1)[1:5] AS h FROM (SELECT DISTINCT trajectory_id, final_answer AS p, gold_answer AS g, question AS q FROM trajectories WHERE final_answer IS NOT NULL AND gold_answer IS NOT NULL AND question IS NOT NULL))
+SELECT trajectory_id, CASE WHEN len(h) = 0 THEN 0.1 ELSE round(0.3 * len(list_filter(h, lambda x: contains(p, lower(substr(x, 1, 20))))) / len(h), 6) END::DOUBLE AS structure FROM t""".replace("\\\\", "\\"))
+def rwd11_template_structure(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "trajectories").where("final_answer is not null and gold_answer is not null and question is not null").select("trajectory_id", "final_answer", "gold_answer", "question").distinct()
+    template = F.concat(F.lit("**"), "question", F.lit("** and **"), "gold_answer", F.lit("**"))
+    return t.select("trajectory_id", F.round(R.template_structure(F.col("final_answer"), template), 6).alias("structure"))
 
 
 @query("""
@@ -184,7 +226,7 @@ def rwd6_rwd7_tool_rewards(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""
-WITH n AS (SELECT trajectory_id, {_squad(_answer('p'))} AS p, {_squad('g')} AS g, TRY_CAST(replace(regexp_extract(p, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS x, TRY_CAST(replace(regexp_extract(g, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS y FROM {_PAIRS})
+WITH n AS (SELECT trajectory_id, CASE WHEN regexp_matches(p, '(?is)<answer>(.*?)</answer>') THEN {_strip("lower(regexp_extract(p, '(?is)<answer>(.*?)</answer>', 1))")} ELSE lower(p) END AS p, {_strip('lower(g)')} AS g, TRY_CAST(replace(regexp_extract(p, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS x, TRY_CAST(replace(regexp_extract(g, '(-?\d[\d,]*\.?\d*)', 1), ',', '') AS DOUBLE) AS y FROM {_PAIRS})
 SELECT trajectory_id, CASE WHEN p = g THEN 1.0 WHEN contains(g, p) OR contains(p, g) THEN 0.5 ELSE 0.0 END::DOUBLE AS correctness, CASE WHEN x IS NULL OR y IS NULL THEN 0.0 WHEN abs(x - y) < 1e-9 THEN 1.0 WHEN (y = 0 AND x = 0) OR (y <> 0 AND abs(x - y) / abs(y) <= 0.05) THEN 0.5 ELSE 0.0 END::DOUBLE AS numeric FROM n""")
 def rwd9_rwd13_correctness(spark: SparkSession, d: str) -> DataFrame:
     p, g = F.col("p"), F.col("g")

@@ -37,7 +37,9 @@ def set7_hash_split(spark: SparkSession, d: str) -> DataFrame:
     return S.hash_split(read(spark, d, "documents").select("doc_id"), "doc_id", 11, 0.2)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_common")
+@query("""
+WITH s AS (SELECT DISTINCT question, CASE WHEN CAST('0x' || substr(sha1('3:' || question), 1, 8) AS BIGINT) / 4294967295.0 < 0.25 THEN 'val' ELSE 'train' END AS split FROM trajectories WHERE question IS NOT NULL)
+SELECT count(*) AS n_common FROM (SELECT question FROM s WHERE split = 'train' INTERSECT SELECT question FROM s WHERE split = 'val')""")
 def set5_set8_split_overlap(spark: SparkSession, d: str) -> DataFrame:
     s = S.hash_split(read(spark, d, "trajectories").select("question").where("question is not null"), "question", 3, 0.25)
     return S.overlap(s.where("split = 'train'"), s.where("split = 'val'"), "question")
