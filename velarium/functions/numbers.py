@@ -68,6 +68,24 @@ def numbers_in(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"(-?\d[\d,]*\.?\d*)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
 
 
+#: Amounts as reports write them: currency, sign, thousands, K/M/B/T, percent, or in parentheses. Fixed value.
+_DIGITS = r"\d(?:[\d,]*\d)?\.?\d*(?:[KkMmBb]|[Tt](?![Hh]))?"
+AMOUNT = rf"\([$€£]?[-]?{_DIGITS}\)|(?:(?<!\w)-[$€£]|[$€£]?[-]?){_DIGITS}%?"
+
+
+def amounts_in(c: Column) -> Column:
+    """All amounts of a text: parentheses as minus, percent as hundredths, scale letters multiplied; what doesn't parse is left out."""
+
+    def value(x: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(x, r"^\(|\)$", ""), r"^(-?)[$€£]+", "$1")
+        unit = F.lower(F.regexp_extract(t, r"([KkMmBbTt])%?$", 1))
+        scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).when(unit == "t", 1e12).otherwise(1.0)
+        plain = F.regexp_replace(F.regexp_replace(t, r"[KkMmBbTt]?%?$", ""), r",(?=\d{3}(?:[,.]|$))", "").try_cast("double") * scale
+        return F.when(x.startswith("("), -plain).when(x.endswith("%"), plain / 100.0).otherwise(plain)
+
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), value), lambda x: x.isNotNull())
+
+
 def distinct_numbers(c: Column) -> Column:
     """Different numbers to four decimals, without zero, in order of appearance."""
     return F.array_distinct(F.filter(F.transform(numbers_in(c), lambda x: F.round(x, 4)), lambda x: x.isNotNull() & (x != 0)))

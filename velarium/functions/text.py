@@ -119,3 +119,11 @@ def doc_of(chunk_id: Column) -> Column:
 def signature(names: Column) -> Column:
     """Names joined as 'a->b->c'."""
     return F.array_join(names, "->")
+
+
+def text_dates(c: Column, after: str | None = None, before: str | None = None) -> Column:
+    """Dates kept as text from the day ``after`` on and before the day ``before``, compared as text, as the store keeps one spelling."""
+    ok = c.isNotNull()
+    if after:
+        ok = ok & (c >= f"{after} 00:00:00")
+    return ok & (c < f"{before} 00:00:00") if before else ok

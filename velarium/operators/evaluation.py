@@ -84,7 +84,7 @@ def gate_verdict(gates: dict[str, Column]) -> Column:
 
 def first_sentence(c: Column, most: int) -> Column:
     """The first sentence, cut to ``most`` characters; the whole text without an end of a sentence."""
-    return F.substring(F.when(c.rlike(r"[.!?](\s|$)"), F.regexp_extract(c, r"(?s)^(.*?[.!?])(\s|$)", 1)).otherwise(c), 1, most)
+    return F.substring(F.when(c.rlike(r"[.!?](\s|\z)"), F.regexp_extract(c, r"(?s)^(.*?[.!?])(\s|\z)", 1)).otherwise(c), 1, most)
 
 
 _HEADER = r"(?U)\[chunk_id=(\S+)\s+doc_id=(\S+)\s+score=([\d.]+)\]"

@@ -6,30 +6,23 @@ so neither plans nor lost executors make it start over.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """Rows written to the folder the session names for checkpoints; a local one only where none is named."""
-    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+from velarium.session import kept
 
 
-def components(edges: DataFrame, src: str, dst: str, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``(node, component)``: the least node that each node is connected with.
 
     Alternates large-star and small-star steps: neighbours are linked to the least node known, so
     chains shorten by halves and rounds grow with the logarithm of the longest. A node with very
-    many links is only ever aggregated with a minimum, and its links are rewritten row by row.
+    many links is only ever aggregated with a minimum, and its links are rewritten row by row. It goes
+    on until no link changes; each round runs a job when the operator is called.
     """
     e = edges.where(F.col(src) != F.col(dst)).select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct()
     e = kept(e)
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min(F.least("v", "u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -46,20 +39,21 @@ def components(edges: DataFrame, src: str, dst: str, rounds: int = 50) -> DataFr
     return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def simple_paths(edges: DataFrame, hops: int, per_pair: int | None = None, per_hop: int | None = None) -> DataFrame:
+def simple_paths(edges: DataFrame, hops: int, per_pair: int | None = None) -> DataFrame:
     """``(src, dst, path, n_hops)``: paths of 2 to ``hops`` edges that visit no node twice, edges taken both ways.
 
-    ``per_pair`` keeps the shortest of each pair of ends and ``per_hop`` limits what each start
-    carries on; both are the operator's parameters and unlimited if not given.
+    ``per_pair`` is the operator's bound: of the paths of one length between two ends so many go on,
+    the first by their nodes, and of each pair of ends so many come out, the shortest. It holds at
+    every hop, so a dense part never gives more than that for each pair. Ends come smaller first. Loops
+    and repeated edges don't count; no edges give no paths.
     """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     step = both.select(F.col("src").alias("end"), F.col("dst").alias("next"))
-    p = both.select("src", F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
-    out = None
+    p, out = both.select("src", F.col("dst").alias("end"), F.array("src", "dst").alias("path")), None
     for n in range(2, hops + 1):
         p = p.join(step, "end").where(~F.array_contains("path", F.col("next"))).select("src", F.col("next").alias("end"), F.array_append("path", F.col("next")).alias("path"))
-        if per_hop:
-            p = p.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("path"))).where(F.col("_r") <= per_hop).drop("_r")
+        if per_pair:
+            p = kept(p.withColumn("_r", F.row_number().over(Window.partitionBy("src", "end").orderBy("path"))).where(F.col("_r") <= per_pair).drop("_r"))
         now = p.where(F.col("src") < F.col("end")).select("src", F.col("end").alias("dst"), "path", F.lit(n).alias("n_hops"))
         out = now if out is None else out.unionByName(now)
     if per_pair:
@@ -86,6 +80,19 @@ def neighbourhood(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
 
+def recall_linked(items: DataFrame, links: DataFrame, text: str, k: int, hops: int = 1, scope: str | None = None) -> DataFrame:
+    """``(id, ts)``: memory items reached from those whose content holds ``text`` (any case), newest first, at most ``k``.
+
+    Items are ``(id, content, scope, ts)``. Seeds come from all items and aren't results themselves
+    unless reached from another one; ``scope`` only filters results, so that a path may lead through
+    other scopes. Null contents match nothing. ``k`` is the read's size.
+    """
+    seeds = items.where(F.lower("content").contains(text.lower())).select(F.col("id").alias("node"))
+    found = neighbourhood(links, seeds, hops).select(F.col("node").alias("id")).distinct()
+    allowed = items if scope is None else items.where(F.col("scope") == scope)
+    return allowed.select("id", "ts").distinct().join(found, "id", "left_semi").orderBy(F.desc_nulls_last("ts"), "id").limit(k)
+
+
 def forget(nodes: DataFrame, links: DataFrame, keep: Column, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Nodes that ``keep`` holds for, and links whose both ends stay."""
     left = nodes.where(keep)
@@ -93,14 +100,25 @@ def forget(nodes: DataFrame, links: DataFrame, keep: Column, key: str = "id") ->
     return left, links.join(ids.withColumnRenamed(key, "src"), "src", "left_semi").join(ids.withColumnRenamed(key, "dst"), "dst", "left_semi").select(*links.columns)
 
 
-def pack(sizes: DataFrame, target: float, seed: int = 0) -> DataFrame:
-    """``(component, split)``: components to validation, largest first, while that brings validation nearer to ``target`` of all rows.
+def pack(sizes: DataFrame, target: float) -> DataFrame:
+    """``(component, n, split)``: components to validation, largest first, while that brings validation nearer to ``target`` of all rows.
 
-    One row a component; the choice is sequential by nature and runs over components ordered by size.
+    Components of one size are alike, so what comes before each is found from the counts by size (few
+    rows, whatever the number of components) and its place among those of its size.
     """
     total = sizes.agg(F.sum("n").alias("t"))
-    w = Window.orderBy(F.desc("n"), "component").rowsBetween(Window.unboundedPreceding, -1)
     small = sizes.crossJoin(F.broadcast(total)).where(F.col("n") <= 2 * target * F.col("t"))
-    taken = small.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    by_size = small.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    above = by_size.withColumn("above", F.coalesce(F.sum(F.col("n") * F.col("c")).over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "above")
+    taken = _places(small).join(above, "n").withColumn("before", F.col("above") + F.col("n") * F.col("place"))
     val = taken.where(F.abs(F.col("before") + F.col("n") - target * F.col("t")) <= F.abs(F.col("before") - target * F.col("t"))).select("component", F.lit("val").alias("s"))
     return sizes.join(val, "component", "left").select("component", "n", F.coalesce("s", F.lit("train")).alias("split"))
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """Rows with ``place``, from 0, among those of their ``n`` by component: sorted by range, then numbered within each part and shifted by what the parts before hold."""
+    s = kept(rows.repartitionByRange("n", "component").sortWithinPartitions("n", "component")).withColumn("_p", F.spark_partition_id())
+    counts = s.groupBy("n", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.partitionBy("n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "_p", "_b")
+    i = F.row_number().over(Window.partitionBy("n", "_p").orderBy("component")) - 1
+    return s.withColumn("_i", i).join(before, ["n", "_p"]).withColumn("place", F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")

@@ -168,6 +168,66 @@ def composite_trajectory(base: Column, tac: Column, scsr: Column, iasa: Column,
     return numbers.clamp((base + tac + scsr + iasa + egs) / 5 - 0.2 * arr - 0.1 * lcf)
 
 
+#: Tools of an ingestion task, in the order of their use. Fixed values.
+CHAIN = ("list_dir", "read_file", "run_python", "write_file")
+
+
+@reward
+def computation(calls: Column) -> Column:
+    """0, 0.2 and 0.3 for no, one and more runs of code."""
+    return F.when(calls >= 2, 0.3).when(calls == 1, 0.2).otherwise(0.0)
+
+
+@reward
+def tool_chain(completion: Column, tools: tuple[str, ...] = CHAIN) -> Column:
+    """0.1 for each of the tools that the completion names."""
+    return F.round(sum((F.when(completion.contains(t), 0.1).otherwise(0.0) for t in tools), F.lit(0.0)), 6)
+
+
+def mentions(completion: Column, name: str) -> Column:
+    """How often a completion names a tool, in any case."""
+    return F.size(F.regexp_extract_all(completion, F.lit(f"(?i){name}"), F.lit(0)))
+
+
+@reward
+def table_grounding(completion: Column, tool: str = "query_finqa_tables") -> Column:
+    """0, 0.2 and 0.3 for no, one and more mentions of the tool that reads tables."""
+    return search_grounding(mentions(completion, tool))
+
+
+@reward
+def calculator_grounding(completion: Column) -> Column:
+    """0.2 if the completion names the calculator."""
+    return F.when(mentions(completion, "calculator") > 0, 0.2).otherwise(0.0)
+
+
+@reward
+def filled_answer(completion: Column, least: int = 3) -> Column:
+    """0.1 for an answer tag with at least ``least`` characters."""
+    return long_answer(completion, least)
+
+
+@reward
+def amount_coverage(prediction: Column, gold: Column) -> Column:
+    """Share of gold's amounts within 2 percent in the answer, in tiers 0.4, 0.2, 0.1; without amounts in gold 0.1 for any answer."""
+    said = text.answer(prediction)
+    g, p = numbers.amounts_in(gold), numbers.amounts_in(said)
+    share = F.size(F.filter(g, lambda x: F.exists(p, lambda y: numbers.close(y, x)))) / F.size(g)
+    tiers = F.when(share >= 0.8, 0.4).when(share >= 0.5, 0.2).when(share >= 0.2, 0.1).otherwise(0.0)
+    return F.when(F.size(g) == 0, F.when(said != "", 0.1).otherwise(0.0)).otherwise(tiers)
+
+
+@reward
+def amount_correctness(prediction: Column, gold: Column) -> Column:
+    """1 if any amount of the answer is within 2 percent of any of gold's, 0.5 within 10; without amounts in gold 1 for the same text, 0.5 if one holds the other, 0 for empty gold."""
+    said = text.answer(prediction)
+    g, p = numbers.amounts_in(gold), numbers.amounts_in(said)
+    near = lambda t: F.exists(g, lambda x: F.exists(p, lambda y: numbers.close(y, x, t)))
+    a, b = F.lower(said), text.strip(F.lower(gold))
+    words = F.when(b == "", 0.0).when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.5).otherwise(0.0)
+    return F.when(F.size(g) == 0, words).when(near(0.02), 1.0).when(near(0.1), 0.5).otherwise(0.0)
+
+
 def composed(parts: dict[str, tuple[Column, float]]) -> Column:
     """Weighted sum of rewards with weights that sum to 1; null parts count 0."""
     total = sum(w for _, w in parts.values())

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velarium.functions import text
+
 #: Other names of the columns a training row needs, by task. Fixed values.
 SYNONYMS = {
     "prompt": ("prompt", "instruction", "question", "input", "query", "text"),
@@ -171,3 +173,118 @@ def round_robin(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = x.unionByName(y)
     place = F.when(F.col("rank0") < n, F.col("rank0") * 2 + F.col("source")).otherwise(n + F.col("rank0"))
     return both.withColumn("rank0", place).drop("_k")
+
+
+def trimmed_preference(df: DataFrame) -> DataFrame:
+    """``(prompt, chosen, rejected)`` without white space at their ends; missing ones are empty."""
+    return df.select(*[text.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("prompt", "chosen", "rejected")])
+
+
+def marked_question(prompt: Column) -> Column:
+    """A chat of one user message: the question between the first ``Q:`` line and the ``A:`` after it, else the whole prompt."""
+    t = text.strip(F.coalesce(prompt, F.lit("")))
+    rest = F.substring_index(F.substring(t, F.instr(t, "\nQ: ") + 4, F.length(t)), "\nA:", 1)
+    both = (F.instr(t, "\nQ: ") > 0) & (F.instr(t, "\nA:") > 0)
+    return F.array(F.struct(F.lit("user").alias("role"), F.when(both, text.strip(rest)).otherwise(t).alias("content")))
+
+
+#: The words around a programming task. Fixed values.
+TASK = ("Complete the following Python function:\n\n", "\n\nProvide only the function implementation in Python.")
+
+
+def code_rows(df: DataFrame, task: str = "code") -> DataFrame:
+    """Rows of short programming tasks ``(task_id, text, code, test_list)`` for code, sft or other training."""
+    t, c = text.strip(F.coalesce("text", F.lit(""))), text.strip(F.coalesce("code", F.lit("")))
+    if task == "code":
+        return df.select("task_id", F.concat(F.lit(TASK[0]), t, F.lit(TASK[1])).alias("prompt"), F.coalesce("test_list", F.array().cast("array<string>")).alias("test_cases"), c.alias("reference_code"), F.col("text").alias("original_text"))
+    return df.select(t.alias("prompt"), c.alias("completion" if task == "sft" else "response"))
+
+
+def function_rows(df: DataFrame, task: str = "code") -> DataFrame:
+    """Rows of functions to complete ``(task_id, prompt, test, canonical_solution, entry_point)`` for code, sft or other training."""
+    p, c = text.strip(F.coalesce("prompt", F.lit(""))), text.strip(F.coalesce("canonical_solution", F.lit("")))
+    if task == "code":
+        return df.select("task_id", p.alias("prompt"), F.coalesce("test", F.lit("")).alias("test_cases"), c.alias("reference_code"), F.coalesce("entry_point", F.lit("")).alias("entry_point"))
+    return df.select(p.alias("prompt"), c.alias("completion" if task == "sft" else "response"))
+
+
+def chat_messages(steps: DataFrame) -> DataFrame:
+    """``(trajectory_id, messages)``: a step with a tool as an assistant message with its call and a tool message, any other as an assistant message.
+
+    Messages are ``(role, content, call)`` in step order; a step stored twice counts once (the first
+    by ``step_id``). The row holds the whole chat, which is what the format is.
+    """
+    msg = lambda role, content, call: F.struct(F.lit(role).alias("role"), content.alias("content"), call.cast("string").alias("call"))
+    s = steps.where(F.col("trajectory_id").isNotNull() & F.col("step_number").isNotNull()).groupBy("trajectory_id", "step_number").agg(F.min_by(F.struct("thought", "action_name", "action_args_json", "observation"), "step_id").alias("x")).select("trajectory_id", "step_number", "x.*")
+    none = F.lit(None)
+    called = F.to_json(F.struct(F.col("action_name").alias("name"), F.coalesce("action_args_json", F.lit("{}")).alias("arguments")))
+    turns = F.when(F.length("action_name") > 0, F.array(msg("assistant", F.coalesce("thought", F.lit("")), called), msg("tool", F.col("observation"), none))).otherwise(F.array(msg("assistant", F.col("observation"), none)))
+    g = s.select("trajectory_id", "step_number", turns.alias("m")).groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "m"))).alias("a"))
+    return g.select("trajectory_id", F.flatten("a.m").alias("messages"))
+
+
+def portable_records(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
+    """``(trajectory_id, task, final_response, reward, steps)``: steps in order as ``(step_number, thought, name, arguments, observation)``.
+
+    Ids count once; a step stored twice counts once. Arguments that aren't a JSON object stay text.
+    """
+    t = trajectories.where(F.col("trajectory_id").isNotNull()).groupBy("trajectory_id").agg(F.min(F.struct("question", "final_answer", "reward")).alias("r"))
+    s = steps.where(F.col("trajectory_id").isNotNull() & F.col("step_number").isNotNull()).groupBy("trajectory_id", "step_number").agg(F.min_by(F.struct("thought", F.col("action_name").alias("name"), F.col("action_args_json").alias("arguments"), "observation"), "step_id").alias("x"))
+    g = s.groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "x.thought", "x.name", "x.arguments", "x.observation"))).alias("steps"))
+    out = t.join(g, "trajectory_id", "left")
+    return out.select("trajectory_id", F.col("r.question").alias("task"), F.coalesce("r.final_answer", F.lit("")).alias("final_response"), F.coalesce("r.reward", F.lit(0.0)).alias("reward"), F.coalesce("steps", F.array().cast(g.schema["steps"].dataType)).alias("steps"))
+
+
+def gold_rows(samples: DataFrame, chunks: DataFrame, sample_id: str = "sample_id") -> DataFrame:
+    """``(sample_id, gold_path, passages)`` of ``(sample_id, gold_chunk_ids)``: the ids as JSON, and the passages there are, in the order of the path.
+
+    A chunk stored twice counts once (the first by text); ids without a chunk give no passage.
+    """
+    path = samples.select(sample_id, F.col("gold_chunk_ids").alias("ids"), F.posexplode_outer("gold_chunk_ids").alias("place", "chunk_id"))
+    text_ = chunks.where("chunk_id is not null and text is not null").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    g = path.join(text_, "chunk_id", "left").groupBy(sample_id, "ids").agg(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("place", "chunk_id", "text")))).alias("a"))
+    return g.select(sample_id, F.to_json("ids").alias("gold_path"), F.transform("a", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"))).alias("passages"))
+
+
+def single_calls(messages: Column) -> Column:
+    """Messages as JSON with each assistant turn of several calls written as one turn a call, each with its result.
+
+    Results go to the call with their id; those without one, or with one that no call has, go to the
+    calls without a result in order, and the rest follows. Only the first turn keeps the text. Text
+    that isn't an array of messages stays as it is.
+    """
+    import json
+
+    def one(t: str | None) -> str | None:
+        try:
+            chat = json.loads(t or "")
+        except ValueError:
+            return t
+        if not isinstance(chat, list) or not all(isinstance(m, dict) for m in chat):
+            return t
+        out: list[dict] = []
+        results: list[dict] = []
+        for m in reversed(chat):  # from the end, so that a turn meets the results after it
+            if m.get("role") == "tool":
+                results.insert(0, m)
+                continue
+            calls = m.get("tool_calls") or []
+            block = [m, *results]
+            if m.get("role") == "assistant" and len(calls) > 1:
+                ids = [c.get("id") for c in calls]
+                own = {r["tool_call_id"]: r for r in results if r.get("tool_call_id") in ids}
+                loose = [r for r in results if not r.get("tool_call_id") or r["tool_call_id"] not in ids]
+                block = []
+                for k, call in enumerate(calls):
+                    block.append(m | {"tool_calls": [call], "content": "" if k else m.get("content")})
+                    found = own.get(call.get("id")) if call.get("id") else None
+                    found = found or (loose.pop(0) if loose else None)
+                    block += [found] if found else []
+                block += loose
+            out, results = block + out, []
+        return json.dumps(results + out, ensure_ascii=False)
+
+    def run(chats: pd.Series) -> pd.Series:
+        return chats.map(one)
+
+    return F.pandas_udf(run, "string")(messages)

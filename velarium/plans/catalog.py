@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from velarium.plans import registry
 
 #: Modules whose functions are queries.
-MODULES = ("aggregates", "windows", "joins", "scoring", "shaping", "sets", "sources", "streams", "more")
+MODULES = ("aggregates", "windows", "joins", "scoring", "shaping", "sets", "sources", "streams", "more", "training")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

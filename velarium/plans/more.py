@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velarium.functions import jsonx, parsers, rules
 from velarium.functions import numbers as N
 from velarium.functions import text as T
+from velarium.functions.text import text_dates
 from velarium.operators import evaluation as E
 from velarium.operators import rewards as R
 from velarium.operators import shaping as S
@@ -137,14 +138,14 @@ def stx23_verify_gates(spark: SparkSession, d: str) -> DataFrame:
     return t.select("trajectory_id", E.gate_verdict(gates).alias("verdict"))
 
 
-@query(r"SELECT tool_call_id, substr(CASE WHEN regexp_matches(result, '[.!?](\s|$)') THEN regexp_extract(result, '^(.*?[.!?])(\s|$)', 1) ELSE result END, 1, 300) AS brief FROM tool_calls WHERE result IS NOT NULL AND NOT regexp_matches(result, '[\n\r]')")
-def stx25_compress(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "tool_calls").where("result is not null").where(~F.col("result").rlike(r"[\n\r]")).select("tool_call_id", E.first_sentence(F.col("result"), 300).alias("brief"))
+@query(r"SELECT tool_call_id, substr(CASE WHEN regexp_matches(result, '[.!?](\s|\z)') THEN regexp_extract(result, '(?s)^(.*?[.!?])(\s|\z)', 1) ELSE result END, 1, 300) AS brief FROM tool_calls WHERE result IS NOT NULL")
+def stx25_first_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "tool_calls").where("result is not null").select("tool_call_id", E.first_sentence(F.col("result"), 300).alias("brief"))
 
 
 @query(None)
 def stx25_evidence_notes(spark: SparkSession, d: str) -> DataFrame:
-    """The whole of STX25 over every result, of several lines too; ``stx25_compress`` is the part its SQL says."""
+    """The whole of STX25 over every result, of several lines too."""
     return read(spark, d, "tool_calls").where("result is not null").select("tool_call_id", E.compressed(F.col("result")).alias("notes"))
 
 
@@ -173,11 +174,9 @@ def num13_judge_score(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "trajectories").select("trajectory_id", jsonx.judge_score(F.coalesce("final_answer", F.lit(""))).alias("score")).distinct()
 
 
-@query("SELECT DISTINCT id FROM emails WHERE TRY_CAST(date AS TIMESTAMP) >= TIMESTAMP '2000-06-01' AND TRY_CAST(date AS TIMESTAMP) < TIMESTAMP '2001-06-01' AND regexp_matches(date, '^\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d$')")
+@query("SELECT DISTINCT id FROM emails WHERE date >= '2000-06-01 00:00:00' AND date < '2001-06-01 00:00:00'")
 def dat1_date_range(spark: SparkSession, d: str) -> DataFrame:
-    ts = F.try_to_timestamp("date", F.lit("yyyy-MM-dd HH:mm:ss"))
-    e = read(spark, d, "emails").where(F.col("date").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"))
-    return e.where((ts >= F.lit("2000-06-01").cast("timestamp")) & (ts < F.lit("2001-06-01").cast("timestamp"))).select("id").distinct()
+    return read(spark, d, "emails").where(text_dates(F.col("date"), "2000-06-01", "2001-06-01")).select("id").distinct()
 
 
 @query("SELECT chunk_id, list_sort(list_distinct(list_filter(entities, lambda x: x IS NOT NULL AND list_contains(keyphrases, x)))) AS both, CAST(len(list_distinct(list_filter(list_concat(entities, keyphrases), lambda x: x IS NOT NULL))) AS INT) AS either FROM chunks WHERE entities IS NOT NULL AND keyphrases IS NOT NULL")
@@ -222,16 +221,6 @@ def rwd19_necessity(spark: SparkSession, d: str) -> DataFrame:
     return t.select("trajectory_id", F.round(R.necessity(ok, n, 10), 6).alias("necessity"), F.round(R.necessity(ok, n, 10, n > 2), 6).alias("regime")).distinct()
 
 
-@query("""
-WITH u AS (SELECT trajectory_id, question AS text, 0 AS pos FROM (SELECT DISTINCT trajectory_id, question FROM trajectories) UNION ALL SELECT trajectory_id, thought, 1 FROM (SELECT trajectory_id, arg_min(thought, step_id) AS thought FROM steps WHERE step_number = 1 GROUP BY 1))
-SELECT trajectory_id, string_agg(text, ' | ' ORDER BY pos) AS record FROM u WHERE text IS NOT NULL GROUP BY 1""")
-def prj13_prj14_record(spark: SparkSession, d: str) -> DataFrame:
-    a = read(spark, d, "trajectories").select("trajectory_id", F.col("question").alias("text"), F.lit(0).alias("pos")).distinct()
-    b = read(spark, d, "steps").where("step_number = 1").groupBy("trajectory_id").agg(F.min_by("thought", F.when(F.col("thought").isNotNull(), F.col("step_id"))).alias("text")).withColumn("pos", F.lit(1))
-    u = a.unionByName(b).where("text is not null")
-    return u.groupBy("trajectory_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], " | ").alias("record"))
-
-
 @query(None)
 def prj19_unwrapped_calls(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "steps").where("is_tool_step and action_name is not null")
@@ -239,15 +228,6 @@ def prj19_unwrapped_calls(spark: SparkSession, d: str) -> DataFrame:
     return s.select("step_id", F.explode(parsers.tool_calls(wrapped)).alias("c")).select("step_id", "c.*")
 
 
-@query("""
-WITH g AS (SELECT doc_id, list(chunk_id ORDER BY chunk_index, chunk_id)[1:3] AS ids FROM (SELECT DISTINCT doc_id, chunk_id, chunk_index FROM chunks WHERE doc_id IS NOT NULL AND chunk_index IS NOT NULL) GROUP BY 1)
-SELECT doc_id, array_to_string(ids, '>') AS gold_path FROM g""")
-def prj22_prj23_gold_paths(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "chunks").where("doc_id is not null and chunk_index is not null").select("doc_id", "chunk_id", "chunk_index").distinct()
-    g = c.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id"))), 1, 3).alias("a"))
-    return g.select("doc_id", F.array_join("a.chunk_id", ">").alias("gold_path"))
-
-
 @query("""
 WITH t AS (SELECT DISTINCT trajectory_id, question, final_answer, reward FROM trajectories WHERE question IS NOT NULL AND reward IS NOT NULL AND final_answer IS NOT NULL), g AS (SELECT question, arg_max(final_answer, (reward, -ord)) AS chosen, arg_min(final_answer, (reward, ord)) AS rejected, max(reward) AS hi, min(reward) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY trajectory_id) AS ord FROM t) GROUP BY 1)
 SELECT question, chosen, rejected FROM g WHERE hi <> lo""")
@@ -296,19 +276,16 @@ def flt17_worst_samples(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "trajectories").where("reward is not null").select("trajectory_id", "reward").distinct().orderBy("reward", "trajectory_id").limit(25)  # the report's k
 
 
-@query("SELECT chunk_id, list_filter(list_distinct(entities), lambda x: x IS NOT NULL AND lower(x) NOT IN ('party', 'agreement', 'company', 'date'))[1:12] AS kept FROM chunks WHERE entities IS NOT NULL AND len(entities) <= 1")
-def flt12_generic_entities(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "chunks").where("entities is not null and size(entities) <= 1")
-    return c.select("chunk_id", F.slice(F.filter(F.array_distinct("entities"), lambda x: x.isNotNull() & ~F.lower(x).isin("party", "agreement", "company", "date")), 1, 12).alias("kept"))
-
-
 #: Entities too general to link chunks. Fixed values of the reference.
 _GENERIC = "agreement|party|parties|company|companies|product|products|affiliate|affiliates|recipient|provider|contractor|vendor|customer|customers|service|services|8-k|10-k|10-q|s-1|exhibit|securities_and_exchange_commission|sec|inc|llc|ltd|corp|corporation".replace("_", " ").split("|")
 
 
-@query(None)
+_STRIPPED = "list_transform(list_filter(coalesce({0}, []), lambda x: x IS NOT NULL), lambda x: regexp_replace(lower(x), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'))"
+
+
+@query("SELECT DISTINCT chunk_id, list_filter(" + _STRIPPED.format("entities") + ", lambda x: x <> '' AND x NOT IN (" + ", ".join(f"'{g}'" for g in _GENERIC) + "))[1:12] AS kept, (" + _STRIPPED.format("keyphrases") + ")[1:6] AS keyphrases FROM chunks WHERE chunk_id IS NOT NULL")
 def flt12_entities_and_keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    """The whole of FLT12 over every chunk: at most 12 entities off the stop-list and 6 keyphrases, in order; ``flt12_generic_entities`` is the part its SQL says."""
+    """At most 12 entities off the stop-list and 6 keyphrases of every chunk, in order."""
     strip = lambda a: F.transform(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.regexp_replace(F.lower(x), r"(?U)^\s+|\s+\z", ""))
     kept = F.filter(strip(F.col("entities")), lambda x: (x != "") & ~x.isin(_GENERIC))
     return read(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", F.slice(kept, 1, 12).alias("kept"), F.slice(strip(F.col("keyphrases")), 1, 6).alias("keyphrases")).distinct()

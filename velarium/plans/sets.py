@@ -75,37 +75,6 @@ def set13_pack_components(spark: SparkSession, d: str) -> DataFrame:
     return G.pack(n, 0.2)
 
 
-_EDGES = "(SELECT DISTINCT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey AND (b.n_nationkey - a.n_nationkey) % 3 <> 0)"
-
-
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    n = read(spark, d, "nation")
-    b = n.select("n_regionkey", F.col("n_nationkey").alias("dst"))
-    return n.select("n_regionkey", F.col("n_nationkey").alias("src")).join(b, "n_regionkey").where("dst > src and (dst - src) % 3 <> 0").select("src", "dst").distinct()
-
-
-@query(f"""
-WITH e AS {_EDGES}, s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), p2 AS (SELECT a.src, b.dst, [a.src, a.dst, b.dst] AS path FROM s a JOIN s b ON a.dst = b.src WHERE b.dst <> a.src),
-p3 AS (SELECT p.src, b.dst, list_append(path, b.dst) AS path FROM p2 p JOIN s b ON p.dst = b.src WHERE NOT list_contains(path, b.dst)), u AS (SELECT src, dst, path, 2 AS n_hops FROM p2 WHERE src < dst UNION ALL SELECT src, dst, path, 3 FROM p3 WHERE src < dst),
-r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n_hops, path) AS i FROM u) SELECT src, dst, path, n_hops FROM r WHERE i <= 3""")
-def set15_simple_paths(spark: SparkSession, d: str) -> DataFrame:
-    return G.simple_paths(_edges(spark, d), 3, per_pair=3)
-
-
-@query(f"""
-WITH e AS {_EDGES}, a AS (SELECT src AS seed, dst AS node, 1 AS depth FROM e), b AS (SELECT a.seed, e.dst AS node, 2 AS depth FROM a JOIN e ON a.node = e.src WHERE e.dst <> a.seed)
-SELECT seed, node, min(depth) AS depth FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
-def set17_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    return G.neighbourhood(e, e.select(F.col("src").alias("node")).distinct(), 2)
-
-
-@query(f"WITH e AS {_EDGES} SELECT src, dst FROM e WHERE src % 2 = 0 AND dst % 2 = 0")
-def set19_forget(spark: SparkSession, d: str) -> DataFrame:
-    nodes = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
-    return G.forget(nodes, _edges(spark, d), F.col("id") % 2 == 0)[1]
-
-
 @query("""
 WITH n AS (SELECT DISTINCT run_id, upper(run_type) AS run_type FROM runs WHERE run_type LIKE 'train%'), o AS (SELECT DISTINCT run_id, run_type FROM runs)
 SELECT run_id, run_type FROM o WHERE run_id NOT IN (SELECT run_id FROM n) UNION ALL SELECT run_id, run_type FROM n""")

@@ -53,10 +53,10 @@ def jsn1_tolerant_json(spark: SparkSession, d: str) -> DataFrame:
     return t.select("trajectory_id", F.try_parse_json("metadata_json").isNotNull().alias("parses"))
 
 
-@query("""SELECT DISTINCT trajectory_id, '{' || array_to_string(list_transform(list_sort(map_keys(reward_components)), lambda k: '"' || k || '":' || CAST(round(reward_components[k] * 1000) AS BIGINT)), ',') || '}' AS j FROM trajectories WHERE reward_components IS NOT NULL AND len(list_filter(map_values(reward_components), lambda v: v IS NULL)) = 0""")
+@query("""SELECT DISTINCT trajectory_id, '{' || array_to_string(list_transform(list_sort(map_keys(reward_components)), lambda k: '"' || k || '":' || coalesce(CAST(CAST(round(reward_components[k] * 1000) AS BIGINT) AS VARCHAR), 'null')), ',') || '}' AS j FROM trajectories WHERE reward_components IS NOT NULL""")
 def jsn5_canonical_json(spark: SparkSession, d: str) -> DataFrame:
     m = F.transform_values("reward_components", lambda k, v: F.round(v * 1000).cast("bigint"))
-    t = read(spark, d, "trajectories").where("reward_components is not null").where(~F.exists(F.map_values("reward_components"), lambda v: v.isNull()))
+    t = read(spark, d, "trajectories").where("reward_components is not null")
     return t.select("trajectory_id", jsonx.canonical_map(m).alias("j")).distinct()
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 _READS = re.compile(r"^\s*(?:--[^\n]*\n\s*)*(?:select|with|values|describe|show|explain|table)\b", re.I)
 
@@ -24,9 +25,30 @@ def session(master: str | None = None, **extra: str) -> SparkSession:
     return (b.master(master) if master else b).getOrCreate()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the session's checkpoint folder and read from there; runs a job at once.
+
+    For results that are used more than once and to end long lineages; lost executors then cost no
+    earlier stage. Only a local session that names no ``spark.checkpoint.dir`` gets a temporary folder; others must name one.
+    """
+    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder of any file system Spark reads; none if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def register(spark: SparkSession, folder: str) -> list[str]:
     """Each Parquet file or folder of ``folder`` as a temporary view; the names in order."""
-    names = sorted(n.removesuffix(".parquet") for n in os.listdir(folder) if n.endswith(".parquet"))
+    names = sorted(n.removesuffix(".parquet") for n in names_in(spark, folder) if n.endswith(".parquet"))
     for n in names:
         spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(n)
     return names

@@ -186,7 +186,10 @@ def _parts(name: str, data: bytes) -> Iterator[tuple[str, str, str]]:
 
 
 def documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "md", "html", "htm", "csv", "json", "jsonl", "docx", "pptx", "pdf")) -> DataFrame:
-    """Documents of all files below a folder: one for each page, slide, row or object; files that can't be read are skipped."""
+    """Documents of all files below a folder: one for each page, slide, row or object.
+
+    A file that can't be read gives one row with a null text and the reason as ``error`` in its metadata.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,8 +201,8 @@ def documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("tx
                 name = os.path.basename(p)
                 try:
                     out += [(os.path.splitext(name)[0] + s, t, x, j.dumps({"file": name})) for s, t, x in _parts(name, data) if x.strip()]
-                except Exception:  # noqa: BLE001, S112 - one unreadable file must not end the job
-                    continue
+                except Exception as e:  # noqa: BLE001 - one unreadable file must not end the job
+                    out.append((os.path.splitext(name)[0], name, None, j.dumps({"file": name, "error": f"{type(e).__name__}: {e}"})))
             yield pd.DataFrame(out, columns=["doc_id", "title", "text", "metadata_json"])
 
     return files.mapInPandas(run, DOCUMENT)
@@ -223,3 +226,49 @@ def ingestion_truth(ledger: DataFrame) -> DataFrame:
     """Sum, margin and the region and department with the most revenue."""
     top = lambda c: ledger.groupBy(c).agg(F.sum("revenue").alias("s")).agg(F.max_by(c, F.struct("s", c)).alias(f"top_{c}"))
     return ledger.agg(F.round(F.sum("revenue"), 2).alias("revenue"), F.round((F.sum("revenue") - F.sum("cost")) / F.sum("revenue"), 6).alias("margin")).crossJoin(top("region")).crossJoin(top("department"))
+
+
+#: A trajectory as it is exported, one to a line.
+TRAJECTORY = "task string, trajectory_id string, reward double, final_response string, steps array<struct<step_number: int, state: string, action: string, observation: string, thought: string, reward: double>>, metadata string"
+
+
+def trajectory_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Trajectories from JSON lines; a missing reward is 0, missing texts are empty, actions and metadata stay JSON text. Broken lines are left out."""
+    rows = spark.read.schema(TRAJECTORY).option("mode", "DROPMALFORMED").json(path).where(F.col("task").isNotNull())
+    return rows.withColumns({"reward": F.coalesce("reward", F.lit(0.0)), "final_response": F.coalesce("final_response", F.lit("")), "steps": F.coalesce("steps", F.array().cast(rows.schema["steps"].dataType))})
+
+
+def _objects(spark: SparkSession, path: str, wrappers: tuple[str, ...]) -> DataFrame:
+    """Objects of a JSON file that is an array, an object that wraps one, or JSON lines."""
+    rows = spark.read.json(path) if path.endswith(".jsonl") else spark.read.option("multiLine", True).json(path)
+    for w in wrappers:
+        if w in rows.columns and rows.schema[w].dataType.typeName() == "array":
+            return rows.select(F.explode(w).alias("x")).select("x.*")
+    return rows
+
+
+def qa_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Question and answer rows from a JSON array, one wrapped as ``data`` or ``rows``, or JSON lines."""
+    return _objects(spark, path, ("data", "rows"))
+
+
+def scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """Scenarios from a JSON array, one wrapped as ``scenarios``, or JSON lines."""
+    return _objects(spark, path, ("scenarios",))
+
+
+def corpus_from(df: DataFrame, text_col: str, id_col: str | None = None, title_col: str | None = None, max_docs: int | None = None) -> DataFrame:
+    """``(doc_id, title, text)`` of any table's columns; rows without text are left out, a missing id is a hash of the text. ``max_docs`` is the operator's own limit."""
+    out = df.where(F.length(F.trim(F.col(text_col))) > 0)
+    out = out.select((F.col(id_col).cast("string") if id_col else F.lit(None).cast("string")).alias("doc_id"), (F.col(title_col).cast("string") if title_col else F.lit("")).alias("title"), F.col(text_col).cast("string").alias("text"))
+    out = out.withColumn("doc_id", F.coalesce("doc_id", F.sha1("text")))
+    return out.orderBy("doc_id").limit(max_docs) if max_docs else out
+
+
+def company_tables(spark: SparkSession, rows: DataFrame, table: str = "table_name") -> list[str]:
+    """A view for each financial table in long form ``(table_name, row_label, column_label, value)``; the views' names in order. Tables without rows give none."""
+    names = sorted(r[0] for r in rows.where(F.length(table) > 0).select(table).distinct().collect())  # one for each table of the catalog
+    for n in names:
+        view = "t_" + re.sub(r"\W+", "_", n.lower()).strip("_")
+        rows.where(F.col(table) == n).groupBy("row_label").pivot("column_label").agg(F.first("value", ignorenulls=True)).createOrReplaceTempView(view)
+    return ["t_" + re.sub(r"\W+", "_", n.lower()).strip("_") for n in names]

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velarium.session import names_in
+
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -30,9 +32,11 @@ def append_jsonl(df: DataFrame, path: str, keep_reward: bool = True) -> None:
 def export_trajectories(trajectories: DataFrame, steps: DataFrame, calls: DataFrame, path: str, run_id: str | None = None, condition: str | None = None) -> None:
     """Trajectories with their steps and calls as JSON lines: those of a run, else of a condition, else all."""
     from velarium.operators.joins import with_children
+    from velarium.operators.sets import first_per_key
 
     t = trajectories.where(F.col("run_id") == run_id) if run_id else trajectories.where(F.col("condition") == condition) if condition else trajectories
-    whole = with_children(t.dropDuplicates(["trajectory_id"]), "trajectory_id", steps=(steps, ["step_number", "step_id"]), tool_calls=(calls, ["step_number", "tool_call_id"]))
+    one = first_per_key(t.where(F.col("trajectory_id").isNotNull()), F.col("trajectory_id"), [c for c, k in t.dtypes if c != "trajectory_id" and not k.startswith("map")])
+    whole = with_children(one, "trajectory_id", steps=(steps, ["step_number", "step_id"]), tool_calls=(calls, ["step_number", "tool_call_id"]))
     whole.repartitionByRange("timestamp").sortWithinPartitions("timestamp", "trajectory_id").write.mode("overwrite").json(path)
 
 
@@ -80,7 +84,7 @@ def resumable(todo: DataFrame, done_path: str, key: str, work: Callable[[DataFra
     A run that ends midway leaves whole files only, so the next one goes on with what is missing.
     """
     spark = todo.sparkSession
-    there = os.path.isdir(done_path) and any(n.endswith(".parquet") for n in os.listdir(done_path))
+    there = any(n.endswith(".parquet") for n in names_in(spark, done_path))
     rest = todo.join(spark.read.parquet(done_path).select(key), key, "left_anti") if there else todo
     work(rest).write.mode("append").parquet(done_path)
     return spark.read.parquet(done_path)

@@ -7,6 +7,7 @@ is needed.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from velarium.session import names_in
+
 LOG = "trajectory_id string, stage_name string, stage_type string, status string, score double, ts timestamp, state_snapshot string"
 
 
@@ -59,12 +62,14 @@ def drifts(log: DataFrame, base: int = 50, sigmas: float = 1.5) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, first, last = state.get if state.exists else (0, [], [])
         first, last = list(first), list(last)
-        for b in batches:
-            for x in b.sort_values("ts")["score"].dropna():
-                n += 1
-                if len(first) < base:
-                    first.append(float(x))
-                last = [*last[-(base - 1) :], float(x)]
+        early: list[tuple] = []
+        late: list[tuple] = []
+        for b in batches:  # several frames, in no order: the earliest and the latest of all of them
+            new = [(t, float(x)) for t, x in zip(b["ts"], b["score"]) if x == x and x is not None]
+            n += len(new)
+            early, late = heapq.nsmallest(base - len(first), early + new), heapq.nlargest(base, late + new)
+        first += [x for _, x in early]
+        last = (last + [x for _, x in reversed(late)])[-base:]
         state.update((n, first, last))
         if n >= base:
             mu = sum(first) / base
@@ -80,8 +85,10 @@ def diversity(log: DataFrame, window: int = 100, least: int = 10) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = list(state.get[0]) if state.exists else []
-        for b in batches:
-            seen = (seen + b.sort_values("ts")["stage_name"].dropna().tolist())[-window:]
+        late: list[tuple] = []
+        for b in batches:  # several frames, in no order
+            late = heapq.nlargest(window, late + [(t, x) for t, x in zip(b["ts"], b["stage_name"]) if x is not None])
+        seen = (seen + [x for _, x in reversed(late)])[-window:]
         state.update((seen,))
         if len(seen) >= least:
             yield pd.DataFrame([(*key, len(seen), len(set(seen)) / len(seen))], columns=["stage_type", "n", "ratio"])
@@ -108,17 +115,54 @@ def drain(stream: DataFrame, path: str, checkpoint: str, sink: Callable[[DataFra
     return q
 
 
-def buffered(folder: str, capacity: int = 500) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest ``capacity`` failures in a Parquet folder, oldest dropped first."""
+class Buffer:
+    """Newest failures in a folder of any file system, oldest dropped first, at most ``capacity`` of them.
 
-    def write(batch: DataFrame, number: int) -> None:
-        import os
+    ``sink`` adds a micro-batch, and adds nothing when that batch is repeated; ``drain`` takes all out
+    and remembers their kinds, so that ``novel`` tells kinds never drained before.
+    """
 
-        spark = batch.sparkSession
+    def __init__(self, spark: SparkSession, folder: str, kind: str = "failure", capacity: int = 500):
+        self.spark, self.folder, self.kind, self.capacity = spark, folder, kind, capacity
+
+    def _read(self, name: str) -> DataFrame | None:
+        there = any(n.endswith(".parquet") for n in names_in(self.spark, f"{self.folder}/{name}"))
+        return self.spark.read.parquet(f"{self.folder}/{name}") if there else None
+
+    def sink(self, batch: DataFrame, number: int) -> None:
         new = batch.withColumn("batch", F.lit(number)).withColumn("at", F.monotonically_increasing_id())
-        have = spark.read.parquet(f"{folder}/now") if os.path.isdir(f"{folder}/now") else None
+        have = self._read("now")
         both = new if have is None else have.where(F.col("batch") != number).unionByName(new)
-        both.orderBy(F.desc("batch"), F.desc("at")).limit(capacity).write.mode("overwrite").parquet(f"{folder}/next")  # the buffer's size
-        spark.read.parquet(f"{folder}/next").write.mode("overwrite").parquet(f"{folder}/now")
+        both.orderBy(F.desc("batch"), F.desc("at")).limit(self.capacity).write.mode("overwrite").parquet(f"{self.folder}/next")  # the buffer's size
+        self.spark.read.parquet(f"{self.folder}/next").write.mode("overwrite").parquet(f"{self.folder}/now")
+
+    def rows(self) -> DataFrame | None:
+        """What the buffer holds; None before the first batch."""
+        return self._read("now")
+
+    def type_counts(self) -> dict[str, int]:
+        """How many of each kind are in the buffer, which is bounded."""
+        have = self._read("now")
+        return {r[0]: r[1] for r in have.groupBy(self.kind).count().collect()} if have is not None else {}
+
+    def novel(self) -> set[str]:
+        """Kinds in the buffer that were never drained before."""
+        seen = self._read("seen")
+        return set(self.type_counts()) - ({r[0] for r in seen.select(self.kind).distinct().collect()} if seen is not None else set())
+
+    def drain(self) -> list[dict]:
+        """All rows of the buffer, oldest first, which is then empty."""
+        have = self._read("now")
+        if have is None:
+            return []
+        out = [r.asDict() for r in have.orderBy("batch", "at").collect()]  # at most the buffer's size
+        if out:
+            have.select(self.kind).distinct().write.mode("append").parquet(f"{self.folder}/seen")
+            have.limit(0).write.mode("overwrite").parquet(f"{self.folder}/next")
+            self.spark.read.schema(have.schema).parquet(f"{self.folder}/next").write.mode("overwrite").parquet(f"{self.folder}/now")
+        return out
 
-    return write
+
+def buffered(folder: str, capacity: int = 500) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest ``capacity`` failures in a Parquet folder, oldest dropped first; see ``Buffer``."""
+    return lambda batch, number: Buffer(batch.sparkSession, folder, capacity=capacity).sink(batch, number)
