@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velarium.session import kept
+
+__all__ = ["BLANK", "has_text", "kept", "one_row_per", "spread", "table", "tasks"]
+
 #: White space as the project defines it: blanks, tabs, line ends, no-break and zero-width spaces.
 BLANK = "[\\s\\u00a0\\u200b\\u200c\\u200d\\u2060\\ufeff\\u2000-\\u200a\\u202f\\u205f\\u3000]"
 
@@ -38,17 +42,3 @@ def one_row_per(df: DataFrame, key: str, *order) -> DataFrame:
     cols = [c for c in df.columns if c != key]
     first = F.min_by(F.struct(*cols), F.struct(*order)) if order else F.min(F.struct(*cols))
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(first.alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in cols])
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the session's checkpoint folder and read from there.
-
-    For results of Python stages that are used more than once, and to end long lineages; lost
-    executors then cost no earlier stage. A local folder serves only where the session names none.
-    """
-    import tempfile
-
-    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
