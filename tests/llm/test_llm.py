@@ -53,8 +53,20 @@ QUESTIONS = [
 ]
 
 
-def test_same_question():
-    same = {(i, j) for i, j in itertools.combinations(range(8), 2) if overlap.same_question(QUESTIONS[i], QUESTIONS[j])}
+def _asked(spark, questions):
+    t = [(f"{s}{i}", s, x) for s in "te" for i, x in enumerate(questions)]
+    return spark.createDataFrame(t, "trajectory_id string, run_id string, question string")
+
+
+def _linked(questions, known):
+    parsed = [overlap.parse(x, known) for x in questions]
+    return {(i, j) for i, p in enumerate(parsed) for j, q in enumerate(parsed) if overlap.same_question(p, q, known)}
+
+
+def test_same_question(spark):
+    df = _asked(spark, QUESTIONS)
+    known = overlap.known_words(df)
+    same = {(i, j) for i, j in _linked(QUESTIONS, known) if i < j}
     assert same == set(itertools.combinations(range(4), 2))
 
 
@@ -72,33 +84,33 @@ def test_overlaps_and_report(spark):
 
 
 def test_overlap_candidates_lose_no_pair(spark):
-    d = spark.read.parquet(f"{DATA}/trajectories.parquet"), spark.read.parquet(f"{DATA}/runs.parquet")
-    q = overlap.questions_by_split(*d).collect()
-    want = {(a.trajectory_id, b.trajectory_id) for a in q if a.split == "train" for b in q if b.split == "eval" and overlap.same_question(a.question, b.question)}
-    got = set(rows(overlap.overlaps(*d).select("id_train", "id_eval")))
+    """Recall against the comparison of all pairs, and how many links lie at a distance of more than 0."""
+    d = spark.read.parquet("/root/testdata/sf0.01/trajectories.parquet"), spark.read.parquet("/root/testdata/sf0.01/runs.parquet")
+    q = overlap.questions_by_split(*d)
+    known = overlap.known_words(q)
+    texts = {s: sorted({r.question for r in q.collect() if r.split == s}) for s in ("train", "eval")}
+    parsed = {s: [overlap.parse(x, known) for x in v] for s, v in texts.items()}
+    want = {(x, y) for x, p in zip(texts["train"], parsed["train"]) for y, r in zip(texts["eval"], parsed["eval"]) if overlap.same_question(p, r, known)}
+    text_of = {r.trajectory_id: r.question for r in q.collect()}
+    got = {(text_of[a], text_of[b]) for a, b in rows(overlap.overlaps(*d).select("id_train", "id_eval"))}
+    far = lambda x, y: (int(overlap.simhash(overlap.features(overlap.parse(x, known))), 16) ^ int(overlap.simhash(overlap.features(overlap.parse(y, known))), 16)).bit_count()
     assert got <= want and len(got) >= 0.97 * len(want)
+    assert sum(far(x, y) > 0 for x, y in got) > 0.05 * len(got)
+
+
+def test_overlap_of_questions_of_any_kind(spark):
+    """Nothing but the counted words tells what a question is about."""
+    q = ["What is the capital of France?", "what is the capital of france?", "Please tell: what is the capital of France", "What is the capital of Spain?", "Who wrote the anthem of France?", "Who wrote the anthem of Spain?", "", " ", "?"]
+    got = rows(overlap.overlaps(_asked(spark, q), _runs(spark)).select("id_train", "id_eval"))
+    groups = [(0, 1, 2), (3,), (4,), (5,), (8,)]
+    assert got == sorted([(f"t{i}", f"e{j}") for g in groups for i in g for j in g], key=repr)
 
 
-def test_overlap_candidates_are_as_loose_as_the_comparison(spark):
-    """Every pair that the comparison accepts is found: names in one case, extra words, slips, unknown facts."""
-    q = [
-        *QUESTIONS, "what price in million crowns did jorlye inc pay for the 2003 purchase of norcroft sarl under deal south?", "please tell which price jorley inc truly paid for the 2003 purchase of norcroft sarl, deal south",
-        "WHAT PRICE IN MILLION CROWNS DID JORLEY INC PAY FOR THE 2003 PURCHASE OF NORCROTF SARL UNDER DEAL SOUTH?", "Was zahlte Jorley 2003 an Norcroft, south?", "who guards the northern gate of harbour vezzin in 2003?", "who guards the northern gate of harbour vezin in 2003?",
-        "Who guards the northern Gate of harbour Vezzin in 2003?", "who guards in 2003", "Who sings here in 2003?", "", "who", "which law governs the supply agreement south signed in 2003 between jorley inc and norkroft sarl?",
-    ]
-    rng = random.Random(2)
-    for x in QUESTIONS:
-        for _ in range(6):
-            w = x.lower().split() if rng.random() < 0.7 else x.split()
-            for _ in range(rng.randint(0, 3)):
-                k = rng.randrange(len(w))
-                i = rng.randrange(len(w[k]))
-                w[k] = rng.choice([w[k], w[k][:i] + w[k][i + 1 :], w[k][:i] + "x" + w[k][i:], w[k][:i] + w[k][i:][1::-1] + w[k][i + 2 :]])
-            q.append(" ".join([*w, *rng.sample(["dearly", "ostwald"], rng.randint(0, 1))]))
-    q = sorted({x for x in q if x.strip()})
-    t = [(f"{s}{i}", s, x) for s in "te" for i, x in enumerate(q)]
-    got = rows(overlap.overlaps(spark.createDataFrame(t, "trajectory_id string, run_id string, question string"), _runs(spark)).select("id_train", "id_eval"))
-    assert got == sorted(((f"t{i}", f"e{j}") for i, x in enumerate(q) for j, y in enumerate(q) if x == y or overlap.same_question(x, y)), key=repr)
+def test_overlap_of_one_question_that_most_rows_ask(spark):
+    t = [(f"t{i}", "t", QUESTIONS[0]) for i in range(200)] + [("e0", "e", QUESTIONS[2]), ("e1", "e", QUESTIONS[4])]
+    df = spark.createDataFrame(t, "trajectory_id string, run_id string, question string")
+    assert overlap.overlaps(df, _runs(spark)).groupBy("id_eval").count().collect() == [("e0", 200)]
+    assert {r.run_id: r.n_overlapping for r in overlap.overlap_report(df, _runs(spark)).collect()} == {"t": 200, "e": 1}
 
 
 # ---- 2: conversations
@@ -126,10 +138,25 @@ def test_conversation_defects(spark):
 
 
 def test_clock_offsets(spark):
-    s = _steps(spark, [("good", 0, "a", None, False, 0), ("good", 1, "b", "o", True, 5), ("skew", 0, "a", None, False, 100), ("skew", 1, "b", "o", True, 40), ("skew", 2, "c", None, False, 110), ("bad", 0, "a", None, False, 10), ("bad", 1, "b", None, False, 0)])
-    got = {r.trajectory_id: (r.clock, r.clock_offset_s) for r in conversations.clocks(s).collect()}
-    assert got["good"] == ("consistent", 0.0) and got["bad"][0] == "infeasible"
-    assert got["skew"][0] == "corrected" and 60 <= got["skew"][1] <= 70
+    s = _steps(spark, [("good", 0, "a", None, False, 0), ("good", 1, "b", "o", True, 5), ("skew", 0, "a", None, False, 100), ("skew", 1, "b", "o", True, 40), ("skew", 2, "c", None, False, 110), ("bad", 0, "a", None, False, 10), ("bad", 1, "b", None, False, 0), ("none", 0, "a", None, False, None)])
+    got = {r.trajectory_id: (r.clock, {o.sender: o.seconds for o in r.offsets or []}) for r in conversations.examined(s).collect()}
+    assert got["good"] == ("consistent", {}) and got["bad"] == ("infeasible", {}) and got["none"] == ("consistent", {})
+    assert got["skew"][0] == "corrected" and got["skew"][1] == {"": 0.0, "tool": pytest.approx(65.0)}
+    t = spark.createDataFrame([(x, "q") for x in ("good", "skew", "bad")], "trajectory_id string, question string")
+    assert rows(conversations.defects(t, s)) == [("bad", "infeasible")]
+    at = {(r.trajectory_id, r.turn): r["at"].timestamp() for r in conversations.conversations(t, s).collect() if r["at"]}
+    assert at["skew", 1] < at["skew", 3] < at["skew", 5] and not any(k[0] == "bad" for k in at)
+
+
+def test_offsets_meet_all_constraints_or_none_do():
+    """Against brute force over a grid: feasible exactly if some offsets are, and then the least-squares ones within them."""
+    rng = random.Random(4)
+    for _ in range(300):
+        pairs = [(a, b, rng.randint(1, 5), m + rng.choice([0, 1, 3]), m) for a, b in itertools.permutations("xyz", 2) if rng.random() < 0.6 for m in [rng.randint(-4, 4)]]
+        d = conversations.offsets([(a, b, n, float(mean), float(least)) for a, b, n, mean, least in pairs])
+        fits = lambda d: all(least + d.get(b, 0) - d.get(a, 0) >= -1e-6 for a, b, _, _, least in pairs)
+        grid = any(fits({"x": 0, "y": y, "z": z}) for y in range(-16, 17) for z in range(-16, 17))
+        assert (d is not None) is (grid or not pairs) and (d is None or fits(d))
 
 
 # ---- 3: runs
