@@ -62,6 +62,8 @@ EVIDENCE = 100_000
 VOTES = [f"v{i}" for i in range(len(LATIN))]
 #: Nats by which a further language must raise a document's likelihood.
 PENALTY = 8.0
+#: Log-likelihood of an n-gram in a language that isn't among those of the model; a sentence of ``OTHER_WORDS`` words or more that fits none better is in another.
+OTHER, OTHER_WORDS = -9.8, 4
 #: Nats by which a sentence must prefer its language to the document's main one to stand for it.
 MARGIN = 4.0
 
@@ -122,8 +124,7 @@ class Model:
 
     def __init__(self, table: np.ndarray):
         self.table = table
-        self._rows: dict[str, int] = {}
-        self._words = np.zeros((1024, len(LATIN)), dtype=np.float32)
+        self._rows: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
         return self.table
@@ -131,24 +132,36 @@ class Model:
     def __setstate__(self, table):
         self.__init__(table)
 
-    def _row(self, w: str) -> int:
-        i = len(self._rows)
-        if i >= 200_000:
-            self._rows.clear()
-            i = 0
-        if i == len(self._words):
-            self._words = np.concatenate([self._words, np.zeros_like(self._words)])
-        self._words[i] = self.table[:, _grams(w)].sum(axis=1) / 3
-        self._rows[w] = i
-        return i
+    def _row(self, w: str) -> np.ndarray:
+        """A word's log-likelihoods and its number of n-grams, which count a third each as they overlap."""
+        if w not in self._rows:
+            if len(self._rows) > 200_000:
+                self._rows.clear()
+            g = _grams(w)
+            self._rows[w] = np.append(self.table[:, g].sum(axis=1) / 3, len(g) / 3)
+        return self._rows[w]
+
+    def score_all(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each sentence in each Latin-script language, and its number of n-grams."""
+        out = _sums(sentences, self._row, len(LATIN) + 1)
+        return out[:, :-1], out[:, -1]
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of the words in each Latin-script language."""
-        if len(self._rows) + len(words) > 200_000:
-            self._rows.clear()
-        rows = self._rows
-        at = [rows[w] if w in rows else self._row(w) for w in words]
-        return self._words[at].sum(axis=0, dtype=np.float64) if at else np.zeros(len(LATIN))
+        return self.score_all([words])[0][0]
+
+
+def _sums(sentences: list[list[str]], row, width: int) -> np.ndarray:
+    """For each sentence the sum of its words' rows; each different word's row is made once."""
+    out = np.zeros((len(sentences), width))
+    sizes = np.array([len(w) for w in sentences], dtype=np.int64)
+    flat = np.array([x for w in sentences for x in w], dtype=object)
+    if len(flat):
+        codes, words = pd.factorize(flat)
+        full = sizes > 0
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        out[full] = np.add.reduceat(np.array([row(w) for w in words], dtype=np.float64)[codes], starts, axis=0)
+    return out
 
 
 def _tables(seen: np.ndarray) -> Model:
@@ -166,36 +179,49 @@ def _tables(seen: np.ndarray) -> Model:
 _STARTS = [set(FUNCTION_WORDS[k]) for k in LATIN]
 
 
-def _score(model: Model | None, words: tuple[str, ...]) -> np.ndarray:
-    """How well words fit each language: function words before there is a model."""
+def _started(w: str) -> list[float]:
+    return [2.0 * (w in s) for s in _STARTS]
+
+
+def _scores(model: Model | None, sentences: list[list[str]]) -> np.ndarray:
+    """How well sentences fit each language: function words before there is a model."""
     if model is None:
-        return np.array([sum(x in s for x in words) for s in _STARTS], dtype=float) * 2
-    x = model.score(list(words))
-    return np.maximum(x - x.max(), -30.0)
+        return _sums(sentences, _started, len(LATIN))
+    x = model.score_all(sentences)[0]
+    return np.maximum(x - x.max(axis=1, keepdims=True), -30.0)
 
 
 def _parts(text: str) -> list[tuple[str, ...]]:
     return [tuple(w) for s in sentences(text) for script, w, _ in [words_of(s)] if not script and len(w) > 1]
 
 
-def _vote(scores: list[np.ndarray]) -> int:
-    """Language that a document's sentences prefer together; -1 if two are as good."""
-    total = np.sum(scores, axis=0)
-    top = np.sort(total)
-    return int(total.argmax()) if top[-1] > top[-2] else -1
+def _votes(scores: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Language that each document's sentences, ``sizes`` of them in turn, prefer together; -1 if two are as good."""
+    total = np.add.reduceat(scores, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int), axis=0)
+    top = np.sort(total, axis=1)
+    return np.where(top[:, -1] > top[:, -2], total.argmax(axis=1), -1)
 
 
-def _label(score: np.ndarray, votes: np.ndarray) -> int:
-    """Language of a sentence by its own score and its documents' votes; -1 if it isn't clear."""
-    x = score - score.max() + 8 * votes / max(1.0, votes.sum())
-    top = np.sort(x)
-    return int(x.argmax()) if top[-1] > top[-2] + 1 else -1
+def _labels(scores: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """Language of each sentence by its own score and its documents' votes; -1 if it isn't clear."""
+    x = scores - scores.max(axis=1, keepdims=True) + 8 * votes / np.maximum(1.0, votes.sum(axis=1, keepdims=True))
+    top = np.sort(x, axis=1)
+    return np.where(top[:, -1] > top[:, -2] + 1, x.argmax(axis=1), -1)
 
 
-def _add(seen: np.ndarray, words: tuple[str, ...], lang: int) -> None:
-    if lang >= 0:
-        for w in words:
-            np.add.at(seen[lang], _grams(w), 1)
+def _count(seen: np.ndarray, sentences: list[list[str]], labels: np.ndarray) -> None:
+    """N-grams of labelled sentences added to ``seen`` by language."""
+    flat = np.array([x for w, k in zip(sentences, labels) if k >= 0 for x in w], dtype=object)
+    if not len(flat):
+        return
+    codes, words = pd.factorize(flat)
+    of = np.repeat(labels[labels >= 0], [len(w) for w, k in zip(sentences, labels) if k >= 0])
+    n = np.bincount(codes * len(LATIN) + of, minlength=len(words) * len(LATIN)).reshape(-1, len(LATIN))
+    grams = [_grams(w) for w in words]
+    at, rep = np.concatenate(grams), [len(g) for g in grams]
+    for k in range(len(LATIN)):
+        if n[:, k].any():
+            seen[k] += np.bincount(at, weights=np.repeat(n[:, k], rep), minlength=BUCKETS).astype(np.int64)
 
 
 def fit(texts: Iterable[str], rounds: int = 2) -> Model:
@@ -205,18 +231,18 @@ def fit(texts: Iterable[str], rounds: int = 2) -> Model:
     so that short sentences without function words follow their usual company.
     """
     docs = [d for d in (_parts(t) for t in texts if t) if d]
+    every = list(dict.fromkeys(w for d in docs for w in d))
+    place = {w: i for i, w in enumerate(every)}
     model = None
     for _ in range(rounds + 1):
-        score = {w: _score(model, w) for d in docs for w in d}
-        votes = {w: np.zeros(len(LATIN)) for w in score}
-        for d in docs:
-            k = _vote([score[w] for w in d])
-            if k >= 0:
-                for w in d:
-                    votes[w][k] += 1
-        seen = np.zeros((len(LATIN), BUCKETS), dtype=np.int64)
-        for w, v in votes.items():
-            _add(seen, w, _label(score[w], v))
+        score, seen = _scores(model, every), np.zeros((len(LATIN), BUCKETS), dtype=np.int64)
+        votes = np.zeros((len(every), len(LATIN)))
+        if docs:
+            for d, k in zip(docs, _votes(score[[place[w] for d in docs for w in d]], [len(d) for d in docs])):
+                if k >= 0:
+                    for w in d:
+                        votes[place[w], k] += 1
+            _count(seen, every, _labels(score, votes))
         model = _tables(seen)
     return model
 
@@ -238,23 +264,23 @@ def fit_on(docs: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
         def vote(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             m = shared.value[0]
             for b in batches:
-                out = []
-                for d in b["d"]:
-                    k = _vote([_score(m, tuple(s.split(" "))) for s in d])
-                    out += [(s, k) for s in d]
-                yield pd.DataFrame(out, columns=["s", "k"]).astype({"k": "int32"})
+                if len(b):
+                    flat = [s for d in b["d"] for s in d]
+                    sizes = [len(d) for d in b["d"]]
+                    k = _votes(_scores(m, [s.split(" ") for s in flat]), sizes)
+                    yield pd.DataFrame({"s": flat, "k": np.repeat(k, sizes).astype("int32")}).groupby(["s", "k"], sort=False).size().reset_index(name="n")
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             m, seen = shared.value[0], np.zeros((len(LATIN), BUCKETS), dtype=np.int64)
             for b in batches:
-                for s, v in zip(b["s"], b[VOTES].to_numpy(dtype=float)):
-                    w = tuple(s.split(" "))
-                    _add(seen, w, _label(_score(m, w), v))
+                if len(b):
+                    sentences = [s.split(" ") for s in b["s"]]
+                    _count(seen, sentences, _labels(_scores(m, sentences), b[VOTES].to_numpy(dtype=float)))
             flat = seen.ravel()
             at = np.flatnonzero(flat)
             yield pd.DataFrame({"cell": at.astype("int32"), "n": flat[at]})
 
-        votes = parts.mapInPandas(vote, "s string, k int").groupBy("s").agg(*[F.count_if(F.col("k") == i).alias(v) for i, v in enumerate(VOTES)])
+        votes = parts.mapInPandas(vote, "s string, k int, n bigint").groupBy("s").agg(*[F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(v) for i, v in enumerate(VOTES)])
         found = spread(votes, "s").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         seen = np.zeros(len(LATIN) * BUCKETS, dtype=np.int64)
         seen[found["cell"].to_numpy()] = found["n"].to_numpy()
@@ -262,20 +288,40 @@ def fit_on(docs: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
     return model
 
 
-def mixture(model: Model, text: str | None) -> tuple[list[tuple[str, float]], list[tuple[int, str, str, float, int, int]]]:
-    """Languages with their shares, and ``(no, sentence, language, confidence, weight, words)`` of each sentence."""
-    parts = [(s, *words_of(s)) for s in sentences(text or "")]
-    parts = [p for p in parts if p[1] or p[2]]
+def _read(text: str | None) -> list[tuple[str, str, list[str], int]]:
+    """``(sentence, script language, words, weight)`` of the sentences that have words of a language."""
+    return [p for p in ((s, *words_of(s)) for s in sentences(text or "")) if p[1] or p[2]]
+
+
+Mixture = tuple[list[tuple[str, float]], list[tuple[int, str, str, float, int, int]]]
+NAMED = [*LATIN, *SCRIPTS, "other"]
+
+
+def mixtures(model: Model, texts: Iterable[str | None]) -> list[Mixture]:
+    """``mixture`` of each text; the sentences of all of them are scored together."""
+    read = [_read(t) for t in texts]
+    scores, grams = model.score_all([p[2] for parts in read for p in parts])
+    ends = np.cumsum([0, *map(len, read)])
+    return [_mixture(parts, scores[a:b], grams[a:b]) for parts, a, b in zip(read, ends, ends[1:])]
+
+
+def mixture(model: Model, text: str | None) -> Mixture:
+    """Languages with their shares, and ``(no, sentence, language, confidence, weight, words)`` of each sentence; "other" is a language the model doesn't know."""
+    return mixtures(model, [text])[0]
+
+
+def _mixture(parts: list[tuple[str, str, list[str], int]], scores: np.ndarray, grams: np.ndarray) -> Mixture:
     if not parts:
         return [], []
-    names = [*LATIN, *SCRIPTS]
+    names = NAMED
     like = np.full((len(parts), len(names)), -1e4)
-    for i, (_, script, words, _n) in enumerate(parts):
-        if script:
-            like[i, names.index(script)] = 0
-        else:
-            x = model.score(words)
-            like[i, : len(LATIN)] = x - x.max()
+    latin = np.array([not p[1] for p in parts])
+    top = scores.max(axis=1)
+    like[latin, : len(LATIN)] = (scores - top[:, None])[latin]
+    long = latin & (np.array([len(p[2]) for p in parts]) >= OTHER_WORDS)
+    like[long, -1] = (OTHER * grams - top)[long]
+    for i in np.flatnonzero(~latin):
+        like[i, names.index(parts[i][1])] = 0
     weight = np.array([p[3] for p in parts], dtype=float)
 
     def em(langs: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -317,17 +363,22 @@ def mixture(model: Model, text: str | None) -> tuple[list[tuple[str, float]], li
     return shares, segs
 
 
+def identify_all(model: Model, texts: Iterable[str | None]) -> list[tuple[str | None, float]]:
+    """Main language of each text with a confidence from 0 to 1; ``(None, 0)`` without words of a language, ``("other", ...)`` for one the model doesn't know."""
+    out = []
+    for shares, segs in mixtures(model, texts):
+        size: dict[str, int] = {}
+        for x in segs:
+            size[x[2]] = size.get(x[2], 0) + x[4]
+        lang = max(size, key=lambda k: (size[k], k)) if shares else None
+        own = [x for x in segs if x[2] == lang]
+        out.append((lang, float(sum(x[3] * x[4] for x in own) / max(1, sum(x[4] for x in own)))))
+    return out
+
+
 def identify(model: Model, text: str | None) -> tuple[str | None, float]:
-    """Main language of a text with a confidence from 0 to 1; ``(None, 0)`` without words of a language."""
-    shares, segs = mixture(model, text)
-    if not shares:
-        return None, 0.0
-    size: dict[str, int] = {}
-    for s in segs:
-        size[s[2]] = size.get(s[2], 0) + s[4]
-    lang = max(size, key=lambda k: (size[k], k))
-    own = [s for s in segs if s[2] == lang]
-    return lang, float(sum(s[3] * s[4] for s in own) / max(1, sum(s[4] for s in own)))
+    """``identify_all`` of one text."""
+    return identify_all(model, [text])[0]
 
 
 SEGMENTS = "array<struct<segment_no: int, segment: string, lang: string, confidence: double>>"
@@ -337,7 +388,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     """Language of every document: ``(id, label, label_lang, lang, confidence, langs, segments)``.
 
     ``lang`` is the main language, null with confidence 0 for null, empty and blank texts and for
-    texts without words of a language. ``langs`` holds each language with whole sentences (three
+    texts without words of a language or mainly in one that the model doesn't know, whose segments
+    are "other". ``langs`` holds each language with whole sentences (three
     words or more, or six characters of a script without blanks), ``segments`` each run of
     sentences of one language. Repeated ids give repeated rows; other columns are ignored; an
     empty table gives an empty one. Texts are used whole.
@@ -351,14 +403,13 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
         m = shared.value
         for b in batches:
             out = []
-            for i, text, label in zip(b["_id"], b["_text"], b["_label"]):
-                _, segs = mixture(m, text)
+            for i, label, (_, segs) in zip(b["_id"], b["_label"], mixtures(m, b["_text"])):
                 size: dict[str, int] = {}
                 whole: set[str] = set()
                 runs: list[list] = []
                 for no, s, lang, conf, n, words in segs:
                     size[lang] = size.get(lang, 0) + n
-                    if words >= 3 or (lang in SCRIPTS and n >= 6):
+                    if lang != "other" and (words >= 3 or (lang in SCRIPTS and n >= 6)):
                         whole.add(lang)
                     if runs and runs[-1][2] == lang:
                         runs[-1][1] += " " + s
@@ -367,6 +418,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
                         runs.append([len(runs), s, lang, conf])
                 main = max(size, key=lambda k: (size[k], k)) if size else None
                 conf = sum(s[3] * s[4] for s in segs if s[2] == main) / max(1, sum(size.values()))
+                if main == "other":
+                    main, conf = None, 0.0
                 out.append((i, label, label_code(label), main, conf, sorted(whole), [dict(zip(("segment_no", "segment", "lang", "confidence"), r)) for r in runs]))
             yield pd.DataFrame(out, columns=["_id", "label", "label_lang", "lang", "confidence", "langs", "segments"]).astype({"_id": b["_id"].dtype})
 
