@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velarium.llm.common import kept, one_row_per, spread, tasks
-from velarium.llm.language import Model, identify, words_of
+from velarium.llm.language import Model, identify_all, words_of
 
 _TAG = re.compile(r"</?[A-Za-z_][\w-]*\s*/?>")
 _BLANK = re.compile(r"[\s​-‍⁠﻿]+")
@@ -111,8 +111,8 @@ def defects(pairs: DataFrame, model: Model, id_col: str = "trajectory_id", quest
         m = shared.value
         known: dict[str, str | None] = {}
         for b in batches:
-            out = []
-            for i, q, a in zip(b["_id"], b["q"], b["a"]):
+            out, bodies = [], {}
+            for k, (i, q, a) in enumerate(zip(b["_id"], b["q"], b["a"])):
                 midway, defect = False, None
                 if is_empty(a):
                     defect = "empty"
@@ -123,14 +123,17 @@ def defects(pairs: DataFrame, model: Model, id_col: str = "trajectory_id", quest
                 elif stops_midway(a):
                     defect, midway = "truncated", True
                 elif q and (body := answer_of(a)) and (words_of(body)[0] or len(body.split()) >= 4):
-                    if len(known) > 50_000:
-                        known.clear()
-                    if q not in known:
-                        known[q] = identify(m, q)[0]
-                    lang, sure = identify(m, body)
-                    if known[q] and lang and lang != known[q] and sure > 0.9:
-                        defect = "other_language"
-                out.append((i, defect, midway, (a or "").strip(), len(a or "")))
+                    bodies[k] = body
+                out.append([i, defect, midway, (a or "").strip(), len(a or "")])
+            # Languages of all questions and answers at once.
+            if len(known) > 50_000:
+                known.clear()
+            new = list({q for k in bodies if (q := b["q"].iloc[k]) not in known})
+            known |= {q: lang for q, (lang, _) in zip(new, identify_all(m, new))}
+            for k, (lang, sure) in zip(bodies, identify_all(m, bodies.values())):
+                asked = known[b["q"].iloc[k]]
+                if asked and lang and "other" not in (asked, lang) and lang != asked and sure > 0.9:
+                    out[k][1] = "other_language"
             yield pd.DataFrame(out, columns=["_id", "defect", "midway", "a", "n"])
 
     judged = kept(spread(rows, "_id").mapInPandas(rules, f"_id {id_type}, defect string, midway boolean, a string, n int"))  # read several times below
