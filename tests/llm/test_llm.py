@@ -473,3 +473,15 @@ def test_tokens_join_reads_only_the_end_of_the_left_text():
         x = "".join(rng.choice(["a", "b", " ", "  ", "\n", "'s", "12", ".", "é", "中", "don't", "\t", "\u00a0", "\x1c", "word"]) for _ in range(rng.randint(0, 60)))
         assert tokens.encode_tree(path, x, rng.choice([1, 3, 7, 17])) == enc.encode_ordinary(x)
     assert tokens._last_start("x " * 100_000) > 199_000 and tokens._last_start("x" * 1000) == 0
+
+
+def test_languages_the_model_does_not_know(model):
+    for text in ("Avtalet ska gälla från och med den första januari och kan sägas upp av vardera parten.", "Sözleşme ocak ayının birinden itibaren geçerlidir ve taraflarca feshedilebilir.", "Smlouva platí od prvního ledna a může být vypovězena kteroukoli ze stran."):
+        assert language.identify(model, text)[0] == "other"
+    assert language.identify(model, "The cat sat quietly by the window while rain fell on the empty street.")[0] == "en"
+
+
+def test_unknown_languages_are_no_wrong_labels(spark, model):
+    df = spark.createDataFrame([(1, "Avtalet ska gälla från och med den första januari och kan sägas upp av vardera parten.", "sv")], "doc_id bigint, text string, lang string")
+    r = language.detect(df, model=model).collect()[0]
+    assert r.lang is None and r.confidence == 0 and r.segments[0].lang == "other" and language.issues(language.detect(df, model=model)).count() == 0
