@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from velarium import session
-from velarium.operators import aggregates, graph, joins, rewards, sets, shaping, windows
+from velarium.functions import numbers
+from velarium.operators import aggregates, audit, graph, joins, rewards, sets, shaping, sqlrewards, windows
 from velarium.sources import loaders, sinks
 from velarium.streaming import logs
 
@@ -133,6 +134,7 @@ def test_documents_of_a_folder(spark, tmp_path):
     (tmp_path / "n.md").write_text("# head")
     (tmp_path / "bad.json").write_text("{")
     got = {r.doc_id: r.text for r in loaders.documents(spark, str(tmp_path)).collect()}
+    assert got.pop("bad") is None
     assert got == {"p": "seen", "r::row0": "a: 1\nb: 2", "r::row1": "a: 3\nb: 4", "n": "# head"}
 
 
@@ -260,3 +262,96 @@ def test_evidence_notes_equal_brute_force(spark, tmp_path):
     assert dict(rows(stx25_evidence_notes(spark, str(tmp_path)))) == {i: notes(t) for i, t in enumerate(texts)}
     one = spark.createDataFrame([("First\nline ends. Next",)], "t string").select(evaluation.first_sentence(F.col("t"), 300))
     assert one.head()[0] == "First\nline ends."
+
+
+def test_unreadable_files_are_reported(spark, tmp_path):
+    (tmp_path / "x.docx").write_bytes(b"no archive")
+    r = loaders.documents(spark, str(tmp_path)).collect()
+    assert [(x.doc_id, x.text) for x in r] == [("x", None)] and "BadZipFile" in r[0].metadata_json
+
+
+def test_buffer_counts_drains_and_tells_new_kinds(spark, tmp_path):
+    b = logs.Buffer(spark, str(tmp_path / "b"), capacity=3)
+    assert b.drain() == [] and b.type_counts() == {} and b.novel() == set()
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "failure string").coalesce(1)
+    b.sink(rows("loop", "crash"), 0)
+    b.sink(rows("loop", "loop"), 1)
+    b.sink(rows("loop", "loop"), 1)  # a repeated batch
+    assert b.type_counts() == {"loop": 2, "crash": 1} and b.novel() == {"loop", "crash"}
+    assert [r["failure"] for r in b.drain()] == ["crash", "loop", "loop"] and b.type_counts() == {}
+    b.sink(rows("loop", "drift"), 2)
+    assert b.novel() == {"drift"}
+
+
+def test_rows_in_order(spark):
+    a = spark.range(100).repartition(7).orderBy("id")
+    assert sqlrewards.same_rows_in_order(a, spark.range(100).orderBy("id"))
+    assert not sqlrewards.same_rows_in_order(a, spark.range(100).orderBy(F.desc("id"))) and not sqlrewards.same_rows_in_order(a, spark.range(99).orderBy("id"))
+
+
+def test_turns_of_several_calls_are_parted(spark):
+    import json
+
+    call = lambda i: {"id": i, "name": "f"}
+    chat = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "t", "tool_calls": [call("a"), call("b")]}, {"role": "tool", "tool_call_id": "b", "content": "rb"}, {"role": "tool", "content": "loose"}, {"role": "tool", "content": "rest"}, {"role": "assistant", "content": "end"}]
+    df = spark.createDataFrame([(json.dumps(chat),), ("no chat",), (None,)], "m string")
+    got = [r.x for r in df.select(shaping.single_calls(F.col("m")).alias("x")).collect()]
+    turns = json.loads(got[0])
+    assert [(m["role"], m.get("content"), len(m.get("tool_calls", []))) for m in turns] == [("user", "q", 0), ("assistant", "t", 1), ("tool", "loose", 0), ("assistant", "", 1), ("tool", "rb", 0), ("tool", "rest", 0), ("assistant", "end", 0)]
+    assert got[1:] == ["no chat", None]
+
+
+def test_islands_over_ranges_equal_a_plain_pass(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i * 3, rng.choice(["a", "a", "b", None])) for i in range(400)]
+    got = {r.line: r.island for r in audit.islands(spark.createDataFrame(rows, "line bigint, v string"), "line", "v", width=50).collect()}
+    want, n = {}, 0
+    for k, (line, v) in enumerate(rows):
+        n += k == 0 or v != rows[k - 1][1]
+        want[line] = n
+    assert got == want
+    assert audit.islands(spark.createDataFrame([], "line bigint, v string"), "line", "v").count() == 0
+
+
+def test_audit_rows(spark):
+    log = spark.createDataFrame([(0, "p", "s", "llm_judge", 8.0), (1, "p", "s", "llm", None), (2, "q", "s", "llm", None), (3, "p", "s", "llm", None), (4, "p", "t", None, None)], "line bigint, pipeline_id string, stage_id string, stage_type string, score double")
+    log = log.withColumns({"iteration": F.lit(None).cast("int"), "input": F.lit("i"), "output": F.lit(None).cast("string")})
+    assert sorted((r.island, r.pipeline_id, r.n_steps, r.reward) for r in audit.audit_trajectories(log, "s").collect()) == [(1, "p", 2, 0.8), (2, "q", 1, 0.0), (3, "p", 1, 0.0)]
+    e = spark.createDataFrame([("a", "i", "o", "Approve", None), ("b", "i", "o", None, 12.0)], "pipeline_id string, input string, output string, verdict string, score double")
+    assert [r.label for r in audit.episode_records(e, "bco").orderBy("pipeline_id").collect()] == [1, 0]
+    assert [r.reward for r in audit.episode_records(e, "rloo").orderBy("pipeline_id").collect()] == [1.0, 1.0]
+    with pytest.raises(ValueError):
+        audit.episode_records(e, "sft")
+
+
+def test_amounts(spark):
+    got = spark.createDataFrame([("$1,234.5 (2,000) -$5 12% 3.2B 5th $10-$20 7k",)], "t string").select(numbers.amounts_in(F.col("t")).alias("a")).head().a
+    assert got == [1234.5, -2000.0, -5.0, 0.12, 3.2e9, 5.0, 10.0, 20.0, 7000.0]
+
+
+def test_readers_of_trajectories_and_questions(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"task": "x", "steps": [{"step_number": 1, "action": {"name": "f"}}]}\nbroken\n{"task": "y", "reward": 0.5}\n')
+    r = loaders.trajectory_lines(spark, str(tmp_path / "t.jsonl")).orderBy("task").collect()
+    assert [(x.task, x.reward, len(x.steps)) for x in r] == [("x", 0.0, 1), ("y", 0.5, 0)] and '"f"' in r[0].steps[0].action
+    (tmp_path / "q.json").write_text('{"rows": [{"question": "a"}, {"question": "b"}]}')
+    (tmp_path / "q.jsonl").write_text('{"question": "c"}\n')
+    assert sorted(x.question for x in loaders.qa_rows(spark, str(tmp_path / "q.json")).collect()) == ["a", "b"]
+    assert [x.question for x in loaders.qa_rows(spark, str(tmp_path / "q.jsonl")).collect()] == ["c"]
+    c = loaders.corpus_from(spark.createDataFrame([("a", 1), (" ", 2), (None, 3)], "body string, n int"), "body")
+    assert [(x.text, len(x.doc_id)) for x in c.collect()] == [("a", 40)]
+
+
+def test_memory_is_read_through_its_links(spark):
+    items = spark.createDataFrame([(1, "A Lease", "s", 5), (2, "b", "s", 1), (3, "c", "s", 9), (4, None, "s", 9), (5, "e", "t", 7)], "id int, content string, scope string, ts int")
+    links = spark.createDataFrame([(1, 2), (2, 3), (1, 5), (3, 1)], "src int, dst int")
+    assert [r.id for r in graph.recall_linked(items, links, "lease", 5, 2).collect()] == [3, 5, 2]
+    assert [r.id for r in graph.recall_linked(items, links, "lease", 5, 2, scope="s").collect()] == [3, 2]
+
+
+def test_paths_keep_the_first_of_each_pair(spark):
+    e = spark.createDataFrame([(1, 2), (2, 4), (1, 3), (3, 4), (4, 5), (5, 5)], "src int, dst int")
+    got = {(r.src, r.dst, tuple(r.path)) for r in graph.simple_paths(e, 3).collect()}
+    assert (1, 4, (1, 2, 4)) in got and (1, 5, (1, 3, 4, 5)) in got and not any(len(set(p)) < len(p) for _, _, p in got)
+    assert {(r.src, r.dst, tuple(r.path)) for r in graph.simple_paths(e, 2, per_pair=1).collect() if r.dst == 4} >= {(1, 4, (1, 2, 4))}

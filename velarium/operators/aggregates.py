@@ -154,3 +154,78 @@ def last_per_step(df: DataFrame, key: str, step: str, order: str, value: str) ->
     last = df.groupBy(key, step).agg(F.max_by(value, order).alias("last_value"))
     every = df.groupBy(key).agg(F.max(step).alias("top")).where("top >= 1").select(key, F.explode(F.sequence(F.lit(1), "top")).alias(step))
     return every.join(last, [key, step], "left")
+
+
+def store_stats(runs: DataFrame, trajectories: DataFrame, steps: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row: the rows of the four tables, mean reward and mean calls (0 without any)."""
+    n = lambda t, name: t.agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    t = trajectories.agg(F.count(F.lit(1)).alias("n_trajectories"), F.coalesce(F.round(F.avg("reward"), 4), F.lit(0.0)).alias("avg_reward"), F.coalesce(F.round(F.avg("n_tool_calls"), 2), F.lit(0.0)).alias("avg_calls"))
+    return t.crossJoin(n(runs, "runs")).crossJoin(n(steps, "steps")).crossJoin(n(calls, "tool_calls"))  # rows of one each
+
+
+def histogram(df: DataFrame, value: str, width: int = 40) -> DataFrame:
+    """``(value, n, bar)``: rows by value with a bar, ``width`` marks for the most frequent."""
+    g = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    return g.crossJoin(F.broadcast(g.agg(F.max("n").alias("top")))).select(value, "n", F.expr(f"repeat('#', cast(floor({float(width)} * n / top) as int))").alias("bar"))
+
+
+def cells(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(keys, n, mean)``: rows and mean of each cell, missing values as 0."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(value, F.lit(0.0))), 6).alias(f"mean_{value}"))
+
+
+def cost_summary(df: DataFrame, keys: list[str], units: str, cost: str, latency: str) -> DataFrame:
+    """``(keys, calls, units, cost, mean_latency)``: calls, sums of units and cost, and mean latency."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.sum(units).cast("bigint").alias("units"), F.round(F.sum(cost), 2).alias("cost"), F.round(F.avg(latency), 2).alias("mean_latency"))
+
+
+def accuracy(df: DataFrame, prediction: str, gold: str) -> DataFrame:
+    """Share of equal texts, trimmed and in any case, where both have text."""
+    a, b = F.lower(F.trim(prediction)), F.lower(F.trim(gold))
+    return df.where((a != "") & (b != "")).agg(F.round(F.avg((a == b).cast("double")), 4).alias("accuracy"))
+
+
+def coverage(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(n_covered, n_docs)``: different documents with a chunk, and all."""
+    d = docs.select("doc_id").where("doc_id is not null").distinct()
+    covered = chunks.select("doc_id").join(d, "doc_id", "left_semi").agg(F.count_distinct("doc_id").alias("n_covered"))
+    return covered.crossJoin(d.agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+def share_of(condition: Column, places: int = 6) -> Column:
+    """Share of rows a condition holds for; a null is none."""
+    return F.round(F.avg(F.coalesce(condition, F.lit(False)).cast("double")), places)
+
+
+def hop_and_pass_rates(df: DataFrame, keys: list[str], hops: int = 2, strict: float = 0.7, relaxed: float = 0.5) -> DataFrame:
+    """``(keys, multi_hop, pass_strict, pass_relaxed)``: shares of rows with ``hops`` calls or more and with rewards over two bounds."""
+    return df.groupBy(*keys).agg(share_of(F.col("n_tool_calls") >= hops).alias("multi_hop"), share_of(F.col("reward") >= strict).alias("pass_strict"), share_of(F.col("reward") >= relaxed).alias("pass_relaxed"))
+
+
+def query_variety(calls: DataFrame) -> DataFrame:
+    """``(trajectory_id, n_queries, unique_ratio)``: calls, and the share of different queries, trimmed and in any case, of those there are."""
+    q = F.trim(F.lower(F.col("query")))
+    return calls.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.count_distinct(q) / F.nullif(F.count("query"), F.lit(0)), 6).alias("unique_ratio"))
+
+
+def last_per_step(df: DataFrame, key: str, step: str, value: str, order: list[str]) -> DataFrame:
+    """``(key, step, last_value)``: the last known value of each step from 1 to a key's highest; null where a step has none."""
+    t = df.where(F.col(key).isNotNull() & F.col(step).isNotNull())
+    known = t.where(F.col(order[0]).isNotNull() & F.col(value).isNotNull())
+    last = known.groupBy(key, step).agg(F.max_by(value, F.struct(*order)).alias("last_value"))
+    every = t.groupBy(key).agg(F.max(step).alias("top")).where("top >= 1").select(key, F.explode(F.sequence(F.lit(1), "top")).alias(step))
+    return every.join(last, [key, step], "left")
+
+
+def relative_scores(df: DataFrame, key: str, group: str, score: str) -> DataFrame:
+    """``(key, group, score, z)``: distance from the group's mean in its deviations; the score itself in a group of one, a deviation of 0 counts 1."""
+    t = df.select(key, group, score)
+    s = t.groupBy(group).agg(F.avg(score).alias("m"), F.stddev_pop(score).alias("s"), F.count(score).alias("n"))
+    z = F.when(F.col("n") > 1, (F.col(score) - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).otherwise(F.col(score))
+    return t.where(F.col(score).isNotNull() & F.col(group).isNotNull()).distinct().join(s, group).select(key, group, score, F.round(z, 5).alias("z"))
+
+
+def by_each(df: DataFrame, keys: list[str], passes: float = 0.5) -> DataFrame:
+    """``(keys, mean_reward, pass_rate, n)`` by each key alone, the others null, in one pass."""
+    cols = [F.col(k) for k in keys]
+    return df.groupingSets([[c] for c in cols], *cols).agg(F.round(F.avg("reward"), 4).alias("mean_reward"), share_of(F.col("reward") >= passes, 4).alias("pass_rate"), F.count(F.lit(1)).alias("n"))

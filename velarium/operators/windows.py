@@ -77,3 +77,78 @@ def cap_per_cell(df: DataFrame, cell: list[str], key: str, most: int, seed: int
     """At most ``most`` rows of each cell, by the order of a seeded hash; a sampling operator."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy(h, key))).where(F.col("_r") <= most).drop("_r")
+
+
+#: Words that tell a failed result. Fixed values.
+FAILED = "error|exception|invalid"
+
+
+def self_correction(steps: DataFrame) -> DataFrame:
+    """``(trajectory_id, scsr)``: of the tool steps that failed, the share followed by a tool step that didn't; 1 without failures.
+
+    A step stored twice counts once (the first by ``step_id``).
+    """
+    s = steps.where("is_tool_step").groupBy("trajectory_id", "step_number").agg(F.min_by(F.coalesce("observation", F.lit("")), "step_id").alias("o"))
+    s = s.withColumn("bad", F.lower("o").rlike(FAILED))
+    s = s.withColumn("next", F.lead("bad").over(Window.partitionBy("trajectory_id").orderBy("step_number")))
+    n = F.count_if("bad")
+    return s.groupBy("trajectory_id").agg(F.round(F.when(n == 0, 1.0).otherwise(F.count_if(F.col("bad") & ~F.col("next")) / n), 6).alias("scsr"))
+
+
+def call_redundancy(calls: DataFrame) -> DataFrame:
+    """``(trajectory_id, arr, ter)``: share of calls that repeat an earlier one, and of results that differ (null without results)."""
+    call = F.struct(F.coalesce("tool_name", F.lit("\u0000")), F.coalesce("query", F.lit("\u0000")))
+    arr, ter = 1 - F.count_distinct(call) / F.count(F.lit(1)), F.count_distinct(F.trim("result")) / F.nullif(F.count("result"), F.lit(0))
+    return calls.groupBy("trajectory_id").agg(F.round(arr, 6).alias("arr"), F.round(ter, 6).alias("ter"))
+
+
+def reasoning_density(steps: DataFrame) -> DataFrame:
+    """``(trajectory_id, rad)``: letters of thoughts to letters of arguments, which count as an empty list at least."""
+    total = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0))
+    return steps.groupBy("trajectory_id").agg(F.round(total("thought") / F.greatest(F.lit(2), total("action_args_json")), 6).alias("rad"))
+
+
+def plan_adherence(calls: DataFrame, plan: tuple[str, ...]) -> DataFrame:
+    """``(trajectory_id, pas)``: share of calls whose tool's name holds a step of the plan, in any case."""
+    n = F.lower(F.coalesce("tool_name", F.lit("")))
+    hit = F.lit(False)
+    for p in plan:
+        hit = hit | n.contains(p.lower())
+    return calls.groupBy("trajectory_id").agg(F.round(F.count_if(hit) / F.count(F.lit(1)), 6).alias("pas"))
+
+
+def step_efficiency(calls: DataFrame, golden: DataFrame) -> DataFrame:
+    """``(trajectory_id, ase)``: golden number of calls ``n_tool_calls`` to calls made."""
+    t = golden.groupBy("trajectory_id").agg(F.max("n_tool_calls").alias("n_tool_calls"))
+    n = calls.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(t, "trajectory_id").select("trajectory_id", F.round(F.col("n_tool_calls") / F.col("n"), 6).alias("ase"))
+
+
+def unigram_recall(prediction: Column, gold: Column) -> Column:
+    """Share of gold's different words in the prediction; 0 without words in gold."""
+    from velarium.functions.text import words
+
+    p, g = F.array_distinct(words(F.coalesce(prediction, F.lit("")))), F.array_distinct(words(gold))
+    return F.round(F.when(F.size(g) == 0, 0.0).otherwise(F.size(F.array_intersect(p, g)) / F.size(g)), 6)
+
+
+def pool_sizes(df: DataFrame, group: str, order: list[str], steps: tuple[int, ...], warm: int = 10, full: int = 70, least: float = 0.3) -> DataFrame:
+    """``(step, pool)``: rows open at each training step, the easiest of each group first: ``least`` of it till ``warm``, all from ``full``, linear between; at least one."""
+    w = Window.partitionBy(group)
+    r = df.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(w))
+    share = F.when(F.col("step") < warm, least).when(F.col("step") >= full, 1.0).otherwise(least + (1 - least) * (F.col("step") - warm) / float(full - warm))
+    return r.select("rn", "n", F.explode(F.array(*[F.lit(x) for x in steps])).alias("step")).groupBy("step").agg(F.count_if(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))).alias("pool"))
+
+
+def chain_order(steps: DataFrame, chain: tuple[str, ...]) -> DataFrame:
+    """``(trajectory_id, chain)``: how far the tools of a chain come in its order, as a share. The names of a trajectory meet in one row."""
+    s = steps.where(F.col("action_name").isNotNull()).groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "step_id", "action_name"))).alias("a"))
+    want, n = F.array(*[F.lit(e) for e in chain]), len(chain)
+    i = F.aggregate("a.action_name", F.lit(0), lambda i, x: F.when((i < n) & (x == F.element_at(want, F.least(i + 1, F.lit(n)))), i + 1).otherwise(i))
+    return s.select("trajectory_id", (i / float(n)).alias("chain"))
+
+
+def recency(df: DataFrame, key: str, time: str, unit: float = 86400.0) -> DataFrame:
+    """``(key, recency)``: halved for each ``unit`` of seconds between a key's newest time and the newest of all."""
+    t = df.where(F.col(time).isNotNull()).groupBy(key).agg(F.max(time).alias("t"))
+    return t.crossJoin(F.broadcast(t.agg(F.max("t").alias("now")))).select(key, F.round(F.pow(F.lit(0.5), F.col("now") / unit - F.col("t") / unit), 6).alias("recency"))

@@ -18,9 +18,7 @@ def agg1_active_senders(spark: SparkSession, d: str) -> DataFrame:
 SELECT (SELECT count(*) FROM runs) AS n_runs, (SELECT count(*) FROM trajectories) AS n_trajectories, (SELECT count(*) FROM steps) AS n_steps, (SELECT count(*) FROM tool_calls) AS n_tool_calls,
  (SELECT coalesce(round(avg(reward), 4), 0) FROM trajectories) AS avg_reward, (SELECT coalesce(round(avg(n_tool_calls), 2), 0) FROM trajectories) AS avg_calls""")
 def agg2_store_stats(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda t: read(spark, d, t).agg(F.count(F.lit(1)).alias(f"n_{t}"))
-    t = read(spark, d, "trajectories").agg(F.count(F.lit(1)).alias("n_trajectories"), F.coalesce(F.round(F.avg("reward"), 4), F.lit(0.0)).alias("avg_reward"), F.coalesce(F.round(F.avg("n_tool_calls"), 2), F.lit(0.0)).alias("avg_calls"))
-    return t.crossJoin(n("runs")).crossJoin(n("steps")).crossJoin(n("tool_calls"))
+    return A.store_stats(*[read(spark, d, t) for t in ("runs", "trajectories", "steps", "tool_calls")])
 
 
 @query("SELECT tool_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM tool_calls GROUP BY 1")
@@ -30,19 +28,17 @@ def agg3_tool_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_tool_calls, count(*) AS n, repeat('#', CAST(floor(40.0 * count(*) / max(count(*)) OVER ()) AS INT)) AS bar FROM trajectories GROUP BY 1")
 def agg4_histogram(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "trajectories").groupBy("n_tool_calls").agg(F.count(F.lit(1)).alias("n"))
-    top = g.agg(F.max("n").alias("top"))
-    return g.crossJoin(F.broadcast(top)).select("n_tool_calls", "n", F.expr("repeat('#', cast(floor(40.0 * n / top) as int))").alias("bar"))
+    return A.histogram(read(spark, d, "trajectories"), "n_tool_calls")
 
 
 @query("SELECT condition, model, count(*) AS n, round(avg(coalesce(reward, 0)), 6) AS mean_reward FROM trajectories GROUP BY 1, 2")
 def agg5_cell_counts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "trajectories").groupBy("condition", "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("reward", F.lit(0.0))), 6).alias("mean_reward"))
+    return A.cells(read(spark, d, "trajectories"), ["condition", "model"], "reward")
 
 
 @query("SELECT l_returnflag, count(*) AS calls, CAST(sum(l_linenumber) AS BIGINT) AS units, round(sum(l_extendedprice), 2) AS cost, round(avg(l_quantity), 2) AS mean_latency FROM lineitem GROUP BY 1")
 def agg6_cost_summary(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("calls"), F.sum("l_linenumber").cast("bigint").alias("units"), F.round(F.sum("l_extendedprice"), 2).alias("cost"), F.round(F.avg("l_quantity"), 2).alias("mean_latency"))
+    return A.cost_summary(read(spark, d, "lineitem"), ["l_returnflag"], "l_linenumber", "l_extendedprice", "l_quantity")
 
 
 @query("""
@@ -54,8 +50,7 @@ def agg7_agg8_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT round(avg(CASE WHEN lower(trim(final_answer)) = lower(trim(gold_answer)) THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM trajectories WHERE trim(final_answer) <> '' AND trim(gold_answer) <> ''""")
 def agg9_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    both = read(spark, d, "trajectories").where((F.trim("final_answer") != "") & (F.trim("gold_answer") != ""))
-    return both.agg(F.round(F.avg((F.lower(F.trim("final_answer")) == F.lower(F.trim("gold_answer"))).cast("double")), 4).alias("accuracy"))
+    return A.accuracy(read(spark, d, "trajectories"), "final_answer", "gold_answer")
 
 
 @query("""
@@ -121,16 +116,13 @@ def agg18_mean_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT (SELECT count(DISTINCT doc_id) FROM chunks WHERE doc_id IN (SELECT doc_id FROM corpus_docs)) AS n_covered, (SELECT count(DISTINCT doc_id) FROM corpus_docs) AS n_docs")
 def agg19_coverage(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "corpus_docs").select("doc_id").where("doc_id is not null").distinct()
-    covered = read(spark, d, "chunks").select("doc_id").join(docs, "doc_id", "left_semi").agg(F.count_distinct("doc_id").alias("n_covered"))
-    return covered.crossJoin(docs.agg(F.count(F.lit(1)).alias("n_docs")))
+    return A.coverage(read(spark, d, "corpus_docs"), read(spark, d, "chunks"))
 
 
 @query("""
 SELECT run_id, round(avg(CASE WHEN n_tool_calls >= 2 THEN 1.0 ELSE 0.0 END), 6) AS multi_hop, round(avg(CASE WHEN reward >= 0.7 THEN 1.0 ELSE 0.0 END), 6) AS pass_strict, round(avg(CASE WHEN reward >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS pass_relaxed FROM trajectories GROUP BY 1""")
 def agg20_pass_rates(spark: SparkSession, d: str) -> DataFrame:
-    r = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
-    return read(spark, d, "trajectories").groupBy("run_id").agg(r(F.col("n_tool_calls") >= 2).alias("multi_hop"), r(F.col("reward") >= 0.7).alias("pass_strict"), r(F.col("reward") >= 0.5).alias("pass_relaxed"))
+    return A.hop_and_pass_rates(read(spark, d, "trajectories"), ["run_id"])
 
 
 @query("""
@@ -153,8 +145,7 @@ def agg22_doc_of_chunk(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT trajectory_id, count(*) AS n_queries, round(count(DISTINCT trim(lower(query))) / nullif(count(query), 0), 6) AS unique_ratio FROM tool_calls GROUP BY 1""")
 def agg23_trace_row(spark: SparkSession, d: str) -> DataFrame:
-    q = F.trim(F.lower(F.col("query")))
-    return read(spark, d, "tool_calls").groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.count_distinct(q) / F.nullif(F.count("query"), F.lit(0)), 6).alias("unique_ratio"))
+    return A.query_variety(read(spark, d, "tool_calls"))
 
 
 @query("""
@@ -169,11 +160,7 @@ WITH l AS (SELECT run_id, training_step, arg_max(reward, (timestamp, trajectory_
 t AS (SELECT run_id, max(training_step) AS top FROM trajectories WHERE run_id IS NOT NULL GROUP BY 1 HAVING max(training_step) >= 1)
 SELECT run_id, CAST(s AS INT) AS training_step, last_value FROM (SELECT run_id, unnest(range(1, top + 1)) AS s FROM t) LEFT JOIN l ON l.run_id = t_run AND l.training_step = s""".replace("SELECT run_id, CAST(s AS INT)", "SELECT t_run AS run_id, CAST(s AS INT)").replace("(SELECT run_id, unnest(range(1, top + 1)) AS s FROM t)", "(SELECT run_id AS t_run, unnest(range(1, top + 1)) AS s FROM t)"))
 def agg25_last_per_step(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories").where("run_id is not null and training_step is not null")
-    known = t.where("timestamp is not null and reward is not null").withColumn("o", F.struct("timestamp", "trajectory_id"))
-    last = known.groupBy("run_id", "training_step").agg(F.max_by("reward", "o").alias("last_value"))
-    every = t.groupBy("run_id").agg(F.max("training_step").alias("top")).where("top >= 1").select("run_id", F.explode(F.sequence(F.lit(1), "top")).alias("training_step"))
-    return every.join(last, ["run_id", "training_step"], "left")
+    return A.last_per_step(read(spark, d, "trajectories"), "run_id", "training_step", "reward", ["timestamp", "trajectory_id"])
 
 
 @query("SELECT model, round(coalesce(CASE WHEN isnan(corr(reward, n_tool_calls)) THEN 0 ELSE corr(reward, n_tool_calls) END, 0), 5) AS r FROM trajectories WHERE reward IS NOT NULL AND n_tool_calls IS NOT NULL GROUP BY 1")
@@ -209,10 +196,7 @@ def agg30_pass_at_k(spark: SparkSession, d: str) -> DataFrame:
 WITH s AS (SELECT condition, avg(reward) AS m, stddev_pop(reward) AS s, count(reward) AS n FROM trajectories GROUP BY 1), t AS (SELECT DISTINCT trajectory_id, condition, reward FROM trajectories WHERE reward IS NOT NULL AND condition IS NOT NULL)
 SELECT trajectory_id, t.condition, reward, round(CASE WHEN n > 1 THEN (reward - m) / CASE WHEN s = 0 THEN 1 ELSE s END ELSE reward END, 5) AS z FROM t JOIN s USING (condition)""")
 def agg36_relative_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories").select("trajectory_id", "condition", "reward")
-    s = t.groupBy("condition").agg(F.avg("reward").alias("m"), F.stddev_pop("reward").alias("s"), F.count("reward").alias("n"))
-    z = F.when(F.col("n") > 1, (F.col("reward") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).otherwise(F.col("reward"))
-    return t.where("reward is not null and condition is not null").distinct().join(s, "condition").select("trajectory_id", "condition", "reward", F.round(z, 5).alias("z"))
+    return A.relative_scores(read(spark, d, "trajectories"), "trajectory_id", "condition", "reward")
 
 
 @query("""
@@ -226,5 +210,4 @@ def agg38_composed_reward(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT condition, model, round(avg(reward), 4) AS mean_reward, round(avg(CASE WHEN reward >= 0.5 THEN 1.0 ELSE 0.0 END), 4) AS pass_rate, count(*) AS n FROM trajectories GROUP BY GROUPING SETS ((condition), (model))")
 def agg40_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories")
-    return t.groupingSets([[t.condition], [t.model]], t.condition, t.model).agg(F.round(F.avg("reward"), 4).alias("mean_reward"), F.round(F.avg(F.coalesce(F.col("reward") >= 0.5, F.lit(False)).cast("double")), 4).alias("pass_rate"), F.count(F.lit(1)).alias("n"))
+    return A.by_each(read(spark, d, "trajectories"), ["condition", "model"])

@@ -18,7 +18,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token F1 of answers against gold answers, reward and calls, by run."""
     from velarium.functions import text
 
-    t = registry.read(spark, sf_dir, "trajectories").dropDuplicates(["trajectory_id"])
+    t = registry.read(spark, sf_dir, "trajectories").where("trajectory_id is not null").groupBy("trajectory_id").agg(F.min(F.struct("run_id", "final_answer", "gold_answer", "reward", "n_tool_calls")).alias("r")).select("r.*")
     f1 = text.token_f1(text.answer(F.coalesce("final_answer", F.lit(""))), F.coalesce("gold_answer", F.lit("")))
     return t.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(f1), 6).alias("mean_f1"), F.round(F.avg("reward"), 6).alias("mean_reward"), F.round(F.avg("n_tool_calls"), 6).alias("mean_calls"))
 

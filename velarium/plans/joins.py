@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velarium.functions import text
 from velarium.operators import joins as J
+from velarium.operators import lookups as K
 from velarium.plans.registry import query, read
 
 
 @query("SELECT trajectory_id, reward, condition FROM (SELECT DISTINCT trajectory_id, reward, condition FROM trajectories) WHERE reward BETWEEN 0.4 AND 0.9 AND condition = 'plain' ORDER BY reward DESC, trajectory_id LIMIT 50")
 def flt1_reward_range(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories").select("trajectory_id", "reward", "condition").distinct()
-    return t.where(F.col("reward").between(0.4, 0.9) & (F.col("condition") == "plain")).orderBy(F.desc("reward"), "trajectory_id").limit(50)  # the store's listing
+    return K.reward_between(read(spark, d, "trajectories"), 0.4, 0.9, "plain", 50)
 
 
 @query("SELECT trajectory_id, step_number, action_name FROM steps WHERE trajectory_id IN (SELECT trajectory_id FROM trajectories WHERE run_id = (SELECT min(run_id) FROM runs))")
 def flt2_lookup(spark: SparkSession, d: str) -> DataFrame:
     run = read(spark, d, "runs").agg(F.min("run_id").alias("run_id"))
-    t = read(spark, d, "trajectories").join(F.broadcast(run), "run_id").select("trajectory_id")
-    return read(spark, d, "steps").select("trajectory_id", "step_number", "action_name").join(t, "trajectory_id", "left_semi")
+    t = read(spark, d, "trajectories").join(F.broadcast(run), "run_id")
+    return K.children_of(read(spark, d, "steps").select("trajectory_id", "step_number", "action_name"), t, "trajectory_id")
 
 
 @query("SELECT trajectory_id, round(1 - coalesce(reward, 0), 6) AS difficulty FROM (SELECT DISTINCT trajectory_id, reward FROM trajectories) WHERE 1 - coalesce(reward, 0) BETWEEN 0.25 AND 0.75")
 def flt9_difficulty_range(spark: SparkSession, d: str) -> DataFrame:
-    v = 1 - F.coalesce("reward", F.lit(0.0))
-    return read(spark, d, "trajectories").select("trajectory_id", "reward").distinct().where(v.between(0.25, 0.75)).select("trajectory_id", F.round(v, 6).alias("difficulty"))
+    return K.difficulty_between(read(spark, d, "trajectories"), 0.25, 0.75)
 
 
 @query("""
 WITH p AS (SELECT question, avg(CASE WHEN reward >= 0.5 THEN 1.0 ELSE 0.0 END) AS pass_rate FROM trajectories WHERE question IS NOT NULL GROUP BY 1)
 SELECT question, round(pass_rate, 6) AS pass_rate, pass_rate < 0.5 AS requires_search FROM p WHERE pass_rate < 0.9""")
 def flt10_flt11_pass_gate(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "trajectories").where("question is not null").groupBy("question").agg(F.avg(F.coalesce(F.col("reward") >= 0.5, F.lit(False)).cast("double")).alias("p"))
-    return p.where("p < 0.9").select("question", F.round("p", 6).alias("pass_rate"), (F.col("p") < 0.5).alias("requires_search"))
+    return K.pass_gate(read(spark, d, "trajectories"))
 
 
 @query("""
@@ -42,17 +39,12 @@ WITH e AS (SELECT DISTINCT doc_id, chunk_id, lower(trim(e, ' ')) AS entity FROM
 n AS (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1), f AS (SELECT doc_id, entity, count(*) AS c FROM e GROUP BY 1, 2)
 SELECT doc_id, entity, c FROM f JOIN n USING (doc_id) WHERE NOT (c / n > 0.3 AND c >= 5) AND entity <> ''""")
 def flt13_common_entities(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "chunks").where("doc_id is not null and chunk_id is not null")
-    e = c.select("doc_id", "chunk_id", F.explode("entities").alias("e")).select("doc_id", "chunk_id", F.lower(F.trim("e")).alias("entity")).distinct()
-    n = c.groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("n"))
-    f = e.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("c"))
-    return f.join(n, "doc_id").where(~((F.col("c") / F.col("n") > 0.3) & (F.col("c") >= 5)) & (F.col("entity") != "")).select("doc_id", "entity", "c")
+    return K.uncommon_entities(read(spark, d, "chunks"))
 
 
 @query("""SELECT chunk_id, EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]{6,}')) AS w) WHERE contains(lower(title), w)) AS grounded FROM chunks WHERE text IS NOT NULL AND title IS NOT NULL""")
 def flt16_grounding(spark: SparkSession, d: str) -> DataFrame:
-    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{6,})"), F.lit(1))
-    return read(spark, d, "chunks").where("text is not null and title is not null").select("chunk_id", F.exists(w, lambda x: F.lower("title").contains(x)).alias("grounded"))
+    return read(spark, d, "chunks").where("text is not null and title is not null").select("chunk_id", K.grounded_title(F.col("text"), F.col("title")).alias("grounded"))
 
 
 @query("SELECT t.trajectory_id, t.run_id, r.run_type FROM (SELECT DISTINCT trajectory_id, run_id FROM trajectories) t JOIN (SELECT DISTINCT run_id, run_type FROM runs) r USING (run_id)")
@@ -63,8 +55,7 @@ def jon1_inner_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT id, message_id FROM emails e WHERE EXISTS (SELECT 1 FROM recipients r WHERE r.email_id = e.message_id AND lower(r.recipient_type) = 'cc' AND r.recipient_address IS NOT NULL)")
 def jon2_semi_search(spark: SparkSession, d: str) -> DataFrame:
-    r = read(spark, d, "recipients").where((F.lower("recipient_type") == "cc") & F.col("recipient_address").isNotNull()).select(F.col("email_id").alias("message_id"))
-    return read(spark, d, "emails").select("id", "message_id").join(r, "message_id", "left_semi").distinct()
+    return K.mails_with_recipient(read(spark, d, "emails"), read(spark, d, "recipients"), "cc")
 
 
 @query("""
@@ -80,8 +71,7 @@ def jon3_assembly(spark: SparkSession, d: str) -> DataFrame:
 WITH g AS (SELECT doc_id, unnest([0, 2, 99]) AS i FROM (SELECT DISTINCT doc_id FROM corpus_docs WHERE doc_id IS NOT NULL))
 SELECT DISTINCT g.doc_id || '::' || i AS chunk_id, c.title FROM g JOIN chunks c ON c.chunk_id = g.doc_id || '::' || i""")
 def jon4_gold_lookup(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "corpus_docs").where("doc_id is not null").select("doc_id").distinct().select(F.explode(F.transform(F.array(F.lit(0), F.lit(2), F.lit(99)), lambda i: F.concat_ws("::", "doc_id", i.cast("string")))).alias("chunk_id"))
-    return g.join(read(spark, d, "chunks").select("chunk_id", "title"), "chunk_id").distinct()
+    return K.chunks_at(read(spark, d, "corpus_docs"), read(spark, d, "chunks"), [0, 2, 99])
 
 
 @query("""
@@ -120,75 +110,56 @@ def jon9_window_match(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT DISTINCT lower(trim(question, ' ')) AS q FROM trajectories WHERE question IS NOT NULL AND lower(trim(question, ' ')) NOT IN (SELECT lower(trim(question, ' ')) FROM trajectories WHERE reward >= 0.5 AND question IS NOT NULL)""")
 def jon11_anti_dedup(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories").where("question is not null").select(F.lower(F.trim("question")).alias("q"), "reward")
-    return t.select("q").distinct().join(t.where("reward >= 0.5").select("q"), "q", "left_anti")
+    return K.unanswered_questions(read(spark, d, "trajectories"))
 
 
 @query("""
 WITH c AS (SELECT DISTINCT chunk_id, doc_id, text FROM chunks), x AS (SELECT DISTINCT doc_id, text FROM corpus_docs WHERE doc_id IS NOT NULL)
 SELECT count(*) AS n, count(*) FILTER (x.doc_id IS NULL) AS missing, count(*) FILTER (x.text IS NOT NULL AND c.text IS NOT NULL AND NOT contains(lower(regexp_replace(x.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(c.text, '\\s+', ' ', 'g'), ' ')))) AS differing FROM c LEFT JOIN x USING (doc_id)""".replace("\\\\", "\\"))
 def jon12_alignment(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "chunks").select("chunk_id", "doc_id", F.col("text").alias("ct")).distinct()
-    x = read(spark, d, "corpus_docs").where("doc_id is not null").select("doc_id", "text", F.lit(1).alias("there")).distinct()
-    w = lambda e: F.lower(F.regexp_replace(e, r"\s+", " "))
-    bad = F.col("text").isNotNull() & F.col("ct").isNotNull() & ~w("text").contains(F.trim(w("ct")))
-    return c.join(x, "doc_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_if(bad).alias("differing"))
+    return K.alignment(read(spark, d, "chunks"), read(spark, d, "corpus_docs"))
 
 
 @query("""
 WITH n AS (SELECT doc_id, max(chunk_index) + 1 AS n FROM chunks WHERE doc_id IS NOT NULL GROUP BY 1)
 SELECT doc_id, doc_id || '::' || i AS chunk_id FROM (SELECT doc_id, unnest(range(0, n)) AS i FROM n)""")
 def jon13_gold_chunks(spark: SparkSession, d: str) -> DataFrame:
-    n = read(spark, d, "chunks").where("doc_id is not null").groupBy("doc_id").agg((F.max("chunk_index") + 1).alias("n")).where("n > 0")
-    return n.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("doc_id", F.concat_ws("::", "doc_id", F.col("i").cast("string")).alias("chunk_id"))
+    return K.chunk_series(read(spark, d, "chunks"))
 
 
 @query("""
 WITH s AS (SELECT trajectory_id, arg_min(thought, (step_number, step_id)) AS first_thought, count(*) AS n FROM steps WHERE thought IS NOT NULL GROUP BY 1), c AS (SELECT trajectory_id, arg_max(thought, (step_number, step_id)) AS last_thought FROM steps WHERE is_terminal AND thought IS NOT NULL GROUP BY 1)
 SELECT trajectory_id, first_thought, last_thought FROM s JOIN c USING (trajectory_id)""")
 def jon14_stage_completion(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "steps").where("thought is not null")
-    o = F.struct("step_number", "step_id")
-    return s.groupBy("trajectory_id").agg(F.min_by("thought", o).alias("first_thought"), F.max_by(F.when(F.col("is_terminal"), F.col("thought")), F.when(F.col("is_terminal"), o)).alias("last_thought")).where("last_thought is not null")
+    return K.first_and_final_thought(read(spark, d, "steps"))
 
 
 @query("SELECT t.trajectory_id, coalesce(round(avg(s.reward), 6), -1) AS judge FROM (SELECT DISTINCT trajectory_id FROM trajectories) t LEFT JOIN steps s USING (trajectory_id) GROUP BY 1")
 def jon15_judge_score(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "steps").groupBy("trajectory_id").agg(F.avg("reward").alias("r"))
-    return read(spark, d, "trajectories").select("trajectory_id").distinct().join(s, "trajectory_id", "left").select("trajectory_id", F.coalesce(F.round("r", 6), F.lit(-1.0)).alias("judge"))
+    return K.mean_child_score(read(spark, d, "trajectories"), read(spark, d, "steps"), "trajectory_id", "reward")
 
 
 @query("""
 WITH r AS (SELECT run_id, min(created_at) AS c FROM runs GROUP BY 1), m AS (SELECT run_id, avg(reward) AS a, avg(n_tool_calls) AS b FROM trajectories GROUP BY 1), x AS (SELECT run_id, a, b FROM r JOIN m USING (run_id))
 SELECT count(*) AS pairs, count(*) FILTER ((p.a > q.a) = (p.b > q.b)) AS agree FROM x p JOIN x q ON p.run_id < q.run_id WHERE p.a <> q.a AND p.b <> q.b""")
 def jon16_pairwise_agreement(spark: SparkSession, d: str) -> DataFrame:
-    m = read(spark, d, "trajectories").groupBy("run_id").agg(F.avg("reward").alias("a"), F.avg("n_tool_calls").alias("b"))
-    x = m.join(read(spark, d, "runs").select("run_id").distinct(), "run_id")
-    y = x.select(F.col("run_id").alias("run_id2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    p = x.join(y, F.col("run_id") < F.col("run_id2")).where("a <> a2 and b <> b2")  # a row for each run, of which the model has few
-    return p.agg(F.count(F.lit(1)).alias("pairs"), F.count_if((F.col("a") > F.col("a2")) == (F.col("b") > F.col("b2"))).alias("agree"))
+    return K.pairwise_agreement(read(spark, d, "trajectories"), read(spark, d, "runs"))
 
 
 @query("SELECT run_id, created_at FROM (SELECT DISTINCT run_id, created_at FROM runs) ORDER BY created_at DESC, run_id LIMIT 10")
 def top6_latest_runs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "runs").select("run_id", "created_at").distinct().orderBy(F.desc("created_at"), "run_id").limit(10)  # a top-k report
+    return K.latest(read(spark, d, "runs"), "run_id", "created_at", 10)
 
 
 @query("""
 SELECT DISTINCT id, date, subject FROM emails e WHERE contains(lower(coalesce(body, '')), 'warehouse') AND contains(lower(coalesce(subject, '')), 'notice') AND date >= '2000-06-01' AND date < '2002-01-01' ORDER BY date DESC, id LIMIT 10""")
 def top7_email_search(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "emails").where((F.col("date") >= "2000-06-01") & (F.col("date") < "2002-01-01") & F.lower("subject").contains("notice") & F.lower("body").contains("warehouse"))
-    return e.select("id", "date", "subject").distinct().orderBy(F.desc("date"), "id").limit(10)  # the tool's cap
+    return K.search_mails(read(spark, d, "emails"), {"subject": "notice", "body": "warehouse"}, "2000-06-01", "2002-01-01")
 
 
 @query("SELECT trajectory_id, CASE WHEN reward >= 0.7 THEN 'easy' WHEN reward >= 0.4 THEN 'medium' WHEN reward IS NOT NULL THEN 'hard' END AS difficulty, row_number() OVER (ORDER BY CASE WHEN reward >= 0.7 THEN 0 WHEN reward >= 0.4 THEN 1 WHEN reward IS NOT NULL THEN 2 ELSE 3 END, trajectory_id) - 1 AS rank0 FROM (SELECT DISTINCT trajectory_id, reward FROM trajectories)")
 def top8_easy_to_hard(spark: SparkSession, d: str) -> DataFrame:
-    from velarium.operators.windows import order_position
-
-    level = F.when(F.col("reward") >= 0.7, 0).when(F.col("reward") >= 0.4, 1).when(F.col("reward").isNotNull(), 2).otherwise(3)
-    t = read(spark, d, "trajectories").select("trajectory_id", "reward").distinct().withColumn("level", level)
-    name = F.when(F.col("level") == 0, "easy").when(F.col("level") == 1, "medium").when(F.col("level") == 2, "hard")
-    return order_position(t, F.col("level").cast("double"), "trajectory_id").select("trajectory_id", name.alias("difficulty"), "rank0")
+    return K.easy_to_hard(read(spark, d, "trajectories"))
 
 
 @query("""
@@ -197,14 +168,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY trajectory_id) AS i F
 SELECT trajectory_id, k FROM r, n WHERE i <= u * CASE WHEN k = 'easy' THEN 1 ELSE 2 END""")
 def top9_balance(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "trajectories").where("reward is not null").select("trajectory_id", F.when(F.col("reward") >= 0.5, "easy").otherwise("hard").alias("k")).distinct()
-    n = t.agg(F.least(F.count_if(F.col("k") == "easy"), F.floor(F.count_if(F.col("k") == "hard") / 2)).alias("u"))
-    r = t.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("trajectory_id")))
-    return r.crossJoin(F.broadcast(n)).where(F.col("i") <= F.col("u") * F.when(F.col("k") == "easy", 1).otherwise(2)).select("trajectory_id", "k")
+    return K.balanced(t, "trajectory_id", "k", {"easy": 1, "hard": 2})
 
 
 @query("SELECT doc_id, title FROM (SELECT DISTINCT doc_id, title FROM corpus_docs WHERE doc_id IS NOT NULL) ORDER BY doc_id LIMIT 100")
 def top10_max_samples(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "corpus_docs").where("doc_id is not null").select("doc_id", "title").distinct().orderBy("doc_id").limit(100)  # the operator's max_samples
+    return K.first_rows(read(spark, d, "corpus_docs").where("doc_id is not null").select("doc_id", "title"), "doc_id", 100)
 
 
 @query("""

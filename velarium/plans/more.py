@@ -221,10 +221,11 @@ def rwd19_necessity(spark: SparkSession, d: str) -> DataFrame:
     return t.select("trajectory_id", F.round(R.necessity(ok, n, 10), 6).alias("necessity"), F.round(R.necessity(ok, n, 10, n > 2), 6).alias("regime")).distinct()
 
 
-@query(None)
+@query("SELECT step_id, trim(action_name, ' ') AS name, coalesce(action_args_json, '{}') AS args FROM steps WHERE is_tool_step AND trim(action_name, ' ') <> ''")
 def prj19_unwrapped_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls put into the usual wrapping come out again, arguments as they were written."""
     s = read(spark, d, "steps").where("is_tool_step and action_name is not null")
-    wrapped = F.to_json(F.struct(F.struct(F.col("action_name").alias("name"), F.col("action_args_json").alias("arguments")).alias("function")))
+    wrapped = F.to_json(F.struct(F.struct(F.col("action_name").alias("name"), F.coalesce("action_args_json", F.lit("{}")).alias("arguments")).alias("function")))
     return s.select("step_id", F.explode(parsers.tool_calls(wrapped)).alias("c")).select("step_id", "c.*")
 
 

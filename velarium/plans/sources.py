@@ -20,10 +20,12 @@ def src7_slice(spark: SparkSession, d: str) -> DataFrame:
     return loaders.sliced(read(spark, d, "corpus_docs").where("doc_id is not null").select("doc_id").distinct(), "[10:40]", "doc_id").select("doc_id")
 
 
-@query("SELECT lower(recipient_type) AS recipient_type, count(DISTINCT (email_id, recipient_address)) AS n FROM recipients WHERE recipient_address IS NOT NULL GROUP BY 1")
+@query("SELECT lower(recipient_type) AS recipient_type, count(DISTINCT (email_id, recipient_address)) AS n FROM recipients WHERE trim(recipient_address, ' ') <> '' AND lower(recipient_type) IN ('to', 'cc', 'bcc') AND email_id IS NOT NULL GROUP BY 1")
 def src21_mail_recipients(spark: SparkSession, d: str) -> DataFrame:
-    r = read(spark, d, "recipients").where("recipient_address is not null")
-    return r.groupBy(F.lower("recipient_type").alias("recipient_type")).agg(F.count_distinct(F.struct(F.coalesce("email_id", F.lit("")), "recipient_address")).alias("n"))
+    """Mails with their addresses as a mail program has them, taken apart into the two tables again."""
+    kinds = [F.collect_list(F.when(F.lower("recipient_type") == k, F.col("recipient_address"))).alias(k) for k in ("to", "cc", "bcc")]
+    raw = read(spark, d, "recipients").where("email_id is not null").groupBy(F.col("email_id").alias("message_id")).agg(*kinds)
+    return loaders.mail_tables(raw)[1].groupBy("recipient_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(None)
@@ -47,10 +49,10 @@ def flt7_interpolation(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "runs").select("run_id", t.alias("line")).distinct()
 
 
-@query("""SELECT trajectory_id, TRY_CAST(metadata_json AS JSON) IS NOT NULL AS parses FROM (SELECT DISTINCT trajectory_id, metadata_json FROM trajectories WHERE metadata_json IS NOT NULL AND trim(metadata_json, ' ') <> '')""")
+@query(r"""SELECT trajectory_id, coalesce(TRY_CAST(metadata_json AS JSON), TRY_CAST(nullif(regexp_extract(metadata_json, '(?s)(\{.*\})', 1), '') AS JSON), TRY_CAST(nullif(regexp_extract(metadata_json, '(?s)(\[.*\])', 1), '') AS JSON)) IS NOT NULL AS parses FROM (SELECT DISTINCT trajectory_id, metadata_json FROM trajectories WHERE metadata_json IS NOT NULL AND trim(metadata_json, ' ') <> '')""")
 def jsn1_tolerant_json(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "trajectories").where("metadata_json is not null and trim(metadata_json) <> ''").select("trajectory_id", "metadata_json").distinct()
-    return t.select("trajectory_id", F.try_parse_json("metadata_json").isNotNull().alias("parses"))
+    return t.select("trajectory_id", jsonx.tolerant(F.col("metadata_json")).isNotNull().alias("parses"))
 
 
 @query("""SELECT DISTINCT trajectory_id, '{' || array_to_string(list_transform(list_sort(map_keys(reward_components)), lambda k: '"' || k || '":' || coalesce(CAST(CAST(round(reward_components[k] * 1000) AS BIGINT) AS VARCHAR), 'null')), ',') || '}' AS j FROM trajectories WHERE reward_components IS NOT NULL""")

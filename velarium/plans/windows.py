@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velarium.operators import windows as W
@@ -38,50 +38,38 @@ WITH e AS (SELECT trajectory_id, step_number, regexp_matches(lower(coalesce(obse
 n AS (SELECT *, lead(bad) OVER (PARTITION BY trajectory_id ORDER BY step_number) AS next FROM e)
 SELECT trajectory_id, round(CASE WHEN count(*) FILTER (bad) = 0 THEN 1.0 ELSE count(*) FILTER (bad AND next = false) / count(*) FILTER (bad) END, 6) AS scsr FROM n GROUP BY 1""")
 def win4_self_correction(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "steps").where("is_tool_step").groupBy("trajectory_id", "step_number").agg(F.min_by(F.coalesce("observation", F.lit("")), "step_id").alias("o"))
-    s = s.withColumn("bad", F.lower("o").rlike("error|exception|invalid"))
-    s = s.withColumn("next", F.lead("bad").over(Window.partitionBy("trajectory_id").orderBy("step_number")))
-    n = F.count_if("bad")
-    return s.groupBy("trajectory_id").agg(F.round(F.when(n == 0, 1.0).otherwise(F.count_if(F.col("bad") & ~F.col("next")) / n), 6).alias("scsr"))
+    return W.self_correction(read(spark, d, "steps"))
 
 
 @query("""
 SELECT trajectory_id, round(1 - count(DISTINCT (tool_name, query)) / count(*), 6) AS arr, round(count(DISTINCT trim(result, ' ')) / nullif(count(result), 0), 6) AS ter FROM tool_calls GROUP BY 1""")
 def win5_win6_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    call = F.struct(F.coalesce("tool_name", F.lit("\u0000")), F.coalesce("query", F.lit("\u0000")))
-    return read(spark, d, "tool_calls").groupBy("trajectory_id").agg(F.round(1 - F.count_distinct(call) / F.count(F.lit(1)), 6).alias("arr"), F.round(F.count_distinct(F.trim("result")) / F.nullif(F.count("result"), F.lit(0)), 6).alias("ter"))
+    return W.call_redundancy(read(spark, d, "tool_calls"))
 
 
 @query("""
 SELECT trajectory_id, round(coalesce(sum(length(thought)), 0) / greatest(2, coalesce(sum(length(action_args_json)), 0)), 6) AS rad FROM steps GROUP BY 1""")
 def win7_reasoning_action_density(spark: SparkSession, d: str) -> DataFrame:
-    total = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0))
-    return read(spark, d, "steps").groupBy("trajectory_id").agg(F.round(total("thought") / F.greatest(F.lit(2), total("action_args_json")), 6).alias("rad"))
+    return W.reasoning_density(read(spark, d, "steps"))
 
 
 @query("""
 SELECT trajectory_id, round(count(*) FILTER (contains(lower(coalesce(tool_name, '')), 'search') OR contains(lower(coalesce(tool_name, '')), 'read')) / count(*), 6) AS pas FROM tool_calls GROUP BY 1""")
 def win9_plan_adherence(spark: SparkSession, d: str) -> DataFrame:
-    n = F.lower(F.coalesce("tool_name", F.lit("")))
-    return read(spark, d, "tool_calls").groupBy("trajectory_id").agg(F.round(F.count_if(n.contains("search") | n.contains("read")) / F.count(F.lit(1)), 6).alias("pas"))
+    return W.plan_adherence(read(spark, d, "tool_calls"), ("search", "read"))
 
 
 @query("""
 SELECT t.trajectory_id, round(any_value(t.n_tool_calls) / count(*), 6) AS ase FROM tool_calls c JOIN (SELECT trajectory_id, max(n_tool_calls) AS n_tool_calls FROM trajectories GROUP BY 1) t USING (trajectory_id) GROUP BY 1""")
 def win11_step_efficiency(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories").groupBy("trajectory_id").agg(F.max("n_tool_calls").alias("n_tool_calls"))
-    n = read(spark, d, "tool_calls").groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(t, "trajectory_id").select("trajectory_id", F.round(F.col("n_tool_calls") / F.col("n"), 6).alias("ase"))
+    return W.step_efficiency(read(spark, d, "tool_calls"), read(spark, d, "trajectories"))
 
 
 @query("""
 WITH t AS (SELECT DISTINCT trajectory_id, list_distinct(regexp_extract_all(lower(coalesce(final_answer, '')), '[a-z0-9]+')) AS p, list_distinct(regexp_extract_all(lower(gold_answer), '[a-z0-9]+')) AS g FROM trajectories WHERE gold_answer IS NOT NULL)
-SELECT trajectory_id, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_intersect(p, g)) / len(g) END, 6) AS recall FROM t""")
+SELECT DISTINCT trajectory_id, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_intersect(p, g)) / len(g) END, 6) AS recall FROM t""")
 def win12_unigram_recall(spark: SparkSession, d: str) -> DataFrame:
-    from velarium.functions.text import words
-
-    t = read(spark, d, "trajectories").where("gold_answer is not null").select("trajectory_id", F.array_distinct(words(F.coalesce("final_answer", F.lit("")))).alias("p"), F.array_distinct(words(F.col("gold_answer"))).alias("g")).distinct()
-    return t.select("trajectory_id", F.round(F.when(F.size("g") == 0, 0.0).otherwise(F.size(F.array_intersect("p", "g")) / F.size("g")), 6).alias("recall"))
+    return read(spark, d, "trajectories").where("gold_answer is not null").select("trajectory_id", W.unigram_recall(F.col("final_answer"), F.col("gold_answer")).alias("recall")).distinct()
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 5) AS rolling FROM events")
@@ -110,11 +98,7 @@ WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars,
 s AS (SELECT unnest([0, 50, 100]) AS step)
 SELECT step, count(*) FILTER (rn <= greatest(1, floor(n * CASE WHEN step < 10 THEN 0.3 WHEN step >= 70 THEN 1.0 ELSE 0.3 + 0.7 * (step - 10) / 60.0 END))) AS pool FROM r CROSS JOIN s GROUP BY 1""")
 def win16_curriculum_pool(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "documents").where("n_chars is not null and lang is not null")
-    w = Window.partitionBy("lang")
-    r = t.withColumn("rn", F.row_number().over(w.orderBy("n_chars", "doc_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    share = F.when(F.col("step") < 10, 0.3).when(F.col("step") >= 70, 1.0).otherwise(0.3 + 0.7 * (F.col("step") - 10) / 60.0)
-    return r.select("rn", "n", F.explode(F.array(*[F.lit(x) for x in (0, 50, 100)])).alias("step")).groupBy("step").agg(F.count_if(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))).alias("pool"))
+    return W.pool_sizes(read(spark, d, "documents").where("n_chars is not null and lang is not null"), "lang", ["n_chars", "doc_id"], (0, 50, 100))
 
 
 @query("""
@@ -136,13 +120,9 @@ def win18_cap_per_cell(spark: SparkSession, d: str) -> DataFrame:
 WITH s AS (SELECT trajectory_id, list(action_name ORDER BY step_number, step_id) AS a FROM steps WHERE action_name IS NOT NULL GROUP BY 1)
 SELECT trajectory_id, CASE WHEN list_position(a, 'search_corpus') > 0 AND list_position(a[list_position(a, 'search_corpus') + 1:], 'read_document') > 0 THEN 1.0 WHEN list_position(a, 'search_corpus') > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS chain FROM s""")
 def win19_tool_chain(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "steps").where("action_name is not null").groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "step_id", "action_name"))).alias("a"))
-    expected = ("search_corpus", "read_document")
-    i = F.aggregate("a.action_name", F.lit(0), lambda i, x: F.when((i < 2) & (x == F.element_at(F.array(*[F.lit(e) for e in expected]), F.least(i + 1, F.lit(2)))), i + 1).otherwise(i))
-    return s.select("trajectory_id", (i / 2.0).alias("chain"))
+    return W.chain_order(read(spark, d, "steps"), ("search_corpus", "read_document"))
 
 
 @query("SELECT trajectory_id, round(pow(0.5, (SELECT max(timestamp) FROM trajectories) / 86400.0 - max(timestamp) / 86400.0), 6) AS recency FROM trajectories WHERE timestamp IS NOT NULL GROUP BY 1")
 def win21_recency(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories").where("timestamp is not null").groupBy("trajectory_id").agg(F.max("timestamp").alias("t"))
-    return t.crossJoin(F.broadcast(t.agg(F.max("t").alias("now")))).select("trajectory_id", F.round(F.pow(F.lit(0.5), F.col("now") / 86400.0 - F.col("t") / 86400.0), 6).alias("recency"))
+    return W.recency(read(spark, d, "trajectories"), "trajectory_id", "timestamp")
