@@ -355,3 +355,35 @@ def test_paths_keep_the_first_of_each_pair(spark):
     got = {(r.src, r.dst, tuple(r.path)) for r in graph.simple_paths(e, 3).collect()}
     assert (1, 4, (1, 2, 4)) in got and (1, 5, (1, 3, 4, 5)) in got and not any(len(set(p)) < len(p) for _, _, p in got)
     assert {(r.src, r.dst, tuple(r.path)) for r in graph.simple_paths(e, 2, per_pair=1).collect() if r.dst == 4} >= {(1, 4, (1, 2, 4))}
+
+
+def test_values_at_positions_equal_sorting(spark):
+    import random
+
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randint(0, 5) * 1.0, rng.random()])) for _ in range(3000)] + [("one", 2.0), ("none", None)]
+    got = {r.k: (r.p50, r.p95) for r in aggregates.index_percentiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v").collect()}
+    want = {}
+    for k in ("a", "b", None, "one"):
+        v = sorted(x for y, x in data if y == k and x is not None)
+        want[k] = (v[int(len(v) * 0.5)], v[max(0, int(len(v) * 0.95) - 1)])
+    assert got == want
+    assert aggregates.index_percentiles(spark.createDataFrame([], "k string, v double"), ["k"], "v").count() == 0
+
+
+def test_nearest_vectors_in_blocks_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 6)).round(3)
+    x[5] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id bigint, embedding array<double>")
+    from velarium.operators.retrieval import dense_topk
+
+    got = {(r.q, r["rank"]): r.vec_id for r in dense_topk(df, df.where("vec_id % 10 = 3"), 4, rows=17, asks=3).collect()}
+    u = x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+    for q in range(3, 120, 10):
+        s = u @ u[q]
+        order = sorted((i for i in range(120) if i != q), key=lambda i: (-s[i], i))[:4]
+        assert [got[q, k + 1] for k in range(4)] == order
+    assert dense_topk(df.limit(0), df, 4).count() == 0

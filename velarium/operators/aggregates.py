@@ -29,17 +29,35 @@ def spread_of(df: DataFrame, keys: list[str], value: str, missing: float | None
     )
 
 
-def index_percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """p50 = sorted[int(n/2)] and p95 = sorted[max(0, int(0.95 n) - 1)]: picks by index, not interpolated.
+def at_index(df: DataFrame, keys: list[str], value: str, index: dict[str, Column]) -> DataFrame:
+    """``(keys, names of index)``: the value at a position, from 0, of each group's sorted values; ``index`` gives the positions from the count ``n``.
 
-    Equal values are counted before they are ordered, so a group's window holds its different values.
+    Values are counted, put into ranges by percentiles of the whole column, and the counts of ranges tell
+    in which one a position lies; only those are sorted, so no task sorts a whole group. Nulls are left out.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    r = c.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
-    i50, i95 = F.floor(F.col("n") * 0.5), F.greatest(F.lit(0), F.floor(F.col("n") * 0.95) - 1)
-    return r.groupBy(*keys).agg(at(i50).alias("p50"), at(i95).alias("p95"))
+    v = df.where(F.col(value).isNotNull())
+    cuts = v.agg(F.percentile_approx(value, [i / 100 for i in range(1, 100)]).alias("_q"))  # one row
+    c = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).crossJoin(F.broadcast(cuts))
+    c = c.withColumn("_r", F.coalesce(F.size(F.filter("_q", lambda q: q < F.col(value))), F.lit(0))).drop("_q")
+    w = Window.partitionBy(*keys)  # at most a hundred ranges a group
+    ranges = c.groupBy(*keys, "_r").agg(F.sum("_c").alias("_s")).withColumn("_b", F.sum("_s").over(w.orderBy("_r")) - F.col("_s")).withColumn("n", F.sum("_s").over(w))
+    ranges = ranges.withColumns({f"_i{k}": i.cast("bigint") for k, i in index.items()})
+    held = lambda k: (F.col(f"_i{k}") >= F.col("_b")) & (F.col(f"_i{k}") < F.col("_b") + F.col("_s"))
+    hit = F.lit(False)
+    for k in index:
+        hit = hit | held(k)
+    mine = ranges.where(hit).withColumnsRenamed({k: f"_{k}" for k in (*keys, "_r")})
+    same = F.col("_r") == F.col("__r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    r = c.join(mine, same).withColumn("_upto", F.col("_b") + F.sum("_c").over(Window.partitionBy(*keys, "_r").orderBy(value)))
+    return r.groupBy(*keys).agg(*[F.min(F.when(held(k) & (F.col("_upto") > F.col(f"_i{k}")), F.col(value))).alias(k) for k in index])
+
+
+def index_percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """p50 = sorted[int(n/2)] and p95 = sorted[max(0, int(0.95 n) - 1)]: picks by index, not interpolated."""
+    n = F.col("n")
+    return at_index(df, keys, value, {"p50": F.floor(n * 0.5), "p95": F.greatest(F.lit(0), F.floor(n * 0.95) - 1)})
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: Column, places: int = 4) -> DataFrame:
@@ -74,8 +92,8 @@ def distinct_ratio(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def ngram_diversity(df: DataFrame, keys: list[str], col: str, n: int = 4) -> DataFrame:
-    """Different over all n-grams of lower-case words. Counted by gram first, so frequent grams shuffle once a task."""
-    grams = df.select(*keys, F.explode(text.ngrams(text.tokens(text.squeeze(F.lower(F.col(col)))), n)).alias("g"))
+    """Different over all n-grams of lower-case words. Counted by gram first, so frequent grams shuffle once a task, as 16 bytes each."""
+    grams = df.select(*keys, F.explode(text.ngrams(text.tokens(text.squeeze(F.lower(F.col(col)))), n)).alias("g")).withColumn("g", F.unhex(F.md5("g")))
     return grams.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("c").alias("n_total")).withColumn("diversity", F.round(F.col("n_distinct") / F.col("n_total"), 6))
 
 
@@ -91,7 +109,7 @@ def mean_pairwise_cosine(df: DataFrame, keys: list[str], vector: str, size: int)
     n = numbers.norm(F.col(vector))
     unit = df.where(n > 0).select(*keys, F.transform(vector, lambda x: x.cast("double") / n).alias("u"))
     sums = unit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("u")[i]).alias(f"s{i}") for i in range(size)])
-    square = sum(F.col(f"s{i}") * F.col(f"s{i}") for i in range(size))
+    square = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(size)), F.lit(0.0))
     return sums.where("n > 1").select(*keys, F.round((square - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_cosine"))
 
 

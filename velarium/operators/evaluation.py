@@ -76,6 +76,44 @@ def judges(df: DataFrame, key: str, judge: str, score: str) -> DataFrame:
     return j.groupBy(key).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.min("lo"), 6).alias("least"), F.round(F.max("hi"), 6).alias("greatest"))
 
 
+#: Gates of a generated question and what a failure of each is called, in the order of the reasons. Fixed values.
+GATES = {"grounded": "answer_not_grounded", "no_leak": "retrieval_leak", "chained": "answerable_from_last_passage"}
+
+
+def verified(question: Column, answer: Column, first: dict[str, Column], revised: dict[str, Column]) -> Column:
+    """``(status, revision_count, discard_reason)`` of a generated question: accepted by the ``first`` gates, else once more by those of its revision.
+
+    Without a question or an answer it is rejected at once. Null gates fail.
+    """
+    ok = lambda g: F.coalesce(g["grounded"] & g["no_leak"] & g["chained"], F.lit(False))
+    empty = (F.coalesce(F.length(question), F.lit(0)) == 0) | (F.coalesce(F.length(answer), F.lit(0)) == 0)
+    failed = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(revised[k], F.lit(False)), F.lit(v)) for k, v in GATES.items()])), "+")
+    out = lambda status, n, why: F.struct(F.lit(status).alias("status"), F.lit(n).alias("revision_count"), why.cast("string").alias("discard_reason"))
+    return F.when(empty, out("rejected", 0, F.lit("empty_qa"))).when(ok(first), out("accepted", 0, F.lit(None))).when(ok(revised), out("revised_accepted", 1, F.lit(None))).otherwise(out("rejected", 1, failed))
+
+
+def message_recall(prediction: Column, ids: Column) -> Column:
+    """Share of message ids that a text names, in any case; 1 without ids."""
+    known = F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    said = F.lower(F.coalesce(prediction, F.lit("")))
+    return F.when(F.size(known) == 0, 1.0).otherwise(F.round(F.size(F.filter(known, lambda x: said.contains(F.lower(x)))) / F.size(known), 4))
+
+
+def anchor_rank(found: Column, anchor: Column) -> Column:
+    """Place of the anchor among found ids, from 0; -1 if it isn't there."""
+    return F.coalesce(F.array_position(found, anchor), F.lit(0)) - 1
+
+
+def execution_stats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, n, success_rate, mean_seconds, syntax_errors, timeouts, runtime_errors)`` of runs ``(success, error, seconds)``; a failure is of the first kind that fits."""
+    bad = ~F.coalesce("success", F.lit(False))
+    syntax, late = F.coalesce(F.col("error").contains("Syntax error"), F.lit(False)), F.coalesce(F.lower("error").rlike("timeout|time out"), F.lit(False))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((~bad).cast("double")), 6).alias("success_rate"), F.round(F.avg(F.coalesce("seconds", F.lit(0.0))), 6).alias("mean_seconds"),
+        F.count_if(bad & syntax).alias("syntax_errors"), F.count_if(bad & ~syntax & late).alias("timeouts"), F.count_if(bad & ~syntax & ~late).alias("runtime_errors"),
+    )
+
+
 def gate_verdict(gates: dict[str, Column]) -> Column:
     """'accepted', or 'discarded:' with the names of the gates that failed, joined by '+'."""
     failed = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in gates.items()])), "+")

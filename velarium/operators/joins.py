@@ -53,15 +53,18 @@ def sharing(df: DataFrame, key: str, items: Column, least: int, within: str | No
     return pairs.select(F.col(key).alias("src"), F.col("_k").alias("dst"), common.alias("n_shared")).where(F.col("n_shared") >= least).distinct()
 
 
-def similar(df: DataFrame, key: str, vector: str, within: str, least: float, blocks: int = 4) -> DataFrame:
-    """Pairs within a group, smaller key first, whose cosine is at least ``least``.
+def similar(df: DataFrame, key: str, vector: str, within: str, least: float, rows: int = 4_096) -> DataFrame:
+    """Pairs within a group, smaller key first, whose cosine is at least ``least``; exact for any threshold.
 
-    Each group is cut into hash blocks that meet pairwise, so a group that holds much of all rows is
-    compared by many tasks, each with a part of it.
+    Each group is cut into as many hash blocks as it has ``rows`` rows, and blocks meet pairwise: a
+    group that holds much of all rows is compared by many tasks, each with a part of bounded size, and
+    a row is copied once for each block of its own group only.
     """
-    b = F.pmod(F.xxhash64(key), F.lit(blocks))
-    j = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_j")
-    x = df.select(F.col(key).alias("_id"), within, F.col(vector).alias("_u"), numbers.norm(F.col(vector)).alias("_n"), b.alias("_b"), j).withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j"))
+    sizes = df.groupBy(within).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("_k"))
+    x = df.join(sizes, within)
+    b = F.pmod(F.xxhash64(key), F.col("_k"))
+    j = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j")
+    x = x.select(F.col(key).alias("_id"), within, F.col(vector).alias("_u"), numbers.norm(F.col(vector)).alias("_n"), b.alias("_b"), j).withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j"))
     y = x.select(F.col("_id").alias("_id2"), within, F.col("_u").alias("_v"), F.col("_n").alias("_m"), F.col("_b").alias("_b2"), "_lo", "_hi")
     met = x.join(y, [within, "_lo", "_hi"]).where((F.col("_id") < F.col("_id2")) & ((F.col("_lo") == F.col("_hi")) | (F.col("_b") != F.col("_b2"))))
     return met.select(F.col("_id").alias("src"), F.col("_id2").alias("dst"), numbers.scaled_dot(F.col("_u"), F.col("_v"), F.col("_n") * F.col("_m")).alias("weight")).where(F.col("weight") >= least)

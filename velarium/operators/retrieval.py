@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velarium.functions import numbers, text
+from velarium.functions import text
 
 K1, B = 1.2, 0.75
 
@@ -40,13 +42,38 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", r).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``(q, vec_id, rank, score)``: nearest vectors of each query by cosine. A stated query set against all rows."""
-    # Norms once a vector, so that a pair costs one inner product.
-    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("_u"), numbers.norm(F.col("embedding")).alias("_m"))
-    v = vectors.select("vec_id", "embedding", numbers.norm(F.col("embedding")).alias("_n"))
-    score = numbers.scaled_dot(F.col("_u"), F.col("embedding"), F.col("_m") * F.col("_n"))
-    s = v.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", score.alias("score"))
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 16_384, asks: int = 2_048) -> DataFrame:
+    """``(q, vec_id, rank, score)``: nearest vectors of each query by cosine, exactly; a query isn't its own neighbour.
+
+    A stated query set against all rows, in blocks: each task multiplies about ``rows`` vectors with
+    about ``asks`` queries as matrices and keeps ``k`` for each query, so what is joined are blocks and
+    what is ranked are the few best of each. Null vectors are left out; a zero vector has cosine 0.
+    """
+    size = lambda df, n: max(1, -(-df.where("embedding is not null").count() // n))
+    n_rows, n_asks = size(vectors, rows), size(queries, asks)
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = ("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.where("embedding is not null").select(*own, block(n_rows).cast("int").alias("b"), every(n_asks).alias("c"))
+    q = queries.where("embedding is not null").select(*own, block(n_asks).cast("int").alias("c"), every(n_rows).alias("b"))
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+
+    def unit(x: pd.Series) -> np.ndarray:
+        m = np.stack(x.to_numpy())
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": [], "vec_id": [], "score": []})
+        left = left.sort_values("vec_id")
+        ids, asked, score = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), unit(right["v"]) @ unit(left["v"]).T
+        score[asked[:, None] == ids[None, :]] = -np.inf
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"q": np.repeat(asked, top.shape[1]), "vec_id": ids[top.ravel()], "score": np.take_along_axis(score, top, axis=1).ravel()})
+        return out[out["score"] > -np.inf]
+
+    s = v.groupBy("b", "c").cogroup(q.groupBy("b", "c")).applyInPandas(best, f"q {kind}, vec_id {kind}, score double")
     r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return s.withColumn("rank", r).where(F.col("rank") <= k).select("q", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
 

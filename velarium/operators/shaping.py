@@ -246,6 +246,29 @@ def gold_rows(samples: DataFrame, chunks: DataFrame, sample_id: str = "sample_id
     return g.select(sample_id, F.to_json("ids").alias("gold_path"), F.transform("a", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"))).alias("passages"))
 
 
+def memory_decision(thought: Column) -> Column:
+    """``(memory, action)`` that a decision token names: keep, drop or compress, and search-again or answer-now; compress and null without a token."""
+    token = r"<decision:(keep|drop|compress):(search-again|answer-now)>"
+    part = lambda i: F.nullif(F.regexp_extract(F.coalesce(thought, F.lit("")), token, i), F.lit(""))
+    return F.struct(F.coalesce(part(1), F.lit("compress")).alias("memory"), part(2).alias("action"))
+
+
+def generated_samples(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """``(keys, question, answer, reasoning, status, discard_reason)`` of generated text that should hold a JSON object.
+
+    Text without one is rejected as ``generate_parse_failure``, an object without question or answer as
+    ``empty_qa``; the rest has no status yet.
+    """
+    from velarium.functions import jsonx
+
+    v = jsonx.tolerant(F.col(text_col))
+    read = lambda f: text.strip(F.coalesce(F.try_variant_get(F.col("_v"), f"$.{f}", "string"), F.lit("")))
+    rows = df.select(*keys, v.alias("_v")).select(*keys, F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)).alias("_ok"), *[read(f).alias(f) for f in ("question", "answer", "reasoning")])
+    empty = (F.col("question") == "") | (F.col("answer") == "")
+    why = F.when(~F.col("_ok"), "generate_parse_failure").when(empty, "empty_qa")
+    return rows.select(*keys, "question", "answer", "reasoning", F.when(why.isNotNull(), "rejected").alias("status"), why.alias("discard_reason"))
+
+
 def single_calls(messages: Column) -> Column:
     """Messages as JSON with each assistant turn of several calls written as one turn a call, each with its result.
 

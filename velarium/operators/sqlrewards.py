@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,9 +18,50 @@ def structure(calls: Column, responses: Column) -> Column:
     return F.when(calls <= 0, 0.0).when(responses <= 0, -0.15).when(responses < calls, 0.05).otherwise(0.1)
 
 
+#: Words of a condition that name no column, and those that end it. Fixed values.
+KEYWORDS = set("and or not in is null like between exists true false case when then else end as escape glob regexp collate nocase asc desc distinct all any some".split())
+ENDS = re.compile(r"\b(?:group\s+by|order\s+by|having|limit|union|intersect|except|window)\b")
+_NOISE = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?(?:\*/|\Z)", re.DOTALL)
+
+
+def filters_rows(sql: str | None) -> bool:
+    """Whether a statement has a condition that names a column; ``where 1 = 1`` filters nothing."""
+    m = re.search(r"(?is)\bwhere\b(.*)", sql or "")
+    if not m:
+        return False
+    clause = ENDS.split(re.sub(r"'(?:[^']|'')*'", " ", m[1].lower()))[0]
+    return any(w not in KEYWORDS for w in re.findall(r"[a-z_]\w*", clause))
+
+
+def sorts_rows(sql: str | None) -> bool:
+    """Whether a statement itself sorts its rows, outside any parentheses, strings and comments."""
+    t, before = _NOISE.sub(" ", sql or ""), None
+    while t != before:
+        before, t = t, re.sub(r"\([^()]*\)", " ", t)
+    return bool(re.search(r"(?i)\border\s+by\b", t.split("(")[0]))
+
+
+def checked(sql: Column) -> Column:
+    """``(filters, sorts)`` of a statement."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"filters": [filters_rows(x) for x in texts], "sorts": [sorts_rows(x) for x in texts]})
+
+    return F.pandas_udf(run, "struct<filters: boolean, sorts: boolean>")(sql)
+
+
+def _filtering(queries: Column) -> Column:
+    """How many of an array's statements have a condition that names a column."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda a: sum(map(filters_rows, a)) if a is not None else 0).astype("int32")
+
+    return F.pandas_udf(run, "int")(queries)
+
+
 def query_form(queries: Column, failed: Column, agrees: Column) -> Column:
     """Reward of an array of SQL texts: too many (over three) -1.5, ``limit 1`` -1 each, no WHERE -0.5 each, a WHERE 0.4 each up to three, an error -2, none at all -1.5, and 2 or -1.5 for hits that agree with gold or not."""
-    where = F.size(F.filter(queries, lambda s: s.rlike(r"(?i)\bwhere\b")))
+    where = _filtering(queries)
     one = F.size(F.filter(queries, lambda s: s.rlike(r"(?i)\blimit\s+1\b")))
     score = F.when(F.size(queries) > 3, -1.5).otherwise(0.0) - 1.0 * one - 0.5 * (F.size(queries) - where) + 0.4 * F.least(where, F.lit(3)) + F.when(failed, -2.0).otherwise(0.0) + F.when(agrees, 2.0).otherwise(-1.5)
     return F.when(F.size(queries) == 0, -1.5).otherwise(score)

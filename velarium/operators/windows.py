@@ -64,11 +64,10 @@ def order_position(df: DataFrame, score: Column, tie: str) -> DataFrame:
 
 def tertiles(df: DataFrame, keys: list[str], value: str, names: tuple[str, str, str] = ("low", "mid", "high")) -> DataFrame:
     """Band of each row by the values at positions min(n-1, int(q n)) for q of one and two thirds."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    r = c.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value)))
-    cut = r.groupBy(*keys).agg(at(1 / 3).alias("t1"), at(2 / 3).alias("t2"))
+    from velarium.operators.aggregates import at_index
+
+    at = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * q))
+    cut = at_index(df, keys, value, {"t1": at(1 / 3), "t2": at(2 / 3)})
     joined = df.where(F.col(value).isNotNull()).join(cut, keys) if keys else df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cut))
     return joined.withColumn("band", F.when(F.col(value) < F.col("t1"), names[0]).when(F.col(value) < F.col("t2"), names[1]).otherwise(names[2])).drop("t1", "t2")
 

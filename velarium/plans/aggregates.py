@@ -110,7 +110,7 @@ s AS (SELECT label, i, sum(v) AS s FROM x GROUP BY 1, 2), q AS (SELECT label, su
 SELECT label, round((q - c.n) / (c.n * (c.n - 1)), 6) AS mean_cosine FROM q JOIN c USING (label) WHERE c.n > 1""")
 def agg18_mean_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    size = len(e.select("embedding").head(1)[0][0])
+    size = e.agg(F.max(F.size("embedding"))).head()[0] or 0
     return A.mean_pairwise_cosine(e, ["label"], "embedding", size)
 
 

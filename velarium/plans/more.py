@@ -97,12 +97,6 @@ def stx8_universal_score(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("trajectory_id", E.universal(F.col("p"), F.col("g")).alias("score"))
 
 
-@query("SELECT DISTINCT id, CAST(contains(coalesce(body, ''), message_id) OR contains(coalesce(subject, ''), message_id) AS INT) AS recalled FROM emails WHERE message_id IS NOT NULL")
-def stx11_message_recall(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.coalesce("body", F.lit("")).contains(F.col("message_id")) | F.coalesce("subject", F.lit("")).contains(F.col("message_id"))
-    return read(spark, d, "emails").where("message_id is not null").select("id", hit.cast("int").alias("recalled")).distinct()
-
-
 @query("""
 SELECT trajectory_id, round(count(DISTINCT tool_name) FILTER (tool_name IN ('search_corpus', 'read_document', 'calculator')) / 3.0, 6) AS share, CASE WHEN count(*) >= 5 THEN 1.0 WHEN count(*) >= 2 THEN 0.5 ELSE 0.2 END::DOUBLE AS tier FROM tool_calls GROUP BY 1""")
 def stx15_tool_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -122,22 +116,6 @@ def stx21_one_shot_leak(spark: SparkSession, d: str) -> DataFrame:
     return t.join(first, "trajectory_id").select("trajectory_id", ((F.size(g) >= 2) & (F.size(F.array_intersect(g, r)) / F.size(g) >= 0.6)).cast("int").alias("leak"))
 
 
-@query("""
-WITH a AS (SELECT trajectory_id, list(tool_name ORDER BY step_number, tool_call_id) AS a FROM tool_calls WHERE tool_name IS NOT NULL GROUP BY 1) SELECT trajectory_id, CAST(coalesce(list_position(a, 'read_document'), 0) AS BIGINT) - 1 AS rank FROM a""")
-def stx22_anchor_rank(spark: SparkSession, d: str) -> DataFrame:
-    a = read(spark, d, "tool_calls").where("tool_name is not null").groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "tool_call_id", "tool_name")))["tool_name"].alias("a"))
-    return a.select("trajectory_id", (F.array_position("a", "read_document") - 1).alias("rank"))
-
-
-@query("""
-WITH t AS (SELECT DISTINCT trajectory_id, reward, n_tool_calls, has_answer_tag FROM trajectories)
-SELECT trajectory_id, CASE WHEN s = '' THEN 'accepted' ELSE 'discarded:' || s END AS verdict FROM (SELECT trajectory_id, array_to_string(list_filter([CASE WHEN NOT coalesce(has_answer_tag, false) THEN 'format' END, CASE WHEN coalesce(reward, 0) < 0.5 THEN 'unanswerable' END, CASE WHEN coalesce(n_tool_calls, 0) < 2 THEN 'one_shot' END], lambda x: x IS NOT NULL), '+') AS s FROM t)""")
-def stx23_verify_gates(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "trajectories").select("trajectory_id", "reward", "n_tool_calls", "has_answer_tag").distinct()
-    gates = {"format": ~F.coalesce("has_answer_tag", F.lit(False)), "unanswerable": F.coalesce("reward", F.lit(0.0)) < 0.5, "one_shot": F.coalesce("n_tool_calls", F.lit(0)) < 2}
-    return t.select("trajectory_id", E.gate_verdict(gates).alias("verdict"))
-
-
 @query(r"SELECT tool_call_id, substr(CASE WHEN regexp_matches(result, '[.!?](\s|\z)') THEN regexp_extract(result, '(?s)^(.*?[.!?])(\s|\z)', 1) ELSE result END, 1, 300) AS brief FROM tool_calls WHERE result IS NOT NULL")
 def stx25_first_sentence(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "tool_calls").where("result is not null").select("tool_call_id", E.first_sentence(F.col("result"), 300).alias("brief"))
@@ -238,12 +216,6 @@ def prj29_preference_rows(spark: SparkSession, d: str) -> DataFrame:
     return S.best_worst(t, "question", "trajectory_id", "reward", "final_answer").join(both.where("hi <> lo").select("question"), "question").select("question", "chosen", "rejected")
 
 
-@query("SELECT trajectory_id, step_id, CASE WHEN regexp_matches(lower(coalesce(thought, '')), 'search again|try another') THEN 'keep' WHEN is_terminal THEN 'answer_now' ELSE 'compress' END AS decision FROM steps")
-def prj37_memory_decision(spark: SparkSession, d: str) -> DataFrame:
-    d_ = F.when(F.lower(F.coalesce("thought", F.lit(""))).rlike("search again|try another"), "keep").when(F.col("is_terminal"), "answer_now").otherwise("compress")
-    return read(spark, d, "steps").select("trajectory_id", "step_id", d_.alias("decision"))
-
-
 @query("""
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT label AS ql, arg_min(e, vec_id) AS q FROM e GROUP BY 1), s AS (SELECT vec_id, label, list_cosine_similarity(e, q) AS s FROM e JOIN q ON e.label = q.ql), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS i FROM s)
 SELECT label, vec_id, round(s, 5) AS score FROM r WHERE i <= 4""")
@@ -255,14 +227,6 @@ def top4_top5_memory_recall(spark: SparkSession, d: str) -> DataFrame:
     return r.where("i <= 4").select("label", "vec_id", F.round("s", 5).alias("score"))
 
 
-@query("""
-SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35 ORDER BY 1, 2 LIMIT 60""")
-def jon8_alias_candidates(spark: SparkSession, d: str) -> DataFrame:
-    from velarium.operators.joins import similar
-
-    return similar(read(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.35).select("src", "dst").orderBy("src", "dst").limit(60)  # the operator's budget of pairs
-
-
 @query("SELECT run_id, CASE WHEN n_train < 2 OR n_val < 1 THEN 'degenerate' ELSE 'ok' END AS guard, n_train, n_val FROM (SELECT run_id, count(*) FILTER (s = 'train') AS n_train, count(*) FILTER (s = 'val') AS n_val FROM (SELECT DISTINCT run_id, trajectory_id, CASE WHEN CAST('0x' || substr(sha1('4:' || trajectory_id), 1, 8) AS BIGINT) / 4294967295.0 < 0.2 THEN 'val' ELSE 'train' END AS s FROM trajectories) GROUP BY 1)")
 def set14_split_guard(spark: SparkSession, d: str) -> DataFrame:
     from velarium.operators.sets import hash_split
@@ -292,15 +256,84 @@ def flt12_entities_and_keyphrases(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", F.slice(kept, 1, 12).alias("kept"), F.slice(strip(F.col("keyphrases")), 1, 6).alias("keyphrases")).distinct()
 
 
-@query("SELECT step_id, CAST(regexp_matches(action_args_json, '(?i)\\bwhere\\b') AS INT) AS has_where FROM steps WHERE lower(replace(trim(action_name, ' '), '-', '_')) = 'sql_query' AND action_args_json IS NOT NULL")
-def flt15_sql_checks(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "steps").where((F.lower(F.replace(F.trim("action_name"), F.lit("-"), F.lit("_"))) == "sql_query") & F.col("action_args_json").isNotNull())
-    return s.select("step_id", F.col("action_args_json").rlike(r"(?i)\bwhere\b").cast("int").alias("has_where"))
-
-
 @query("SELECT DISTINCT trajectory_id, CASE WHEN coalesce(n_tool_calls > 10, false) THEN 'calls' WHEN NOT coalesce(reward >= 0.2, false) THEN 'reward' ELSE 'passed' END AS first_failure FROM trajectories")
 def flt4_rule_list(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "trajectories").select("trajectory_id", "n_tool_calls", "reward").distinct()
     c = {k: F.col(k) for k in ("n_tool_calls", "reward")}
     failing = [(rules.compile_rule("n_tool_calls > 10", c), "calls"), (~rules.compile_rule("reward >= 0.2", c), "reward")]
     return t.select("trajectory_id", rules.first_match(failing, "passed").alias("first_failure")).distinct()
+
+
+@query("SELECT DISTINCT id, CASE WHEN message_id IS NULL THEN 1.0 ELSE round(CASE WHEN contains(lower(coalesce(body, '') || ' ' || coalesce(subject, '')), lower(message_id)) THEN 1.0 ELSE 0.0 END, 4) END::DOUBLE AS recall FROM emails WHERE id IS NOT NULL")
+def stx11_message_recall(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.coalesce("body", F.lit("")), F.lit(" "), F.coalesce("subject", F.lit("")))
+    return read(spark, d, "emails").where("id is not null").select("id", E.message_recall(said, F.array("message_id")).alias("recall")).distinct()
+
+
+@query("""
+WITH a AS (SELECT trajectory_id, list(query ORDER BY step_number, tool_call_id) AS a FROM tool_calls WHERE query IS NOT NULL GROUP BY 1), g AS (SELECT trajectory_id, min(question) AS q FROM trajectories GROUP BY 1)
+SELECT trajectory_id, CAST(coalesce(list_position(a, a[len(a)]), 0) AS BIGINT) - 1 AS last_rank, CAST(coalesce(list_position(a, q), 0) AS BIGINT) - 1 AS question_rank FROM a JOIN g USING (trajectory_id)""")
+def stx22_anchor_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Where the last query was first asked, and the question itself."""
+    a = read(spark, d, "tool_calls").where("query is not null").groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "tool_call_id", "query")))["query"].alias("a"))
+    g = read(spark, d, "trajectories").groupBy("trajectory_id").agg(F.min("question").alias("q"))
+    return a.join(g, "trajectory_id").select("trajectory_id", E.anchor_rank(F.col("a"), F.element_at("a", -1)).alias("last_rank"), E.anchor_rank(F.col("a"), F.col("q")).alias("question_rank"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT trajectory_id, question, final_answer, coalesce(has_answer_tag, false) AS g, coalesce(n_tool_calls >= 2, false) AS l, coalesce(reward >= 0.5, false) AS c FROM trajectories), r AS (SELECT *, coalesce(length(question), 0) = 0 OR coalesce(length(final_answer), 0) = 0 AS e FROM t)
+SELECT DISTINCT trajectory_id, CASE WHEN e THEN 'rejected' WHEN g AND l AND c THEN 'accepted' WHEN l AND c THEN 'revised_accepted' ELSE 'rejected' END AS status, CASE WHEN e OR (g AND l AND c) THEN 0 ELSE 1 END AS revision_count,
+ CASE WHEN e THEN 'empty_qa' WHEN l AND c THEN NULL ELSE array_to_string(list_filter([CASE WHEN NOT l THEN 'retrieval_leak' END, CASE WHEN NOT c THEN 'answerable_from_last_passage' END], lambda x: x IS NOT NULL), '+') END AS discard_reason FROM r""")
+def stx23_verify_gates(spark: SparkSession, d: str) -> DataFrame:
+    """A tag, two calls and a reward as gates; the revision has the tag."""
+    gates = {"grounded": F.col("has_answer_tag"), "no_leak": F.col("n_tool_calls") >= 2, "chained": F.col("reward") >= 0.5}
+    v = E.verified(F.col("question"), F.col("final_answer"), gates, gates | {"grounded": F.lit(True)})
+    return read(spark, d, "trajectories").select("trajectory_id", v.alias("v")).select("trajectory_id", "v.*").distinct()
+
+
+@query("SELECT trajectory_id, step_id, CASE WHEN is_terminal THEN 'drop' WHEN is_tool_step THEN 'keep' ELSE 'compress' END AS memory, CASE WHEN is_terminal THEN 'answer-now' WHEN is_tool_step THEN 'search-again' END AS action FROM steps")
+def prj37_memory_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Thoughts with a decision token behind them, closing and tool steps with one that is known."""
+    token = F.when(F.col("is_terminal"), "<decision:drop:answer-now>").when(F.col("is_tool_step"), "<decision:keep:search-again>").otherwise("<decision:keep:never>")
+    return read(spark, d, "steps").select("trajectory_id", "step_id", S.memory_decision(F.concat(F.coalesce("thought", F.lit("")), token)).alias("m")).select("trajectory_id", "step_id", "m.*")
+
+
+@query("""
+WITH t AS (SELECT DISTINCT trajectory_id, question, final_answer, metadata_json, coalesce(reward >= 0.3, false) AS made FROM trajectories), s AS (SELECT *, regexp_replace(coalesce(question, ''), '^[ \\t\\r\\n\\x0b\\f]+|[ \\t\\r\\n\\x0b\\f]+$', '', 'g') AS q, regexp_replace(coalesce(final_answer, ''), '^[ \\t\\r\\n\\x0b\\f]+|[ \\t\\r\\n\\x0b\\f]+$', '', 'g') AS a FROM t)
+SELECT DISTINCT trajectory_id, CASE WHEN made THEN q ELSE '' END AS question, CASE WHEN made AND q <> '' AND a <> '' THEN NULL WHEN made THEN 'empty_qa' WHEN json_type(TRY_CAST(metadata_json AS JSON)) = 'OBJECT' THEN 'empty_qa' ELSE 'generate_parse_failure' END AS discard_reason FROM s""".replace("\\\\", "\\"))
+def prj40_generated_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and answers as a model would write them, and other JSON text, some of it broken."""
+    made = F.to_json(F.struct("question", F.col("final_answer").alias("answer")))
+    t = read(spark, d, "trajectories").select("trajectory_id", F.when(F.col("reward") >= 0.3, made).otherwise(F.col("metadata_json")).alias("t")).distinct()
+    return S.generated_samples(t, "t", "trajectory_id").select("trajectory_id", "question", "discard_reason").distinct()
+
+
+@query(None)
+def flt15_sql_checks(spark: SparkSession, d: str) -> DataFrame:
+    from velarium.operators import sqlrewards
+
+    s = read(spark, d, "steps").select("step_id", F.try_variant_get(F.try_parse_json("action_args_json"), "$.sql", "string").alias("sql")).where("sql is not null")
+    return s.select("step_id", "sql", sqlrewards.checked(F.col("sql")).alias("c")).select("step_id", "sql", "c.*")
+
+
+@query("""
+WITH c AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(embedding::DOUBLE[]) AS e FROM (SELECT DISTINCT chunk_id, doc_id, embedding FROM chunks WHERE chunk_id IS NOT NULL AND doc_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(entities, lambda x: x IS NOT NULL)) > 0) GROUP BY 1 HAVING count(*) = 1),
+n AS (SELECT DISTINCT doc_id, chunk_id, lower(e) AS e FROM (SELECT doc_id, chunk_id, unnest(entities) AS e FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE e IS NOT NULL)
+SELECT a.chunk_id AS src, b.chunk_id AS dst FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.e, b.e) >= 0.1 AND NOT EXISTS (SELECT 1 FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.e = y.e WHERE x.chunk_id = a.chunk_id AND y.chunk_id = b.chunk_id) ORDER BY 1, 2 LIMIT 60""")
+def jon8_alias_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of one document with entities, none of them shared, whose vectors are near; 60 is the operator's budget of pairs."""
+    from velarium.operators.joins import similar
+    from velarium.plans.training import chunk_links
+
+    c = read(spark, d, "chunks").where("chunk_id is not null and doc_id is not null and embedding is not null").where(F.size(F.filter("entities", lambda x: x.isNotNull())) > 0).select("chunk_id", "doc_id", "embedding").distinct()
+    one = c.join(c.groupBy("chunk_id").count().where("count = 1").select("chunk_id"), "chunk_id", "left_semi")
+    return similar(one, "chunk_id", "embedding", "doc_id", 0.1).select("src", "dst").join(chunk_links(spark, d), ["src", "dst"], "left_anti").orderBy("src", "dst").limit(60)
+
+
+@query("""
+SELECT lower(replace(trim(action_name, ' '), '-', '_')) AS tool, count(*) AS n, round(avg(CASE WHEN NOT contains(lower(coalesce(observation, 'error')), 'error') THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(coalesce(reward, 0)), 6) AS mean_seconds, CAST(0 AS BIGINT) AS syntax_errors,
+ count(*) FILTER (contains(lower(coalesce(observation, 'error')), 'error') AND regexp_matches(lower(observation), 'timeout|time out')) AS timeouts, count(*) FILTER (contains(lower(coalesce(observation, 'error')), 'error') AND NOT coalesce(regexp_matches(lower(observation), 'timeout|time out'), false)) AS runtime_errors FROM steps WHERE is_tool_step GROUP BY 1""")
+def agg31_execution_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Tool steps as runs: one with an error in its result, or without a result, failed."""
+    s = read(spark, d, "steps").where("is_tool_step").select(F.lower(F.replace(F.trim("action_name"), F.lit("-"), F.lit("_"))).alias("tool"), (~F.lower(F.coalesce("observation", F.lit("error"))).contains("error")).alias("success"), F.col("observation").alias("error"), F.col("reward").alias("seconds"))
+    return E.execution_stats(s, ["tool"])
