@@ -245,10 +245,10 @@ def set19_forget(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS {_LINKS}, i AS (SELECT chunk_id AS id, max(text) AS content, max(start_pos) AS ts FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1), s AS (SELECT id FROM i WHERE contains(lower(content), 'agreement')),
+WITH e AS {_LINKS}, i AS (SELECT chunk_id AS id, max(text) AS content, max(start_pos) AS ts FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1), s AS (SELECT id FROM i WHERE contains(lower(content), 'the ')),
 f AS (SELECT e.dst AS id, s.id AS seed FROM s JOIN e ON e.src = s.id), g AS (SELECT e.dst AS id, f.seed FROM f JOIN e ON e.src = f.id WHERE e.dst <> f.seed)
 SELECT id, ts FROM i WHERE id IN (SELECT id FROM f UNION SELECT id FROM g) ORDER BY ts DESC NULLS LAST, id LIMIT 50""")
 def set18_linked_recall(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as memories, read by a word; 50 is the read's size."""
     items = read(spark, d, "chunks").where("chunk_id is not null").groupBy(F.col("chunk_id").alias("id")).agg(F.max("text").alias("content"), F.max("start_pos").alias("ts")).withColumn("scope", F.lit("all"))
-    return G.recall_linked(items, chunk_links(spark, d), "agreement", 50, hops=2)
+    return G.recall_linked(items, chunk_links(spark, d), "the ", 50, hops=2)
