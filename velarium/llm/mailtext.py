@@ -1,7 +1,7 @@
 """Mails reduced to what their sender newly wrote.
 
 Each line of a body is labelled new, quoted, signature or disclaimer by a sequence model: features
-of the line (marks at its start, header words, contact data, length, position) and of its
+of the line (marks at its start, header words, contact data, length) and of its
 neighbours and paragraph give each label a score, and the best path over all lines is found with
 the costs of going from one label to the next. Two kinds of quote are told apart: lines with a mark
 of their own, after which new text may go on, and earlier mails with a header, which reach to the end.

@@ -3,7 +3,8 @@
 Each pattern proposes spans with a score; words nearby raise or lower it, and spans that reach the
 threshold count. Numbers after a word for an identity number count whether or not their check digit
 holds; those without one are proposed by shape and confirmed by checksum (the mod-23 letter, mod 97,
-and, with such a word nearby, Luhn or the tax check digit).
+and, with such a word nearby, Luhn or the tax check digit). Account numbers (IBAN) and card numbers are
+proposed by shape alone and count exactly if their checksum holds (mod 97, Luhn).
 Names need a list of given names and surnames, which is counted from the mail headers of the whole
 corpus; frequent names are shared with every task, rare ones are joined to the mails that hold them,
 so that each counts at every size. Quote marks and line wraps are taken out
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from velarium.llm.common import kept, one_row_per, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: Numbers of accounts and cards, which only a checksum tells from others.
+CHECKED_KINDS = ("iban", "card")
 THRESHOLD = 1.0
 #: A name goes into the shared list if it makes up more than one in so many header names, else it is joined; bounds the list to as many entries.
 NAME_SHARE = 50_000
@@ -71,6 +74,9 @@ _ID = re.compile(rf"(?<![^\W_])(?i:{_ID_KEY}){_ID_LINK}(?P<v>{_ID_VALUE})(?![\w]
 _CHECKED = re.compile(
     r"(?<![\w+@./#-])(?:\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[12] ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d|\d{3}[- ]?\d{3}[- ]?\d{3}|\d\d ?\d{3} ?\d{3} ?\d{3})(?![\w@]|[-./,]\w)"
 )
+#: Shapes of account and card numbers.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CARD = re.compile(r"(?<![\w+./-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]|[./]\d)")
 #: Words of an identity number near it: after it, or before it with other words between.
 _ID_NEAR = re.compile(rf"(?<![^\W_])(?i:{_ID_KEY})(?![^\W\d_])")
 
@@ -356,6 +362,13 @@ def spans(text: str | None, names: Names) -> list[tuple[int, int, str, str]]:
         if _NOT_PHONE.search(before) or _PHONE_WORD.search(before[-15:]):
             score -= 1.5
         found.append((*m.span(), "id_number", score))
+    for m in _IBAN.finditer(t):
+        if 15 <= len(re.sub(" ", "", m.group())) <= 34 and mod97(m.group()):
+            found.append((*m.span(), "iban", 2.1))
+    for m in _CARD.finditer(t):
+        v = re.sub("[ -]", "", m.group())
+        if 13 <= len(v) <= 19 and luhn(v) and not _PHONE_WORD.search(t[max(0, m.start() - 15) : m.start()]):
+            found.append((*m.span(), "card", 1.1))
     for m in _PHONE.finditer(t):
         before = t[max(0, m.start() - 40) : m.start()]
         score = {"intl": 1.2, "us": 1.0, "local": 0.5, "plain": 0.8, "national": 0.9}[m.lastgroup if m.lastgroup else "us"]
@@ -377,7 +390,7 @@ def spans(text: str | None, names: Names) -> list[tuple[int, int, str, str]]:
         found.append((*m.span(), "phone", score))
     for a, e in names.find(t):
         found.append((a, e, "name", 1.0 if not _TITLE.search(t[max(0, a - 12) : a]) else 1.5))
-    rank = {k: i for i, k in enumerate(KINDS)}
+    rank = {k: i for i, k in enumerate(KINDS + CHECKED_KINDS)}
     found = [f for f in found if f[3] >= THRESHOLD]
     found.sort(key=lambda f: (-f[3] if f[2] != "name" else 0, rank[f[2]], f[0]))
     kept: list[tuple[int, int, str]] = []

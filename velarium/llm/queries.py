@@ -54,7 +54,8 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find(table(spark, d, "emails"))
+    """The kinds of the problem's statement; accounts and cards, which the operator finds too, are none of them."""
+    return pii.find(table(spark, d, "emails")).where(F.col("pii_kind").isin(*pii.KINDS))
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
