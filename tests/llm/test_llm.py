@@ -485,3 +485,13 @@ def test_unknown_languages_are_no_wrong_labels(spark, model):
     df = spark.createDataFrame([(1, "Avtalet ska gälla från och med den första januari och kan sägas upp av vardera parten.", "sv")], "doc_id bigint, text string, lang string")
     r = language.detect(df, model=model).collect()[0]
     assert r.lang is None and r.confidence == 0 and r.segments[0].lang == "other" and language.issues(language.detect(df, model=model)).count() == 0
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("Pay to GB82 WEST 1234 5698 7654 32 please", ["iban"]), ("Pay to GB82 WEST 1234 5698 7654 33 please", []), ("DE89370400440532013000 is it", ["iban"]), ("DE89370400440532013001 is it", []),
+    ("on 4111 1111 1111 1111 then", ["card"]), ("on 4111 1111 1111 1112 then", []), ("on 378282246310005 then", ["card"]), ("on 378282246310006 then", []),
+    ("then 12345678Z stands", ["id_number"]), ("then 12345678A stands", []), ("X1234567L applied", ["id_number"]), ("X1234567A applied", []),
+    ("2 55 08 14 168 025 38 noted", ["id_number"]), ("2 55 08 14 168 025 39 noted", []), ("046 454 286 is my social security card", ["id_number"]),
+])
+def test_checksums_decide_what_no_word_tells(text, kinds):
+    assert [k for _, _, k, _ in pii.spans(text, NAMES)] == kinds
