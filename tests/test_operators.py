@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from velarium import session
 from velarium.functions import numbers
-from velarium.operators import aggregates, audit, graph, joins, rewards, sets, shaping, sqlrewards, windows
+from velarium.operators import aggregates, audit, graph, joins, metrics, rewards, sets, shaping, sqlrewards, windows
 from velarium.sources import loaders, sinks
 from velarium.streaming import logs
 
@@ -387,3 +387,24 @@ def test_nearest_vectors_in_blocks_equal_brute_force(spark):
         order = sorted((i for i in range(120) if i != q), key=lambda i: (-s[i], i))[:4]
         assert [got[q, k + 1] for k in range(4)] == order
     assert dense_topk(df.limit(0), df, 4).count() == 0
+
+
+def test_metrics_of_ones_own(spark):
+    df = spark.createDataFrame([("a", "a", "q"), (None, "b", "q"), ("c", "d", "q")], "p string, g string, i string")
+    metrics.METRICS.pop("mine", None)
+    metrics.register("mine", metrics.custom(lambda p, g: len(p) + (p == g)))
+    assert metrics.evaluated(df, ["mine", "exact"], "p", "g").head().mine == 1.0
+    with pytest.raises(ValueError):
+        metrics.register("mine", metrics.custom(lambda p, g: 0))
+    with pytest.raises(ValueError):
+        metrics.metric("nothing")
+    got = {r.key: (r["mean"], r.n) for r in metrics.keyed_means(df, lambda p, g, i: {"n": len(p), "same": p == g}, "p", "g", "i").collect()}
+    assert got == {"n": (1.0, 2), "same": (0.5, 2)}
+    assert metrics.generated(df, lambda t: [(t, t.upper())], "g", "p").count() == 2
+
+
+def test_decision_token_and_stacks(spark):
+    df = spark.createDataFrame([("<decision:keep:search-again>",), ("x <decision:drop:answer-now>",), ("<decision>answer_now</decision>",), (None,)], "t string")
+    assert [r.x for r in df.select(rewards.decision_token(F.col("t")).alias("x")).collect()] == [0.1, 0.2, 0.0, 0.0]
+    parts = {k: F.lit(1.0) for k in rewards.STACKS["m2"]}
+    assert spark.range(1).select(rewards.stacked("m2", parts).alias("x")).head().x == pytest.approx(1.0)

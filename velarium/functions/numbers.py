@@ -53,14 +53,18 @@ def iteration_penalty(i: Column, most: int) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    """A number as people write it: currency, thousands commas, K/M/B/T, percent, parentheses for minus; null if none."""
-    t = F.regexp_replace(F.trim(c), r"[$€£¥\s]", "")
-    core = F.regexp_extract(t, r"^\(?([+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[+-]?\d*\.?\d+)", 1)
-    unit = F.upper(F.regexp_extract(t, r"(?i)^\(?[+-]?[\d,]*\.?\d+([KMBT])(?![a-z])", 1))
-    scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).when(unit == "T", 1e12).otherwise(1.0)
-    ordinal = t.rlike(r"(?i)^\d+(st|nd|rd|th)\b")
-    value = F.regexp_replace(core, ",", "").try_cast("double") * scale
-    return F.when((core == "") | ordinal, None).otherwise(F.when(t.rlike(r"^\(.*\)%?$"), -value).otherwise(value))
+    """A number as reports write it: currency, thousands commas, K/M/B/T, percent as hundredths, parentheses for minus; null for other text."""
+    t = F.regexp_replace(c, r"^\s+|\s+\z", "")
+    negative = t.startswith("(") & t.endswith(")")
+    t = F.regexp_replace(F.when(negative, F.regexp_replace(t, r"^\(|\)\z", "")).otherwise(t), r"^(-?)[$€£]+", "$1")
+    percent = t.endswith("%")
+    t = F.regexp_replace(t, r"%\z", "")
+    unit = F.lower(F.regexp_extract(t, r"([KkMmBbTt])\z", 1))
+    scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).when(unit == "t", 1e12).otherwise(1.0)
+    t = F.regexp_replace(t, r"[KkMmBbTt]\z", "")
+    plain = F.when(t.rlike(r"^[+-]?\d*(,\d{3})*(\.\d*)?([eE][+-]?\d+)?\z") & t.rlike(r"\d"), F.regexp_replace(t, ",", "").try_cast("double")) * scale
+    value = F.when(percent, plain / 100.0).otherwise(plain)
+    return F.when(negative, -value).otherwise(value)
 
 
 def numbers_in(c: Column) -> Column:

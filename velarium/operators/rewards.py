@@ -150,9 +150,9 @@ def conciseness(completion: Column, full: int = 280, none: int = 1200) -> Column
 
 @reward
 def decision_token(completion: Column) -> Column:
-    """0.1 for a decision token, and 0.1 more for answering now."""
-    said = F.lower(F.regexp_extract(completion, r"(?i)<decision>\s*([a-z_]+)\s*</decision>", 1))
-    return F.when(said == "", 0.0).when(said == "answer_now", 0.2).otherwise(0.1)
+    """0.1 for a decision token of a memory operation and an action, and 0.1 more for answering now; null text has none."""
+    said = F.regexp_extract(F.coalesce(completion, F.lit("")), r"<decision:(?:keep|drop|compress):(search-again|answer-now)>", 1)
+    return F.when(said == "", 0.0).when(said == "answer-now", 0.2).otherwise(0.1)
 
 
 @reward
@@ -237,3 +237,18 @@ def composed(parts: dict[str, tuple[Column, float]]) -> Column:
     for c, w in parts.values():
         out = out + F.coalesce(c, F.lit(0.0)) * (w / total)
     return out
+
+
+#: Weights of the named stacks of rewards. Fixed values.
+STACKS = {
+    "t3": {"format": 0.1, "correctness": 0.5, "necessity": 0.2, "frugality": 0.2},
+    "t3_training": {"format": 0.1, "termination": 0.2, "correctness": 0.4, "necessity": 0.15, "frugality": 0.15},
+    "combined": {"format": 0.1, "termination": 0.3, "correctness": 0.4, "necessity": 0.1, "frugality": 0.1},
+    "m2": {"format": 0.1, "termination": 0.3, "correctness": 0.4, "necessity": 0.1, "frugality": 0.1, "decision": 0.05},
+}
+
+
+def stacked(name: str, parts: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
+    """A named stack of rewards from its parts, with some weights replaced; weights are made to sum to 1, a null part counts 0."""
+    w = STACKS[name] | (weights or {})
+    return composed({k: (parts[k], w[k]) for k in STACKS[name]})

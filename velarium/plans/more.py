@@ -136,10 +136,17 @@ def num6_num8_closeness(spark: SparkSession, d: str) -> DataFrame:
     return n.select("trajectory_id", N.close(F.col("x"), F.col("y")).alias("close_2pct"), N.close(F.col("x"), F.col("y"), 0.01).alias("close_1pct"))
 
 
-@query(None)
+_SCALED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(gold_answer, '(?i)(\\d)\\s*thousands?\\b', '\\1K', 'g'), '(?i)(\\d)\\s*millions?\\b', '\\1M', 'g'), '(?i)(\\d)\\s*billions?\\b', '\\1B', 'g'), '(?i)(\\d)\\s*trillions?\\b', '\\1T', 'g')"
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT trajectory_id, regexp_replace({_SCALED}, '^\\s+|\\s+$', '', 'g') AS t FROM trajectories WHERE gold_answer IS NOT NULL),
+n AS (SELECT trajectory_id, starts_with(t, '(') AND ends_with(t, ')') AS neg, regexp_replace(CASE WHEN starts_with(t, '(') AND ends_with(t, ')') THEN t[2:-2] ELSE t END, '^(-?)[$€£]+', '\\1') AS t FROM t), c AS (SELECT trajectory_id, neg, ends_with(t, '%') AS pct, regexp_replace(t, '%$', '') AS t FROM n),
+u AS (SELECT trajectory_id, neg, pct, lower(regexp_extract(t, '([KkMmBbTt])$', 1)) AS unit, regexp_replace(t, '[KkMmBbTt]$', '') AS t FROM c)
+SELECT DISTINCT trajectory_id, CASE WHEN regexp_matches(t, '^[+-]?\\d*(,\\d{{3}})*(\\.\\d*)?([eE][+-]?\\d+)?$') AND regexp_matches(t, '\\d') THEN TRY_CAST(replace(t, ',', '') AS DOUBLE) * CASE unit WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 WHEN 't' THEN 1e12 ELSE 1.0 END / CASE WHEN pct THEN 100.0 ELSE 1.0 END * CASE WHEN neg THEN -1 ELSE 1 END END AS value FROM u""")
 def num4_num5_parse_number(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "trajectories").where("gold_answer is not null").select("trajectory_id", "gold_answer").distinct()
-    return t.select("trajectory_id", N.parse_number(E.scale_words(F.col("gold_answer"))).alias("value"))
+    return t.select("trajectory_id", N.parse_number(E.scale_words(F.col("gold_answer"))).alias("value")).distinct()
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-value / 100.0)), 6) AS sigmoid FROM events WHERE value IS NOT NULL")
@@ -147,7 +154,8 @@ def num11_sigmoid(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").where("value is not null").select("event_id", F.round(N.sigmoid(F.col("value") / 100.0), 6).alias("sigmoid"))
 
 
-@query(None)
+@query(r"""
+SELECT DISTINCT trajectory_id, greatest(0.0, least(1.0, coalesce(TRY_CAST(json_extract_string(TRY_CAST(final_answer AS JSON), '$.score') AS DOUBLE), TRY_CAST(nullif(regexp_extract(final_answer, '\b([01](?:\.\d+)?)\b', 1), '') AS DOUBLE), 0.0)))::DOUBLE AS score FROM trajectories""")
 def num13_judge_score(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "trajectories").select("trajectory_id", jsonx.judge_score(F.coalesce("final_answer", F.lit(""))).alias("score")).distinct()
 
@@ -171,7 +179,9 @@ def map2_multiset_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("trajectory_id", T.multiset_overlap(T.words(F.col("p")), T.words(F.col("g"))).alias("overlap"))
 
 
-@query(None)
+@query(r"""
+WITH t AS (SELECT step_id, action_args_json AS x, coalesce(TRY_CAST(action_args_json AS JSON), TRY_CAST(nullif(regexp_extract(action_args_json, '(?s)(\{.*\})', 1), '') AS JSON), TRY_CAST(nullif(regexp_extract(action_args_json, '(?s)(\[.*\])', 1), '') AS JSON)) AS j FROM steps WHERE action_args_json IS NOT NULL)
+SELECT step_id, list_filter([CASE WHEN json_extract_string(j, '$.query') IS NULL THEN 'query' END, CASE WHEN json_extract_string(j, '$.top_k') IS NULL THEN 'top_k' END], lambda x: x IS NOT NULL) AS missing, CAST(len(regexp_extract_all(x, '\{[^{}]*\}')) AS INT) AS n_objects FROM t""")
 def jsn2_jsn3_required_fields(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "steps").where("action_args_json is not null")
     v = jsonx.tolerant(F.col("action_args_json"))

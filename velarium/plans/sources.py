@@ -101,7 +101,10 @@ def win8_argument_validity(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("trajectory_id").agg(F.round(F.avg(F.col("ok").cast("double")), 6).alias("tac"))
 
 
-@query(None)
+@query("""
+WITH s AS (SELECT trajectory_id, list(action_name ORDER BY step_number, step_id) AS a FROM steps WHERE action_name IS NOT NULL GROUP BY 1), p AS (SELECT trajectory_id, a, len(a) AS n, coalesce(list_position(a, 'search_corpus'), 0) AS i FROM s)
+SELECT trajectory_id, CAST(CASE WHEN n = 1 THEN CASE WHEN a[1] IN ('search_corpus', 'read_document') THEN 1 ELSE 2 END
+ ELSE n - CASE WHEN i > 0 AND coalesce(list_position(a[i + 1:], 'read_document'), 0) > 0 THEN 2 WHEN (i > 0 AND i < n) OR coalesce(list_position(a[2:], 'read_document'), 0) > 0 THEN 1 ELSE 0 END END AS INT) AS distance FROM p""")
 def win10_sequence_distance(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "steps").where("action_name is not null").groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_number", "step_id", "action_name")))["action_name"].alias("names"))
     return s.select("trajectory_id", parsers.sequence_distance("names", F.array(F.lit("search_corpus"), F.lit("read_document"))).alias("distance"))

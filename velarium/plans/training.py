@@ -206,6 +206,53 @@ def rwd12_computation_chain(spark: SparkSession, d: str) -> DataFrame:
     return g.select("trajectory_id", R.computation(F.col("n")).alias("computation"), R.tool_chain(F.col("a"), ("search_corpus", "calculator")).alias("chain"))
 
 
+@query("""
+WITH t AS (SELECT DISTINCT trajectory_id, CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 0.1 ELSE 0.0 END AS f, CASE WHEN regexp_matches(final_answer, '(?is)<answer>.*?</answer>') THEN 1.0 WHEN n_tool_calls <= 2 THEN 0.0 ELSE greatest(-1.0, -0.25 * (n_tool_calls - 2)) END AS t, reward AS c, CASE WHEN reward >= 0.5 THEN greatest(0.0, 1 - n_tool_calls / 10.0) ELSE 0.0 END AS n,
+ CASE WHEN n_tool_calls = 3 THEN 1.2 WHEN n_tool_calls < 3 THEN 0.5 * n_tool_calls / 3 ELSE greatest(0.0, 1 - ln(1 + n_tool_calls - 3) / ln(11)) END AS g FROM trajectories WHERE final_answer IS NOT NULL AND n_tool_calls IS NOT NULL AND reward IS NOT NULL)
+SELECT trajectory_id, round((f * 0.1 + c * 0.5 + n * 0.2 + g * 0.2) / 1.0, 6) AS t3, round(f * 0.1 + t * 0.3 + c * 0.4 + n * 0.1 + g * 0.1, 6) AS combined, round((f * 0.1 + t * 0.3 + c * 0.4 + n * 0.1 + g * 0.1 + 0.2 * 0.05) / 1.05, 6) AS m2 FROM t""")
+def rwd20_reward_stacks(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "trajectories").where("final_answer is not null and n_tool_calls is not null and reward is not null")
+    a, n, ok = F.col("final_answer"), F.col("n_tool_calls"), F.col("reward") >= 0.5
+    parts = {"format": R.answer_format(a), "termination": R.termination(a, n), "correctness": F.col("reward"), "necessity": R.necessity(ok, n, 10), "frugality": R.frugality(n, F.lit(3), 10), "decision": R.decision_token(F.concat(a, F.lit("<decision:drop:answer-now>")))}
+    return t.select("trajectory_id", *[F.round(R.stacked(k, parts), 6).alias(k) for k in ("t3", "combined", "m2")]).distinct()
+
+
+@query("""
+WITH q AS (SELECT question, avg(CASE WHEN reward >= 0.5 THEN 1.0 ELSE 0.0 END) AS r FROM trajectories WHERE question IS NOT NULL GROUP BY 1) SELECT question, round(r, 6) AS solve_rate, CASE WHEN r >= 0.5 THEN 'easy' ELSE 'hard' END AS label FROM q""")
+def solver_labels(spark: SparkSession, d: str) -> DataFrame:
+    from velarium.operators import metrics
+
+    return metrics.labelled_by_solver(read(spark, d, "trajectories").where("question is not null"), F.col("reward") >= 0.5, ["question"])
+
+
+@query("""
+WITH p AS (SELECT DISTINCT trajectory_id, run_id, final_answer AS p, gold_answer AS g FROM trajectories WHERE final_answer IS NOT NULL AND gold_answer IS NOT NULL)
+SELECT run_id, round(avg(CASE WHEN trim(p, ' ') = trim(g, ' ') THEN 1.0 ELSE 0.0 END), 6) AS same, round(avg(least(length(p), length(g)) / greatest(length(p), length(g))), 6) AS length_ratio, count(*) AS n FROM p GROUP BY 1""")
+def custom_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of a user's own; the second fails, and so scores 0, where both texts are empty."""
+    from velarium.operators import metrics
+
+    for name, f in (("same", lambda p, g: p.strip(" ") == g.strip(" ")), ("length_ratio", lambda p, g: min(len(p), len(g)) / max(len(p), len(g)))):
+        metrics.METRICS[name] = metrics.custom(f)
+    t = read(spark, d, "trajectories").where("final_answer is not null and gold_answer is not null").select("trajectory_id", "run_id", "final_answer", "gold_answer").distinct()
+    return metrics.evaluated(t, ("same", "length_ratio"), "final_answer", "gold_answer", ("run_id",))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL), s AS (SELECT chunk_id, list_filter(string_split(text, '. '), lambda x: contains(x, ' is ')) AS s FROM c), i AS (SELECT chunk_id, s, unnest(range(0, len(s))) AS i FROM s)
+SELECT chunk_id, CAST(i AS INT) AS place, 'What is ' || string_split(s[i + 1], ' is ')[1] || '?' AS question, s[i + 1] AS answer FROM i""")
+def generated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A generator that asks what each sentence with "is" says."""
+    from velarium.operators import metrics
+
+    def make(text: str):
+        for s in text.split(". "):
+            if " is " in s:
+                yield f"What is {s.split(' is ')[0]}?", s
+
+    return metrics.generated(read(spark, d, "chunks").where("chunk_id is not null and text is not null").select("chunk_id", "text").distinct(), make, "chunk_id", "text")
+
+
 def chunk_links(spark: SparkSession, d: str) -> DataFrame:
     """``(src, dst)``: chunks of one document that share two entities."""
     from velarium.operators.joins import sharing
