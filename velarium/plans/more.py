@@ -337,7 +337,7 @@ def jon8_alias_candidates(spark: SparkSession, d: str) -> DataFrame:
 
     c = read(spark, d, "chunks").where("chunk_id is not null and doc_id is not null and embedding is not null").where(F.size(F.filter("entities", lambda x: x.isNotNull())) > 0).select("chunk_id", "doc_id", "embedding").distinct()
     one = c.join(c.groupBy("chunk_id").count().where("count = 1").select("chunk_id"), "chunk_id", "left_semi")
-    return similar(one, "chunk_id", "embedding", "doc_id", 0.1).select("src", "dst").join(chunk_links(spark, d), ["src", "dst"], "left_anti").orderBy("src", "dst").limit(60)
+    return similar(one, "chunk_id", "embedding", "doc_id", 0.1).select("src", "dst").join(chunk_links(spark, d, 1), ["src", "dst"], "left_anti").orderBy("src", "dst").limit(60)
 
 
 @query("""

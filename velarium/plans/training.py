@@ -253,15 +253,15 @@ def generated_pairs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.generated(read(spark, d, "chunks").where("chunk_id is not null and text is not null").select("chunk_id", "text").distinct(), make, "chunk_id", "text")
 
 
-def chunk_links(spark: SparkSession, d: str) -> DataFrame:
-    """``(src, dst)``: chunks of one document that share two entities."""
+def chunk_links(spark: SparkSession, d: str, least: int = 2) -> DataFrame:
+    """``(src, dst)``: chunks of one document that share ``least`` entities."""
     from velarium.operators.joins import sharing
 
     e = read(spark, d, "chunks").where("doc_id is not null and chunk_id is not null").select("doc_id", "chunk_id", F.explode("entities").alias("e")).where("e is not null").select("doc_id", "chunk_id", F.lower("e").alias("e"))
-    return sharing(e.groupBy("doc_id", "chunk_id").agg(F.collect_set("e").alias("items")), "chunk_id", F.col("items"), 1, "doc_id").select("src", "dst")
+    return sharing(e.groupBy("doc_id", "chunk_id").agg(F.collect_set("e").alias("items")), "chunk_id", F.col("items"), least, "doc_id").select("src", "dst")
 
 
-_LINKS = "(SELECT DISTINCT a.chunk_id AS src, b.chunk_id AS dst FROM (SELECT DISTINCT doc_id, chunk_id, lower(e) AS e FROM (SELECT doc_id, chunk_id, unnest(entities) AS e FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE e IS NOT NULL) a JOIN (SELECT DISTINCT doc_id, chunk_id, lower(e) AS e FROM (SELECT doc_id, chunk_id, unnest(entities) AS e FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE e IS NOT NULL) b ON a.doc_id = b.doc_id AND a.e = b.e AND a.chunk_id < b.chunk_id)"
+_LINKS = "(SELECT a.chunk_id AS src, b.chunk_id AS dst FROM (SELECT DISTINCT doc_id, chunk_id, lower(e) AS e FROM (SELECT doc_id, chunk_id, unnest(entities) AS e FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE e IS NOT NULL) a JOIN (SELECT DISTINCT doc_id, chunk_id, lower(e) AS e FROM (SELECT doc_id, chunk_id, unnest(entities) AS e FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE e IS NOT NULL) b ON a.doc_id = b.doc_id AND a.e = b.e AND a.chunk_id < b.chunk_id GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
 @query(f"""
