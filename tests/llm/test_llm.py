@@ -106,6 +106,30 @@ def test_overlap_of_questions_of_any_kind(spark):
     assert got == sorted([(f"t{i}", f"e{j}") for g in groups for i in g for j in g], key=repr)
 
 
+def test_overlap_uses_whole_texts(spark):
+    """Years, parties and facts count wherever they stand, after a question mark, a full stop or a long text too."""
+    price, law, other = QUESTIONS[0], QUESTIONS[7], lambda x: x.replace("Norcroft SARL", "Fendale BV")
+    named = "Name the price in million crowns that Jorley Inc paid for Yewcrest AG under deal South."
+    long = " Look into the filing and count what was paid at the end of each quarter." * 200
+    q = [
+        price, f"{price}{long}", f"{law}{long}", f"{price} And in 2005?", f"{named} In 2003.", f"{named} In 2004.",
+        f"Have you read all the papers of this case? {other(price)}", f"Have you read all the papers of this case? {other(law)}",
+        f"{price}{long} Only Yewcrest of Ostermark.", f"{price}{long} Only Yewcrest of Lindhaven.",
+    ]
+    got = rows(overlap.overlaps(_asked(spark, q), _runs(spark)).select("id_train", "id_eval"))
+    groups = [(0, 1), *[(i,) for i in range(2, 10)]]
+    assert got == sorted([(f"t{i}", f"e{j}") for g in groups for i in g for j in g], key=repr)
+
+
+def test_overlap_learns_statements_that_only_frame(spark):
+    """How to answer, said with many questions, makes neither different questions the same nor the same ones differ."""
+    ends = ["Put the result in answer tags.", "Answer briefly and without giving any further explanation."]
+    q = [f"What price did Jorley pay for Norcroft in {2000 + i}? {e}" for i in range(15) for e in ends] + [f"Which law governs the contract of Jorley with Norcroft from 2003? {ends[0]}"]
+    known = overlap.known_words(_asked(spark, q))
+    assert known.framing == {e.lower().rstrip(".") for e in ends}
+    assert _linked(q, known) == {(i, j) for i in range(30) for j in range(30) if i // 2 == j // 2} | {(30, 30)}
+
+
 def test_overlap_of_one_question_that_most_rows_ask(spark):
     t = [(f"t{i}", "t", QUESTIONS[0]) for i in range(200)] + [("e0", "e", QUESTIONS[2]), ("e1", "e", QUESTIONS[4])]
     df = spark.createDataFrame(t, "trajectory_id string, run_id string, question string")

@@ -4,7 +4,8 @@ What words of a question weigh is counted over all questions: words that many qu
 case or at their beginning only phrase it, words that many have with a capital mark one thing of many
 (a section, a letter), the rest, with numbers, name what it is about. Each question gets a 128-bit
 similarity hash over its words with these weights, names by their letter triples; words a slip away
-from a frequent one count as that one. The code is cut into twelve blocks, so two codes within a Hamming
+from a frequent one count as that one. Texts are read to their end; only statements said with many
+questions, such as how to answer, are told apart by counting and left out. The code is cut into twelve blocks, so two codes within a Hamming
 distance of eleven share one: candidates come from an equi-join on (block number, block, numbers) and are
 verified on the words. Questions with the same words are one row in it, however many texts and
 trajectories they stand for; these are kept apart and joined to the links at the end.
@@ -36,6 +37,8 @@ KNOWN, FREQUENT = 5000, 200
 LEAST = 12
 #: What a word of each class weighs in the hash.
 NAME, MARK, PLAIN = 1.0, 0.3, 0.06
+#: Ordinary words that weigh in full; more share this weight, so that a long text doesn't outweigh its names.
+MANY = 20
 #: Share of the weight of the ordinary words of the shorter question that the other must have.
 FACT = 0.5
 BITS, RADIUS = 128, 11
@@ -43,48 +46,44 @@ BITS, RADIUS = 128, 11
 WIDTHS = (11, 11, 11, 11, 11, 11, 11, 11, 10, 10, 10, 10)
 #: Parts that the trajectories of one question are spread over when links are expanded.
 SALTS = 16
-_TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
-#: Up to three words after the last full stop.
-_AFTERWORD = re.compile(r"(?<=[\w)])\.\s+(?:\W*\w+){1,3}\W*$")
+_TOKEN = re.compile(r"[^\W_]+|[.!?]+|[^\w\s]")
 _CODE = re.compile(r"(?i)\b([a-z]{2,3})[\s\-‐-―/]*(\d{5,6})\b")
 
 
-def tokens(question: str) -> tuple[list[tuple[str, bool]], bool]:
-    """Words with whether each begins a sentence, and whether the question is written in mixed case.
+def tokens(question: str) -> tuple[list[tuple[str, bool]], bool, list[tuple[slice, bool]]]:
+    """All words with whether each begins a sentence, whether the question is written in mixed case, and its sentences with whether each asks.
 
-    What follows the question mark of a whole question, or a few words after its full stop, only say how
-    to answer and are left out; codes of letters and digits are one word however they are written.
+    Codes of letters and digits are one word however they are written.
     """
     t = re.sub(r"[​-‍﻿]", "", unicodedata.normalize("NFKC", question))
-    t = re.sub(r"\s+", " ", t).strip()
-    if (end := t.find("?")) > 0 and len(t[:end].split()) >= 5:
-        t = t[:end]
-    elif (end := _AFTERWORD.search(t)) and len(t[: end.start()].split()) >= 5:
-        t = t[: end.start()]
     t = _CODE.sub(lambda m: f" {m[1].lower()}{m[2]} ", re.sub(r"(?<=\w)['’]s\b", " ", t))
-    out, first = [], True
-    for w in _TOKEN.findall(t):
+    out, first, sentences, begin = [], True, [], 0
+    for w in [*_TOKEN.findall(t), "."]:
         if w[0].isalnum():
             out.append((w, first))
             first = False
-        elif w in ".!?:-‐–—¿)":
+        elif w[0] in ".!?:-‐–—¿)":
             first = True
+            if w[0] in ".!?":
+                if begin < len(out):
+                    sentences.append((slice(begin, len(out)), "?" in w))
+                begin = len(out)
     inner = [w for w, start in out if not start and w.isalpha() and len(w) > 1]
-    return out, sum(w.islower() for w in inner) >= 3 and any(w[0].isupper() and not w.isupper() for w in inner)
+    return out, sum(w.islower() for w in inner) >= 3 and any(w[0].isupper() and not w.isupper() for w in inner), sentences
 
 
 class Words:
-    """The known words of all questions: how many questions have each, and how often it has a capital, none, or begins a sentence."""
+    """The known words of all questions: how many questions have each, and how often it has a capital, none, or begins a sentence; and the statements that many have."""
 
-    def __init__(self, n: int, rows: dict[str, tuple[int, int, int, int]]):
-        self.n, self.rows = n, rows
+    def __init__(self, n: int, rows: dict[str, tuple[int, int, int, int]], framing: set[str]):
+        self.n, self.rows, self.framing = n, rows, framing
         self._build()
 
     def __getstate__(self):
-        return self.n, self.rows
+        return self.n, self.rows, self.framing
 
     def __setstate__(self, x):
-        self.n, self.rows = x
+        self.n, self.rows, self.framing = x
         self._build()
 
     def _build(self):
@@ -128,38 +127,49 @@ def _shorter(w: str, most: int) -> set[str]:
 CLASSES = ("numbers", "names", "marks", "plain")
 
 
+def _framing(sentences: list[tuple[slice, bool]]) -> list[slice]:
+    """Sentences that may only say how to answer: those without a question mark in a text that has one."""
+    return [x for x, asks in sentences if not asks] if any(asks for _, asks in sentences) else []
+
+
 def parse(question: str, known: Words) -> dict[str, frozenset | bool]:
-    """Words of a question by class: numbers and codes, names, marks of one thing among many, and ordinary words; and whether its case is mixed.
+    """Words of a question by class: numbers and codes, names, marks of one thing among many, and ordinary words; ordinary words of each sentence that asks or names something; and whether its case is mixed.
 
     In mixed case a capital within a sentence tells names and marks from ordinary words; elsewhere
-    the known words do, and what isn't among them is a name.
+    the known words do, and what isn't among them is a name. Ordinary words of a statement that goes
+    with many questions only frame this one and are in no class.
     """
-    found, mixed = tokens(question)
-    out: dict[str, set] = {c: set() for c in CLASSES}
+    found, mixed, sentences = tokens(question)
+    words: list[tuple[str, str]] = []
     for w, first in found:
         u = w.lower()
         if any(c.isdigit() for c in u):
-            out["numbers"].add(u)
+            words.append(("numbers", u))
         elif u in FORMS:
-            continue
+            words.append(("", u))
         elif mixed and not first and w[0].islower():
-            out["plain"].add(u if u in known.rows else known.right(u) or u)
+            words.append(("plain", u if u in known.rows else known.right(u) or u))
         elif mixed and not first and u in known.frequent:
-            out["marks"].add(u)
+            words.append(("marks", u))
         else:
             v = u if u in known.plain or u in known.frequent else known.right(u)
             if v in known.capital and (mixed or v not in known.either):
-                out["marks"].add(v)
+                words.append(("marks", v))
             elif v and (not (mixed and not first) or u in known.plain):  # a capital within a sentence is no slip of an ordinary word
-                out["plain"].add(v)
+                words.append(("plain", v))
             else:
-                out["names"].add(u)
-    return {c: frozenset(x) for c, x in out.items()} | {"mixed": mixed}
+                words.append(("names", u))
+    for x in _framing(sentences):
+        if all(c in ("plain", "") for c, _ in words[x]) and " ".join(w for _, w in words[x]) in known.framing:
+            words[x] = [("", w) for _, w in words[x]]
+    told = [frozenset(w for c, w in words[x] if c == "plain") for x, asks in sentences if asks or any(c in ("numbers", "names", "marks") for c, _ in words[x])]
+    return {c: frozenset(w for k, w in words if k == c) for c in CLASSES} | {"told": frozenset(x for x in told if x), "mixed": mixed}
 
 
 def features(p: dict) -> list[tuple[str, float]]:
-    """Weighted features of a question's words; names and numbers have the same weight together however many parts they have."""
-    out = [("=" + w, MARK) for w in p["marks"]] + [("~" + w, PLAIN) for w in p["plain"]]
+    """Weighted features of a question's words; names and numbers have the same weight together however many parts they have, ordinary words at most that of ``MANY``."""
+    plain = PLAIN * min(1.0, (MANY / max(1, len(p["plain"]))) ** 0.5)
+    out = [("=" + w, MARK) for w in p["marks"]] + [("~" + w, plain) for w in p["plain"]]
     for w in p["names"] | p["numbers"]:
         x = f"^{w}$"
         parts = [x[i : i + 3] for i in range(len(x) - 2)] if w.isalpha() and len(w) > 3 else [f"{w}#{i}" for i in range(6)]
@@ -185,7 +195,9 @@ def same_question(p: dict, q: dict, known: Words) -> bool:
     """Whether two parsed questions ask for the same fact about the same names, things and years.
 
     Numbers, names and marks must be the same; a word that is written both ways may be a mark in one
-    question only if the other, or it, is of one case. Ordinary words must agree by their weight.
+    question only if the other, or it, is of one case. Ordinary words must agree by their weight, over
+    the whole texts and sentence by sentence: all sentences of one that ask or name something must have
+    their like in the other.
     """
     if p["numbers"] != q["numbers"] or p["names"] != q["names"]:
         return False
@@ -193,7 +205,9 @@ def same_question(p: dict, q: dict, known: Words) -> bool:
     if differ - (set() if p["mixed"] and q["mixed"] else known.either):
         return False
     total = lambda s: sum(known.weight(w) for w in s)
-    return total(p["plain"] & q["plain"]) >= FACT * min(total(p["plain"]), total(q["plain"]))
+    agree = lambda a, b: total(a & b) >= FACT * min(total(a), total(b))
+    within = lambda a, b: all(x in b or any(agree(x, y) for y in b) for x in a)
+    return agree(p["plain"], q["plain"]) and (within(p["told"], q["told"]) or within(q["told"], p["told"]))
 
 
 def questions_by_split(trajectories: DataFrame, runs: DataFrame) -> DataFrame:
@@ -209,29 +223,33 @@ def questions_by_split(trajectories: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def known_words(questions: DataFrame) -> Words:
-    """The known words, counted over all different questions; only these, a bounded number, come to the driver."""
+    """The known words and framing statements, counted over all different questions; only these, a bounded number, come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for text in b["question"]:
-                found, mixed = tokens(text)
+                found, mixed, sentences = tokens(text)
                 seen: dict[str, list[int]] = {}
                 for w, first in found:
                     c = seen.setdefault(w.lower(), [0, 0, 0])
                     if mixed:
                         c[2 if first else 0 if w[0].isupper() else 1] += 1
-                out += [(w, *c) for w, c in seen.items()]
-            yield pd.DataFrame(out, columns=["w", "cap", "low", "first"]).astype({"cap": "int64", "low": "int64", "first": "int64"})
+                out += [(w, False, *c) for w, c in seen.items()]
+                out += [(w, True, 0, 0, 0) for w in {" ".join(w.lower() for w, _ in found[x]) for x in _framing(sentences)}]
+            yield pd.DataFrame(out, columns=["w", "stated", "cap", "low", "first"]).astype({"stated": "bool", "cap": "int64", "low": "int64", "first": "int64"})
 
     texts = kept(spread(questions.select("question").distinct(), "question"))
     n = texts.count()
-    rows = texts.mapInPandas(count, "w string, cap bigint, low bigint, first bigint").groupBy("w").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in ("cap", "low", "first")])
-    few = rows.where(F.col("df") * KNOWN > n).where((F.col("low") + F.col("first") > F.col("cap")) | (F.col("df") > max(n / FREQUENT, LEAST)))
-    return Words(n, {r["w"]: (r["df"], r["cap"], r["low"], r["first"]) for r in few.collect()})
+    rows = texts.mapInPandas(count, "w string, stated boolean, cap bigint, low bigint, first bigint").groupBy("w", "stated").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in ("cap", "low", "first")])
+    word = (F.col("low") + F.col("first") > F.col("cap")) | (F.col("df") > max(n / FREQUENT, LEAST))
+    few = rows.where(F.col("df") * KNOWN > n).where(F.when(F.col("stated"), F.col("df") > LEAST).otherwise(word)).collect()
+    return Words(n, {r["w"]: (r["df"], r["cap"], r["low"], r["first"]) for r in few if not r["stated"]}, {r["w"] for r in few if r["stated"]})
 
 
-_PARSED = "sid string, code string, mixed boolean, " + ", ".join(f"{c} string" for c in CLASSES)
+#: Columns of a parsed question; sentences are lines.
+_COLUMNS = (*CLASSES, "told")
+_PARSED = "sid string, code string, mixed boolean, " + ", ".join(f"{c} string" for c in _COLUMNS)
 
 
 def parsed_questions(questions: DataFrame, known: Words) -> DataFrame:
@@ -247,11 +265,11 @@ def parsed_questions(questions: DataFrame, known: Words) -> DataFrame:
                     done.clear()
                 if text not in done:
                     p = parse(text, words)
-                    classes = [" ".join(sorted(p[c])) for c in CLASSES]
-                    sid = xxhash.xxh3_128_hexdigest("\n".join([str(p["mixed"]), *classes]))
+                    classes = [" ".join(sorted(p[c])) for c in CLASSES] + ["\n".join(sorted(" ".join(sorted(x)) for x in p["told"]))]
+                    sid = xxhash.xxh3_128_hexdigest("\n\n".join([str(p["mixed"]), *classes]))
                     done[text] = (sid, simhash(features(p)), p["mixed"], *classes)
                 out.append(done[text])
-            rows = pd.DataFrame(out, columns=["sid", "code", "mixed", *CLASSES], index=b.index)
+            rows = pd.DataFrame(out, columns=["sid", "code", "mixed", *_COLUMNS], index=b.index)
             yield pd.concat([b[["trajectory_id", "run_id", "split"]], rows], axis=1)
 
     return kept(spread(questions, "trajectory_id").mapInPandas(run, "trajectory_id string, run_id string, split string, " + _PARSED))
@@ -268,21 +286,21 @@ def _blocks(codes: DataFrame) -> DataFrame:
 def links(parsed: DataFrame, known: Words) -> DataFrame:
     """``(sid_a, sid_b)``: word sets of training and evaluation that ask the same, each with itself if it is in both."""
     at = lambda s: F.max((F.col("split") == s).cast("int"))
-    sets = kept(parsed.groupBy("sid", "code", "mixed", *CLASSES).agg(at("train").alias("in_train"), at("eval").alias("in_eval")))
+    sets = kept(parsed.groupBy("sid", "code", "mixed", *_COLUMNS).agg(at("train").alias("in_train"), at("eval").alias("in_eval")))
     b = _blocks(sets.select("sid", "code", "numbers", "in_train", "in_eval"))
     left = b.where("in_train = 1").select("k", "block", "numbers", F.col("sid").alias("sid_a"), F.col("code").alias("code_a"))
     right = b.where("in_eval = 1").select("k", "block", "numbers", F.col("sid").alias("sid_b"), F.col("code").alias("code_b"))
     word = lambda c, k: F.conv(F.substring(c, 8 * k + 1, 8), 16, 10).cast("bigint")
     far = sum(F.bit_count(word("code_a", k).bitwiseXOR(word("code_b", k))) for k in range(4))
     near = left.join(right, ["k", "block", "numbers"]).where(far <= RADIUS).select("sid_a", "sid_b").distinct()
-    side = lambda s: sets.select(F.col("sid").alias(f"sid_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (*CLASSES, "mixed")])
+    side = lambda s: sets.select(F.col("sid").alias(f"sid_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (*_COLUMNS, "mixed")])
     pairs = near.join(side("a"), "sid_a").join(side("b"), "sid_b")
     shared = parsed.sparkSession.sparkContext.broadcast(known)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
         for x in batches:
-            p, q = ([{c: frozenset(r[i].split()) for i, c in enumerate(CLASSES)} | {"mixed": r[-1]} for r in x[[*[f"{c}_{s}" for c in CLASSES], f"mixed_{s}"]].itertuples(index=False, name=None)] for s in "ab")
+            p, q = ([{c: frozenset(r[i].split()) for i, c in enumerate(CLASSES)} | {"told": frozenset(frozenset(t.split()) for t in r[-2].splitlines()), "mixed": r[-1]} for r in x[[*[f"{c}_{s}" for c in _COLUMNS], f"mixed_{s}"]].itertuples(index=False, name=None)] for s in "ab")
             yield x.loc[[same_question(a, b, words) for a, b in zip(p, q)], ["sid_a", "sid_b"]]
 
     return pairs.mapInPandas(verify, "sid_a string, sid_b string")
